@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash_dedup, quality, sentencepiece_codec, source_mixing
+from . import ann, exact_dedup, html_extract, minhash_dedup, quality, secret_scan, sentencepiece_codec, source_mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +31,25 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -45,6 +60,13 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(docs, MIX).select("doc_id", "lang", "source", "n_tokens", "leaf_budget", "copies")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = ann.build_index(vectors)
+    return ann.query(index, vectors.where(F.col("vec_id") % 20 == 0)).select(
+        F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.classify(docs, table(spark, sf_dir, "labels")).select(
@@ -52,7 +74,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op3_minhash_near_dedup, op5_exact_dedup, op7_source_mixing, op10_quality_classifier)}
+    op1_sentencepiece, op2_html_extraction, op3_minhash_near_dedup, op4_secret_scan, op5_exact_dedup, op7_source_mixing, op9_nearest_neighbours, op10_quality_classifier)}
 
 ORACLE = {
     "op5_exact_dedup": """
