@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_extract, minhash_dedup, quality, secret_scan, sentencepiece_codec, source_mixing
+from . import ann, exact_dedup, html_extract, minhash_dedup, quality, secret_scan, sentencepiece_codec, source_mixing, suffix_array_dedup, suffix_tree_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +55,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_array_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return source_mixing.mix(docs, MIX).select("doc_id", "lang", "source", "n_tokens", "leaf_budget", "copies")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_tree_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_words"), "n_removed", "kept_sha256")
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     index = ann.build_index(vectors)
@@ -74,7 +84,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op2_html_extraction, op3_minhash_near_dedup, op4_secret_scan, op5_exact_dedup, op7_source_mixing, op9_nearest_neighbours, op10_quality_classifier)}
+    op1_sentencepiece, op2_html_extraction, op3_minhash_near_dedup, op4_secret_scan, op5_exact_dedup, op6_suffix_array_dedup, op7_source_mixing,
+    op8_substring_dedup, op9_nearest_neighbours, op10_quality_classifier)}
 
 ORACLE = {
     "op5_exact_dedup": """
