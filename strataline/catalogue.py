@@ -1,4 +1,557 @@
-"""The engine's own queries over the test tables, and their SQL."""
+"""The engine's own queries over the test tables, and their SQL.  Names follow the operators they show."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import reports
+from .functions.policy import merged
+from .functions.similarity import cosine, dot
+from .model import PUBLIC, AttributeClass, Query, Schema, Scope, Type
+from .operators import query as querying
+from .operators import replay
+from .operators.relations import META  # noqa: F401  (re-exported for callers that build relations)
+from .session import ENTITY, I64, STRING, U64, Engine
+from .sources import journal as journals
+from .sources import vectors
+from .sources.tuplespace import matching
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def rules(spark: SparkSession, predicates: str, text: str, goal: str, bound: dict[str, DataFrame], facts: str = "", scope: Scope = PUBLIC) -> DataFrame:
+    """The primary query of a document built from its parts, over bound DataFrames."""
+    engine = Engine(spark)
+    for name, df in bound.items():
+        engine.bind(name, df)
+    lines = lambda s: "\n".join(x.strip() for x in s.strip().split(";"))
+    return engine.run(f"schema v1 {{\n}}\npredicates {{\n{lines(predicates)}\n}}\nfacts {{\n{lines(facts)}\n}}\nrules {{\n{lines(text)}\n}}\nquery {{\ngoal {goal}\n}}\n", scope).primary
+
+
+# --- recursion -------------------------------------------------------------------------------------------------------
+
+_REPLIES = "reply(c, a, b) AS (SELECT x.conv_id, x.turn, y.turn FROM (SELECT DISTINCT conv_id, turn FROM conversations) x JOIN (SELECT DISTINCT conv_id, turn FROM conversations) y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1)"
+
+
+def replies(spark: SparkSession, sf: str) -> DataFrame:
+    """(conversation, turn, next turn)."""
+    turns = t(spark, sf, "conversations").select("conv_id", "turn").distinct()
+    after = turns.select(F.col("conv_id").alias("c"), (F.col("turn") - 1).alias("turn_before"), F.col("turn").alias("b"))
+    return turns.join(after, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("turn_before"))).select("conv_id", "turn", "b")
+
+
+@query(f"WITH RECURSIVE {_REPLIES}, chain(c, x, y) AS (SELECT c, a, b FROM reply UNION SELECT chain.c, chain.x, reply.b FROM chain JOIN reply ON chain.c = reply.c AND chain.y = reply.a) SELECT c, x, y FROM chain")
+def reply_closure(spark, sf):
+    return rules(spark, "reply(U64, U64, U64); chain(U64, U64, U64)", "chain(c, x, y) <- reply(c, x, y); chain(c, x, z) <- chain(c, x, y), reply(c, y, z)", "chain(c, x, y)", {"reply": replies(spark, sf)})
+
+
+@query("SELECT a.o_custkey AS c, a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey")
+def order_succession_closure(spark, sf):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    step = t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(w).alias("later")).where("later IS NOT NULL")
+    return rules(spark, "succeeded(U64, U64, U64); before(U64, U64, U64)", "before(c, x, y) <- succeeded(c, x, y); before(c, x, z) <- before(c, x, y), succeeded(c, y, z)", "before(c, x, y)", {"succeeded": step})
+
+
+_TRADE = """edge(a, b) AS (SELECT c_nationkey, s_nationkey FROM (SELECT c.c_nationkey, s.s_nationkey, row_number() OVER (PARTITION BY c.c_nationkey ORDER BY l.l_extendedprice DESC, l.l_orderkey, l.l_linenumber) AS r
+    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey) WHERE r = 1)"""
+
+
+def trade(spark, sf):
+    """Each customer nation's supplier nation in its dearest order line: one edge per nation, with cycles."""
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    rows = t(spark, sf, "orders").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        t(spark, sf, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return rows.withColumn("r", F.row_number().over(w)).where("r = 1").select("c_nationkey", "s_nationkey")
+
+
+@query(f"WITH RECURSIVE {_TRADE}, reach(x, y) AS (SELECT a, b FROM edge UNION SELECT reach.x, edge.b FROM reach JOIN edge ON reach.y = edge.a) SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM reach")
+def trade_reachability(spark, sf):
+    return rules(spark, "edge(U64, U64); reach(U64, U64)", "reach(x, y) <- edge(x, y); reach(x, z) <- reach(x, y), reach(y, z)", "reach(x, y)", {"edge": trade(spark, sf)})
+
+
+@query("SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
+def same_generation(spark, sf):
+    up = t(spark, sf, "nation").select((F.col("n_nationkey") + 100).alias("x"), "n_regionkey")
+    top = t(spark, sf, "region").select("r_regionkey", F.lit(1000).alias("root"))
+    rows = rules(spark, "parent(U64, U64); node(U64); gen(U64, U64)", "gen(x, x) <- node(x); gen(x, y) <- parent(x, p), gen(p, q), parent(y, q)", "gen(x, y)",
+                 {"parent": up.union(top), "node": t(spark, sf, "region").select("r_regionkey")})
+    return rows.where("x >= 100 AND y >= 100 AND x < 1000 AND y < 1000").select((F.col("x") - 100).cast("int").alias("x"), (F.col("y") - 100).cast("int").alias("y"))
+
+
+@query("SELECT DISTINCT a.conv_id AS c, a.turn AS x, b.turn AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn AND (b.turn - a.turn) % 2 = 0")
+def even_odd_path(spark, sf):
+    return rules(spark, "reply(U64, U64, U64); odd(U64, U64, U64); even(U64, U64, U64)",
+                 "odd(c, x, y) <- reply(c, x, y); even(c, x, z) <- odd(c, x, y), reply(c, y, z); odd(c, x, z) <- even(c, x, y), reply(c, y, z)", "even(c, x, y)", {"reply": replies(spark, sf)})
+
+
+@query(f"WITH {_REPLIES}, depth AS (SELECT c, a FROM reply) SELECT c, count(*) * (count(*) + 1) // 2 AS n FROM depth GROUP BY c")
+def agg_over_recursion(spark, sf):
+    rows = rules(spark, "reply(U64, U64, U64); chain(U64, U64, U64); size(U64, U64)",
+                 "chain(c, x, y) <- reply(c, x, y); chain(c, x, z) <- chain(c, x, y), reply(c, y, z); size(c, count(x)) <- chain(c, x, y)", "size(c, n)", {"reply": replies(spark, sf)})
+    return rows
+
+
+# --- joins, negation, facts ------------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT o.o_orderkey AS o, s.s_suppkey AS s FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey AND s.s_nationkey = c.c_nationkey WHERE l.l_returnflag = 'R'")
+def local_supply(spark, sf):
+    return rules(spark, "ordered(U64, U64); line(U64, U64, String); lives(U64, U64); located(U64, U64); supply(U64, U64)", 'supply(o, s) <- ordered(o, c), lives(c, n), line(o, s, "R"), located(s, n)', "supply(o, s)", {
+        "ordered": t(spark, sf, "orders").select("o_orderkey", "o_custkey"), "line": t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag"),
+        "lives": t(spark, sf, "customer").select("c_custkey", "c_nationkey"), "located": t(spark, sf, "supplier").select("s_suppkey", "s_nationkey")})
+
+
+@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey")
+def self_pairs(spark, sf):
+    return rules(spark, "located(U64, U64); pair(U64, U64)", "pair(a, b) <- located(a, n), located(b, n)", "pair(a, b)", {"located": t(spark, sf, "supplier").select("s_suppkey", "s_nationkey")})
+
+
+@query("SELECT DISTINCT l_orderkey AS o FROM lineitem WHERE l_returnflag = l_linestatus OR l_linenumber = 7")
+def repeated_variables(spark, sf):
+    lines = t(spark, sf, "lineitem")
+    return rules(spark, "flags(U64, String, String); numbered(U64, U64); hit(U64)", "hit(o) <- flags(o, f, f); hit(o) <- numbered(o, 7)", "hit(o)", {
+        "flags": lines.select("l_orderkey", "l_returnflag", "l_linestatus"), "numbered": lines.select("l_orderkey", "l_linenumber")})
+
+
+@query("SELECT o_orderkey AS o FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def unreturned_orders(spark, sf):
+    return rules(spark, "ordered(U64); line(U64, String); kept(U64)", 'kept(o) <- ordered(o), not line(o, "R")', "kept(o)", {
+        "ordered": t(spark, sf, "orders").select("o_orderkey"), "line": t(spark, sf, "lineitem").select("l_orderkey", "l_returnflag")})
+
+
+@query("SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R'))")
+def two_level_negation(spark, sf):
+    return rules(spark, "customer(U64); ordered(U64, U64); line(U64, String); kept(U64); keeper(U64); returner(U64)",
+                 'kept(o) <- ordered(o, c), not line(o, "R"); keeper(c) <- ordered(o, c), kept(o); returner(c) <- customer(c), not keeper(c)', "returner(c)", {
+                     "customer": t(spark, sf, "customer").select("c_custkey"), "ordered": t(spark, sf, "orders").select("o_orderkey", "o_custkey"), "line": t(spark, sf, "lineitem").select("l_orderkey", "l_returnflag")})
+
+
+@query("SELECT n_name AS n, v.tier AS t FROM nation JOIN (VALUES (0, 'near'), (1, 'far'), (3, 'far')) v(r, tier) ON n_regionkey = v.r UNION ALL SELECT 'nowhere', 'none'")
+def constant_facts_join(spark, sf):
+    return rules(spark, "nation(String, U64); tier(U64, String); placed(String, String)", 'placed(n, t) <- nation(n, r), tier(r, t); placed("nowhere", "none") <-', "placed(n, t)",
+                 {"nation": t(spark, sf, "nation").select("n_name", "n_regionkey")}, 'tier(0, "near"); tier(1, "far"); tier(3, "far")')
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS r FROM region")
+def shadowed_facts(spark, sf):
+    """A predicate with a rule never reads its facts."""
+    return rules(spark, "region(U64); known(U64)", "known(r) <- region(r)", "known(r)", {"region": t(spark, sf, "region").select("r_regionkey")}, "known(77); known(78)")
+
+
+@query("SELECT o_custkey AS c FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT * FROM (VALUES (1), (1), (2))")
+def extensional_union(spark, sf):
+    """Bound rows and the document's facts together, duplicates kept."""
+    return rules(spark, "urgent(U64); any(U64)", "any(c) <- urgent(c)", "urgent(c)", {"urgent": t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey")}, "urgent(1); urgent(1); urgent(2)")
+
+
+@query("SELECT CAST(r.r_regionkey AS BIGINT) AS r, CAST(n.n_nationkey AS BIGINT) AS n FROM region r CROSS JOIN nation n")
+def unrelated_goals(spark, sf):
+    """Goals without a shared variable: every combination, as a rule body asks for it."""
+    return rules(spark, "region(U64); nation(U64); both(U64, U64)", "both(r, n) <- region(r), nation(n)", "both(r, n)", {"region": t(spark, sf, "region").select("r_regionkey"), "nation": t(spark, sf, "nation").select("n_nationkey")})
+
+
+@query("SELECT CAST(a.r_regionkey AS BIGINT) AS k FROM (SELECT r_regionkey FROM region UNION ALL SELECT NULL) a")
+def null_unifies(spark, sf):
+    """Null joins null."""
+    rows = t(spark, sf, "region").select(F.col("r_regionkey").cast("long")).union(spark.sql("SELECT CAST(NULL AS LONG)"))
+    return rules(spark, "left(U64); right(U64); both(U64)", "both(k) <- left(k), right(k)", "both(k)", {"left": rows, "right": rows})
+
+
+# --- aggregates ------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_returnflag AS f, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem) GROUP BY 1")
+def agg_counts(spark, sf):
+    return rules(spark, "line(U64, U64, String); n(String, U64)", "n(f, count(o)) <- line(o, l, f)", "n(f, n)", {"line": t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")})
+
+
+@query("SELECT o_custkey AS c, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1")
+def agg_multi(spark, sf):
+    return rules(spark, "ordered(U64, U64); stats(U64, U64, U64, U64, U64)", "stats(c, count(o), sum(o), min(o), max(o)) <- ordered(o, c)", "stats(c, n, s, lo, hi)", {"ordered": t(spark, sf, "orders").select("o_orderkey", "o_custkey")}).select(
+        "c", "n", "s", "lo", "hi")
+
+
+@query("SELECT count(*) AS n, max(o_orderkey) AS hi FROM orders")
+def agg_global(spark, sf):
+    return rules(spark, "ordered(U64); total(U64, U64)", "total(count(o), max(o)) <- ordered(o)", "total(n, hi)", {"ordered": t(spark, sf, "orders").select("o_orderkey")})
+
+
+@query("SELECT count(*) AS n FROM orders WHERE false GROUP BY o_custkey")
+def agg_empty(spark, sf):
+    """No input, no row, even without group keys."""
+    return rules(spark, "ordered(U64, String); total(U64)", 'total(count(o)) <- ordered(o, "no such status")', "total(n)", {"ordered": t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")})
+
+
+# --- journal and replay ----------------------------------------------------------------------------------------------
+
+_K = "CAST(json_extract(props, '$.k') AS BIGINT)"
+
+
+def event_journal(spark, sf, attribute: int, op, tag: str, field: str, content) -> DataFrame:
+    """events as a journal: entity user, element and seq the event's id."""
+    fields = {"tag": F.lit(tag), "b": F.lit(None).cast("boolean"), "i": F.lit(None).cast("long"), "f": F.lit(None).cast("double"), "s": F.lit(None).cast("string"),
+              "x": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")}
+    fields[field] = content
+    return t(spark, sf, "events").select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("entity"), F.lit(attribute).cast("long").alias("attribute"), F.struct(*[v.alias(k) for k, v in fields.items()]).alias("value"),
+        op.alias("op"), F.col("event_id").alias("element"), F.lit(1).cast("long").alias("replica"), F.array().cast("array<long>").alias("frontier"),
+        F.lit(None).cast(journals.PROVENANCE).alias("provenance"), F.lit(None).cast(journals.POLICY).alias("policy"))
+
+
+def status_journal(spark, sf):
+    return event_journal(spark, sf, 1, F.when(F.col("event_type") == "error", "Retract").otherwise("Assert"), "String", "s", F.col("event_type"))
+
+
+def tag_journal(spark, sf):
+    return event_journal(spark, sf, 2, F.when(F.col("event_type") == "error", "Remove").otherwise("Add"), "I64", "i", F.get_json_object("props", "$.k").cast("long"))
+
+
+def event_schema() -> Schema:
+    schema = Schema()
+    schema.attribute("user.status", AttributeClass.SCALAR, STRING)
+    schema.attribute("user.tag", AttributeClass.SET, I64)
+    schema.attribute("conv.turns", AttributeClass.SEQUENCE, U64)
+    return schema
+
+
+def middle(journal: DataFrame) -> int:
+    """An element halfway through: the smallest of the upper half."""
+    last = journal.agg(F.max("seq")).first()[0]
+    return journal.where(F.col("seq") >= last // 2).agg(F.min("element")).first()[0]
+
+
+_HALF = "(SELECT min(event_id) FROM events WHERE event_id >= (SELECT max(event_id) // 2 FROM events))"
+_LWW = "SELECT user_id AS entity, event_type AS value, event_id AS source FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE {where}) WHERE r = 1 AND event_type <> 'error'"
+_SET = f"SELECT user_id AS entity, k AS value, min(event_id) AS source FROM (SELECT *, {_K} AS k, coalesce(max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id, {_K}), -1) AS gone FROM events WHERE {{where}}) WHERE event_type <> 'error' AND event_id > gone GROUP BY 1, 2"
+
+
+@query(_LWW.format(where="true"))
+def lww_current(spark, sf):
+    return replay.state(status_journal(spark, sf), event_schema()).where("attribute = 1").select("entity", F.col("value.s").alias("value"), "source")
+
+
+@query(_LWW.format(where=f"event_id <= {_HALF}"))
+def lww_as_of(spark, sf):
+    journal = status_journal(spark, sf)
+    return replay.scalars(replay.prefix(journal, middle(journal)), event_schema()).select("entity", F.col("value.s").alias("value"), "source")
+
+
+@query(f"SELECT entity, value FROM ({_SET.format(where='true')})")
+def set_current(spark, sf):
+    return replay.sets(tag_journal(spark, sf), event_schema()).select("entity", F.col("value.i").alias("value"))
+
+
+@query(f"SELECT entity, value FROM ({_SET.format(where=f'event_id <= {_HALF}')})")
+def set_as_of(spark, sf):
+    journal = tag_journal(spark, sf)
+    return replay.sets(replay.prefix(journal, middle(journal)), event_schema()).select("entity", F.col("value.i").alias("value"))
+
+
+@query(_SET.format(where="true"))
+def set_first_add_source(spark, sf):
+    return replay.sets(tag_journal(spark, sf), event_schema()).select("entity", F.col("value.i").alias("value"), "source")
+
+
+@query("""SELECT conv_id AS entity, turn AS value, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn = 0 THEN 0 ELSE 1 END, turn) - 1 AS pos
+    FROM (SELECT DISTINCT conv_id, turn FROM conversations)""")
+def sequence_order(spark, sf):
+    """Turns inserted after the first one, latest element last: siblings come in element order."""
+    turns = t(spark, sf, "conversations").select("conv_id", "turn").distinct()
+    rows = turns.withColumn("first", F.min("turn").over(Window.partitionBy("conv_id"))).withColumn("element", F.col("conv_id") * 1000 + F.col("turn") + 1)
+    none = lambda k: F.lit(None).cast(k)
+    journal = rows.select(
+        F.col("element").alias("seq"), F.col("conv_id").alias("entity"), F.lit(3).cast("long").alias("attribute"),
+        F.struct(F.lit("U64").alias("tag"), none("boolean").alias("b"), F.col("turn").alias("i"), none("double").alias("f"), none("string").alias("s"), none("binary").alias("x"), none("array<string>").alias("items")).alias("value"),
+        F.lit("InsertAfter").alias("op"), "element",
+        F.struct(F.when(F.col("turn") == F.col("first"), F.array().cast("array<long>")).otherwise(F.array(F.col("conv_id") * 1000 + F.col("first") + 1)).alias("parent_datom_ids")).alias("provenance"),
+        none(journals.POLICY).alias("policy"))
+    return replay.sequences(journal, event_schema()).select("entity", F.col("value.i").alias("value"), "pos")
+
+
+@query(f"SELECT event_id AS element, user_id AS entity FROM events WHERE event_id <= {_HALF}")
+def history_prefix(spark, sf):
+    journal = status_journal(spark, sf)
+    return replay.prefix(journal, middle(journal)).select("element", "entity")
+
+
+@query("SELECT max_by(event_id, event_id) AS last_element, count(*) AS entry_count FROM events")
+def journal_cut(spark, sf):
+    return journals.cut(status_journal(spark, sf)).select("last_element", "entry_count")
+
+
+@query("SELECT event_id AS element FROM events WHERE event_type IN ('signup', 'purchase')")
+def op_validity(spark, sf):
+    """Set operations on a scalar attribute are refused."""
+    op = F.when(F.col("event_type").isin("signup", "purchase"), "Add").otherwise("Assert")
+    return replay.operation_errors(event_journal(spark, sf, 1, op, "String", "s", F.col("event_type")), event_schema()).select("element")
+
+
+@query("SELECT event_id AS element, CASE WHEN event_type = 'purchase' THEN event_id + 1 ELSE -event_id END AS dependency, CASE WHEN event_type = 'purchase' THEN 'Forward' ELSE 'Missing' END AS code FROM events WHERE event_type = 'signup' OR event_type = 'purchase' AND event_id < (SELECT max(event_id) FROM events) UNION ALL SELECT event_id, event_id + 1, 'Missing' FROM events WHERE event_type = 'purchase' AND event_id = (SELECT max(event_id) FROM events)")
+def dependency_violations(spark, sf):
+    """Parents that come later, or nowhere."""
+    journal = status_journal(spark, sf)
+    parents = F.when(F.col("value.s") == "purchase", F.array(F.col("seq") + 1)).when(F.col("value.s") == "signup", F.array(-F.col("seq"))).when(F.col("seq") > F.lit(10**12), F.array("seq")).otherwise(F.array().cast("array<long>"))
+    return journals.dependency_errors(journal.withColumn("provenance", F.struct(parents.alias("parent_datom_ids"))), event_schema())
+
+
+@query("SELECT event_id AS element, 'NonFiniteFloat' AS code FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'DuplicateElement' FROM events WHERE event_id % 50 = 0")
+def append_violations(spark, sf):
+    """What a dry run refuses: infinite floats and elements that the history has."""
+    schema = Schema()
+    schema.attribute("user.score", AttributeClass.SCALAR, Type("F64"))
+    rows = event_journal(spark, sf, 1, F.lit("Assert"), "F64", "f", F.when(F.col("event_type") == "click", F.lit(float("inf"))).otherwise(F.col("value"))).withColumn("provenance", F.struct(
+        F.lit(1.0).alias("confidence")))
+    return journals.append_errors(rows, rows.where("element % 50 = 0"), schema)
+
+
+@query("SELECT 1 AS attribute, 'ScalarLww' AS class, 'String' AS type UNION ALL SELECT 2, 'SetAddWins', 'I64'")
+def schema_inference(spark, sf):
+    return journals.inferred(status_journal(spark, sf).unionByName(tag_journal(spark, sf))).select(F.col("attribute").cast("int").alias("attribute"), "class", "type")
+
+
+@query(f"SELECT s.entity AS u, g.value AS k FROM ({_LWW.format(where='true')}) s JOIN ({_SET.format(where='true')}) g ON s.entity = g.entity WHERE s.value = 'purchase'")
+def attribute_rule(spark, sf):
+    """Rules over a journal's state: predicates read attributes by name."""
+    journal = status_journal(spark, sf).unionByName(tag_journal(spark, sf).withColumn("seq", F.col("seq") + F.lit(1 << 40)).withColumn("element", F.col("element") + F.lit(1 << 40)))
+    rows = Engine(spark, journal).run("""
+        schema v1 {
+          attr user.status: ScalarLww<String>
+          attr user.tag: SetAddWins<I64>
+        }
+        predicates {
+          user_status(Entity, String)
+          user_tag(Entity, I64)
+          buyer_tag(Entity, I64)
+        }
+        rules {
+          buyer_tag(u, k) <- user_status(u, "purchase"), user_tag(u, k)
+        }
+        query {
+          goal buyer_tag(u, k)
+        }""").primary
+    return rows
+
+
+# --- policy ----------------------------------------------------------------------------------------------------------
+
+
+def guarded_documents(spark, sf):
+    """Documents; toxic ones need a capability."""
+    toxic = t(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
+    rows = t(spark, sf, "documents").select("doc_id", "lang").join(toxic, "doc_id", "left")
+    return rows.select("doc_id", "lang", F.when(F.col("toxic"), F.array(F.lit("moderation"))).otherwise(F.array().cast("array<string>")).alias("_caps"))
+
+
+_TOXIC = "(SELECT doc_id FROM labels WHERE toxic = 1)"
+
+
+@query(f"SELECT lang AS l, count(*) AS n FROM documents WHERE doc_id NOT IN {_TOXIC} GROUP BY 1")
+def policy_public(spark, sf):
+    return rules(spark, "doc(U64, String); n(String, U64)", "n(l, count(d)) <- doc(d, l)", "n(l, n)", {"doc": guarded_documents(spark, sf)})
+
+
+@query("SELECT lang AS l, count(*) AS n FROM documents GROUP BY 1")
+def policy_privileged(spark, sf):
+    return rules(spark, "doc(U64, String); n(String, U64)", "n(l, count(d)) <- doc(d, l)", "n(l, n)", {"doc": guarded_documents(spark, sf)}, scope=Scope(("moderation",)))
+
+
+@query(f"SELECT doc_id AS d FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id NOT IN {_TOXIC})")
+def policy_negation(spark, sf):
+    """A hidden row does not suppress anything."""
+    return rules(spark, "doc(U64, String); good(U64); other(U64)", 'other(d) <- good(d), not doc(d, "en")', "other(d)", {
+        "doc": guarded_documents(spark, sf), "good": t(spark, sf, "labels").where("quality = 1").select("doc_id")})
+
+
+@query("SELECT a.n_nationkey AS n, list_sort(list_distinct(list_concat(['a', a.n_name], ['a', r.r_name]))) AS caps FROM nation a JOIN region r ON a.n_regionkey = r.r_regionkey")
+def policy_envelope_merge(spark, sf):
+    rows = t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.col("n_nationkey").alias("n"), merged(F.array(F.lit("a"), "n_name"), F.array(F.lit("a"), "r_name")).alias("caps"))
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------
+
+
+def catalog(spark, sf):
+    return t(spark, sf, "embeddings").select(
+        F.lit("main").alias("sidecar_id"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("vector_id"), F.col("vec_id").alias("entity"), F.lit(None).cast("string").alias("source_artifact_id"),
+        F.size("embedding").alias("dimensions"), F.lit("cosine").alias("metric"), "embedding", F.col("vec_id").alias("registered_at"), F.lit(None).cast(journals.POLICY).alias("policy"))
+
+
+def first_vector(spark, sf) -> list[float]:
+    return list(t(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"])
+
+
+_SIM = "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS score FROM embeddings"
+
+
+@query(f"{_SIM} ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_cosine(spark, sf):
+    rows = vectors.search(catalog(spark, sf), None, first_vector(spark, sf), sidecar="main", top_k=10)
+    return rows.select(F.col("entity").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS score FROM embeddings ORDER BY 2 DESC, vec_id LIMIT 10")
+def vector_topk_dot(spark, sf):
+    rows = vectors.search(catalog(spark, sf).withColumn("metric", F.lit("dot")), None, first_vector(spark, sf), sidecar="main", metric="dot", top_k=10)
+    return rows.select(F.col("entity").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"{_SIM} WHERE vec_id <= 200 ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_as_of(spark, sf):
+    """Only vectors registered by the cut."""
+    rows = catalog(spark, sf)
+    journal = rows.select(F.col("registered_at").alias("element"), (F.col("registered_at") + 1).alias("seq"))
+    found = vectors.search(rows, None, first_vector(spark, sf), sidecar="main", top_k=10, journal=journal, as_of=200)
+    return found.select(F.col("entity").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT s.vec_id AS v, e.label AS l FROM ({_SIM} ORDER BY score DESC, vec_id LIMIT 10) s JOIN embeddings e USING (vec_id)")
+def vector_facts_rule(spark, sf):
+    """Search results re-enter as facts of a rule."""
+    found = vectors.as_facts(vectors.search(catalog(spark, sf), None, first_vector(spark, sf), sidecar="main", top_k=10).withColumn("artifact_at", F.lit(None).cast("long")), 0)
+    return rules(spark, "similar(U64, U64, F64); label(U64, U64); named(U64, U64)", "named(v, l) <- similar(q, v, s), label(v, l)", "named(v, l)", {
+        "similar": found, "label": t(spark, sf, "embeddings").select("vec_id", "label")}).select("v", F.col("l").cast("int").alias("l"))
+
+
+@query("SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS c, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vector_neighbour_similarity(spark, sf):
+    rows = t(spark, sf, "embeddings")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rows.join(after, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("c"), F.round(dot(F.col("embedding"), F.col("other")), 6).alias("d"))
+
+
+# --- partitions ------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT user_id % 4 AS partition, count(*) AS n FROM events WHERE user_id % 4 <> 1 AND (user_id % 4 <> 2 OR event_id <= (SELECT min(event_id) FROM events WHERE user_id % 4 = 2 AND event_id >= {_HALF})) GROUP BY 1")
+def partition_cut_history(spark, sf):
+    """Histories of three partitions, one of them at a cut."""
+    from .sources.federation import Cut, Federation
+
+    journal = status_journal(spark, sf)
+    parts = {str(i): journal.where(F.col("entity") % 4 == i) for i in range(4)}
+    place = parts["2"].where(F.col("element") >= middle(journal)).agg(F.min("element")).first()[0]
+    rows = Federation(spark, parts).history([Cut("0"), Cut("2", place), Cut("3")])
+    return rows.groupBy(F.col("partition").cast("long").alias("partition")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT a.entity AS u, a.value AS s, b.value AS k FROM ({_LWW.format(where='true')}) a JOIN ({_SET.format(where='true')}) b ON a.entity = b.entity")
+def federated_join(spark, sf):
+    """Status from one partition, tags from another, joined by rules that keep the cuts."""
+    from .sources.federation import Cut, Federation, Import
+
+    part = "schema v1 {{\nattr user.status: ScalarLww<String>\nattr user.tag: SetAddWins<I64>\n}}\npredicates {{\nuser_status(Entity, String)\nuser_tag(Entity, I64)\nsaid(Entity, {1})\n}}\nrules {{\nsaid(u, x) <- {0}(u, x)\n}}\nquery {{\ngoal said(u, x)\n}}\n"
+    federation = Federation(spark, {"status": status_journal(spark, sf), "tags": tag_journal(spark, sf)})
+    run = federation.run(
+        "schema v1 {\n}\npredicates {\nstatus(Entity, String)\ntag(Entity, I64)\nboth(Entity, String, I64)\n}\nrules {\nboth(u, s, k) <- status(u, s), tag(u, k)\n}\nquery {\ngoal both(u, s, k)\n}\n",
+        [Import(Cut("status"), part.format("user_status", "String"), "status"), Import(Cut("tags"), part.format("user_tag", "I64"), "tag")], full=False)
+    return run.primary
+
+
+# --- results ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH a AS (SELECT entity, value FROM ({_LWW.format(where=f'event_id <= {_HALF}')})), b AS (SELECT entity, value FROM ({_LWW.format(where='true')}))
+    SELECT CASE WHEN a.entity IS NULL THEN 'added' WHEN b.entity IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(a.entity, b.entity) AS key, a.value AS before, b.value AS after
+    FROM a FULL JOIN b ON a.entity = b.entity WHERE a.value IS DISTINCT FROM b.value""")
+def cut_delta(spark, sf):
+    return querying.delta(lww_as_of(spark, sf).select("entity", "value"), lww_current(spark, sf).select("entity", "value")).select(
+        "change", "key", F.col("before.value").alias("before"), F.col("after.value").alias("after"))
+
+
+@query("""WITH m AS (SELECT conv_id, count(DISTINCT turn) AS n FROM conversations GROUP BY 1 ORDER BY n DESC, conv_id LIMIT 1)
+    SELECT m.conv_id AS c, a.turn AS x, b.turn AS y FROM m, (SELECT DISTINCT conv_id, turn FROM conversations) a, (SELECT DISTINCT conv_id, turn FROM conversations) b
+    WHERE a.conv_id = m.conv_id AND b.conv_id = m.conv_id AND a.turn = (SELECT min(turn) FROM conversations c WHERE c.conv_id = m.conv_id) AND b.turn > a.turn""")
+def explain_lineage(spark, sf):
+    """The derivation of the longest conversation's full span: one tuple per step."""
+    size = t(spark, sf, "conversations").groupBy("conv_id").agg(F.countDistinct("turn").alias("n"), F.min("turn").alias("lo"), F.max("turn").alias("hi")).orderBy(F.desc("n"), "conv_id").first()
+    engine = Engine(spark).bind("reply", replies(spark, sf).where(F.col("conv_id") == size["conv_id"]))
+    program = engine.parse("schema v1 {\n}\npredicates {\nreply(U64, U64, U64)\nchain(U64, U64, U64)\n}\nrules {\nchain(c, x, y) <- reply(c, x, y)\nchain(c, x, z) <- chain(c, x, y), reply(c, y, z)\n}\n")
+    found = engine.evaluate(program, full=True).trace(f"chain({size['conv_id']}, {size['lo']}, {size['hi']})")
+    values = F.from_json("values", "array<string>")
+    return found.select(*[values[i].cast("long").alias(c) for i, c in enumerate(("c", "x", "y"))])
+
+
+@query("WITH n AS (SELECT unnest(range(1, 513)) AS t) SELECT t, w FROM n, (VALUES ('worker-a'), ('worker-b')) v(w) WHERE t % 4 <> 0 AND t % 7 <> 0")
+def claimability(spark, sf):
+    """Who may claim which task: negation over derived and stored facts."""
+    tasks = spark.range(1, 513)
+    return rules(spark, "task(U64); status(U64, String); lease(U64, String); worker(String); done(U64); active(U64); ready(U64); can(U64, String)",
+                 'done(t) <- status(t, "done"); active(t) <- lease(t, "active"); ready(t) <- task(t), not done(t), not active(t); can(t, w) <- ready(t), worker(w)', "can(t, w)",
+                 {"task": tasks, "status": tasks.where("id % 4 = 0").withColumn("s", F.lit("done")), "lease": tasks.where("id % 7 = 0").withColumn("s", F.lit("active"))}, 'worker("worker-a"); worker("worker-b")')
+
+
+@query("""WITH o AS (SELECT l_orderkey AS t, l_suppkey AS w, l_linenumber AS e FROM lineitem), cur AS (SELECT t, max(e) AS e FROM o GROUP BY 1)
+    SELECT DISTINCT o.t, o.w, o.e FROM o JOIN cur ON o.t = cur.t WHERE o.e <> cur.e""")
+def lease_fencing(spark, sf):
+    """Outcomes of superseded leases are stale: those whose epoch is not the latest."""
+    rows = t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    return rules(spark, "outcome(U64, U64, U64); latest(U64, U64); stale(U64, U64, U64)", "latest(t, max(e)) <- outcome(t, w, e); stale(t, w, e) <- outcome(t, w, e), not latest(t, e)", "stale(t, w, e)", {"outcome": rows}).select(
+        "t", "w", F.col("e").cast("int").alias("e"))
+
+
+@query("SELECT event_id AS tuple_id FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0 AND event_id % 5 <> 0")
+def tuple_match(spark, sf):
+    """Tuple-space matching with a wildcard, without completed records."""
+    records = t(spark, sf, "events").select(F.col("event_id").alias("tuple_id"), F.array("event_type", (F.col("user_id") % 3).cast("string"), F.col("user_id").cast("string")).alias("fields"))
+    return matching(records, ["purchase", 0, None], completions=records.where("tuple_id % 5 = 0")).select("tuple_id")
+
+
+@query("SELECT event_id, CASE WHEN (SELECT count(*) FROM events) > 150 THEN CAST(150 AS BIGINT) END AS next_offset FROM events ORDER BY event_id LIMIT 50 OFFSET 100")
+def page(spark, sf):
+    return querying.page(t(spark, sf, "events").select("event_id").orderBy("event_id"), 100, 50)
+
+
+@query("SELECT e.event_type AS k, e.n AS v, b.n AS baseline, CASE WHEN b.n IS NULL THEN 'new' WHEN abs((e.n - b.n) * 100.0 / b.n) >= 30 THEN 'fail' WHEN abs((e.n - b.n) * 100.0 / b.n) >= 15 THEN 'warn' ELSE 'pass' END AS severity FROM (SELECT event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1) e LEFT JOIN (SELECT event_type, count(*) AS n FROM events WHERE event_id % 2 = 1 AND event_type <> 'signup' GROUP BY 1) b USING (event_type)")
+def drift_report(spark, sf):
+    n = t(spark, sf, "events").groupBy(F.col("event_type").alias("k"), (F.col("event_id") % 2).alias("half")).agg(F.count(F.lit(1)).alias("v"))
+    current, baseline = n.where("half = 0").select("k", "v"), n.where("half = 1 AND k <> 'signup'").select("k", "v")
+    return reports.drift(current, baseline, ["k"], "v", 15, 30).select("k", "v", "baseline", "severity")
+
+
+@query("SELECT event_type AS k, max(CASE WHEN h = 0 THEN n END) AS even, max(CASE WHEN h = 1 THEN n END) AS odd FROM (SELECT event_type, event_id % 2 AS h, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def matrix_report(spark, sf):
+    n = t(spark, sf, "events").groupBy(F.col("event_type").alias("k"), F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("half")).agg(F.count(F.lit(1)).alias("v"))
+    return reports.matrix(n, ["k"], "half", "v", ["even", "odd"])
+
+
+@query("SELECT user_id AS u, event_id AS latest, event_id - prior AS change FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prior, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def trend_report(spark, sf):
+    return reports.trend(t(spark, sf, "events").select(F.col("user_id").alias("u"), "event_id", F.col("event_id").alias("latest")), ["u"], "event_id", "latest").select("u", "latest", "change")
+
+
+@query("SELECT user_id AS u, list_sort(list(event_id))[CAST(floor((count(*) - 1) * 0.9 + 0.5) AS BIGINT) + 1] AS p90 FROM events GROUP BY 1")
+def nearest_rank(spark, sf):
+    return t(spark, sf, "events").groupBy(F.col("user_id").alias("u")).agg(reports.nearest_rank(F.col("event_id"), 0.9).alias("p90"))
+
+
+@query("SELECT event_id AS execution_id, row_number() OVER (ORDER BY event_id) <= (SELECT count(*) FROM events) - 100 AS evicted FROM events")
+def retention(spark, sf):
+    rows = t(spark, sf, "events").select(F.col("event_id").alias("execution_id"), F.col("event_id").alias("created_at_ms"))
+    return reports.retained(rows, 100).select("execution_id", "evicted")
+
+
+@query("SELECT event_id AS seq, event_id AS leader, event_id + 1 AS follower FROM events WHERE event_type = 'error'")
+def replica_divergence(spark, sf):
+    leader = status_journal(spark, sf)
+    follower = leader.withColumn("element", F.when(F.col("op") == "Retract", F.col("element") + 1).otherwise(F.col("element")))
+    return journals.prefix_divergence(leader, follower)
+
+
+__all__ = ["ORACLE", "QUERIES", "Query", "ENTITY", "U64"]
