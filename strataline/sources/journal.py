@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +71,7 @@ def append_errors(rows: DataFrame, history: DataFrame, schema: Schema, schema_re
         blank = lambda c: F.length(F.trim(F.coalesce(F.col(f"provenance.{c}"), F.lit("")))) == 0
         per_row += [F.when(~F.col("provenance.schema_version").eqNullSafe(F.lit(schema_ref)), "SchemaVersion"),
                     F.when(blank("author_principal") | blank("tool_id") | blank("session_id") | blank("trust_domain"), "IncompleteProvenance")]
-    own = rows.select("element", F.explode(F.array_compact(F.array(*per_row))).alias("code"))
+    own = reduce(DataFrame.union, [rows.select("element", fault.alias("code")).where("code IS NOT NULL") for fault in per_row])
     twice = rows.groupBy("element").count().where("count > 1").select("element", F.lit("DuplicateInBatch").alias("code"))
     known = rows.join(history.select("element").distinct(), "element", "left_semi").select("element", F.lit("DuplicateElement").alias("code"))
     return own.union(twice).union(known).distinct()
