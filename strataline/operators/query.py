@@ -64,16 +64,16 @@ def delta(before: DataFrame, after: DataFrame, key: str | None = None) -> DataFr
     def count(df: DataFrame, side: str) -> DataFrame:
         return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(side))
 
-    a, b = count(before, "n_before").alias("a"), count(after, "n_after").alias("b")
+    a, b = count(before, "_n_before").alias("a"), count(after, "_n_after").alias("b")
     both = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns], "full")
-    value = [F.when(F.col("n_before").isNotNull(), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in columns]
-    net = both.select(*value, (F.coalesce("n_after", F.lit(0)) - F.coalesce("n_before", F.lit(0))).alias("net")).where("net <> 0")
-    each = net.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.abs("net").cast("long"))).alias("copy"), (F.col("net") > 0).alias("new"))
-    numbered = each.withColumn("k", F.row_number().over(Window.partitionBy(key, "new").orderBy(*columns, "copy")))
+    value = [F.when(F.col("_n_before").isNotNull(), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in columns]
+    net = both.select(*value, (F.coalesce("_n_after", F.lit(0)) - F.coalesce("_n_before", F.lit(0))).alias("_net")).where("_net <> 0")
+    each = net.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_net").cast("long"))).alias("_copy"), (F.col("_net") > 0).alias("_new"))
+    numbered = each.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_new").orderBy(*columns, "_copy")))
     image = F.struct(*columns)
-    old = numbered.where(~F.col("new")).select(F.col(key).alias("key"), "k", image.alias("before")).alias("o")
-    new = numbered.where("new").select(F.col(key).alias("key"), "k", image.alias("after")).alias("n")
-    paired = old.join(new, F.col("o.key").eqNullSafe(F.col("n.key")) & (F.col("o.k") == F.col("n.k")), "full")
+    old = numbered.where(~F.col("_new")).select(F.col(key).alias("key"), "_rank", image.alias("before")).alias("o")
+    new = numbered.where("_new").select(F.col(key).alias("key"), "_rank", image.alias("after")).alias("n")
+    paired = old.join(new, F.col("o.key").eqNullSafe(F.col("n.key")) & (F.col("o._rank") == F.col("n._rank")), "full")
     return paired.select(
         F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed").alias("change"),
         F.when(F.col("before").isNull(), F.col("n.key")).otherwise(F.col("o.key")).alias("key"), "before", "after")
