@@ -123,7 +123,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], levels: dict[str,
         order_key(seed, F.col("p.whole"), F.col(f"r.{id_col}")) < F.col("p.first_out"))
     return rows.alias("r").join(plan.alias("p"), same("r", "p")).select(
         *[F.col(f"r.{c}") for c in keep], "r.n_tokens", F.col("p.budget").alias("leaf_budget"),
-        (F.col("p.whole") + taken.cast("long")).alias("copies"))
+        F.least(F.col("p.whole") + taken.cast("long"), F.lit(max_epochs).cast("long")).alias("copies"))
 
 
 def default_levels() -> dict[str, Column]:

@@ -160,7 +160,7 @@ def brute_mix(rows, weights, budget, max_epochs, seed):
         for x in sorted(mine, key=place):
             run += x[4]
             stop = stop or run > rest
-            out[x[0]] = whole + (not stop)
+            out[x[0]] = min(whole + (not stop), max_epochs)
     return out
 
 
