@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import coordination
 from .functions import reports
 from .functions.policy import merged
 from .functions.similarity import cosine, dot
@@ -506,6 +507,23 @@ def lease_fencing(spark, sf):
         "t", "w", F.col("e").cast("int").alias("e"))
 
 
+@query("SELECT * FROM (VALUES ('handover', 1, 'worker-a', 1), ('now', 1, 'worker-b', 2)) v(view, task, worker, epoch)")
+def coordination_views(spark, sf):
+    """Who is authorized before the lease, at the hand-over and now, on the sample board."""
+    from functools import reduce
+
+    found = coordination.report(spark, coordination.sample_history(spark), coordination.sample_facts(), 5, 9)
+    rows = [found[v].select(F.lit(v).alias("view"), F.col("v0").cast("int").alias("task"), F.col("v1").alias("worker"), F.col("v2").cast("int").alias("epoch")) for v in ("before", "handover", "now")]
+    return reduce(DataFrame.union, rows)
+
+
+@query("SELECT * FROM (VALUES ('accepted', 'current-worker-b'), ('stale', 'stale-worker-a'), ('claimable', '3 worker-a'), ('claimable', '3 worker-b')) v(what, detail)")
+def coordination_outcomes(spark, sf):
+    found = coordination.report(spark, coordination.sample_history(spark), coordination.sample_facts(), 5, 9)
+    return found["accepted"].select(F.lit("accepted").alias("what"), F.col("v4").alias("detail")).union(found["stale"].select(F.lit("stale"), "v4")).union(
+        found["claimable"].select(F.lit("claimable"), F.concat_ws(" ", F.col("v0").cast("string"), "v1")))
+
+
 @query("SELECT event_id AS tuple_id FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0 AND event_id % 5 <> 0")
 def tuple_match(spark, sf):
     """Tuple-space matching with a wildcard, without completed records."""

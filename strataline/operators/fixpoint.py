@@ -87,13 +87,23 @@ class Evaluation:
     def run(self) -> Derived:
         for component in self.plan.components:
             pattern = None if self.exact or not component.recursive else closure(component)
-            if pattern:
+            if not component.recursive and not self.exact and self.limits.tuples is None:
+                self._inline(component)
+            elif pattern:
                 self._doubling(component, *pattern)
             else:
                 self._rounds(component)
         self.out.rounds.append((self.round + 1, 0))
         return self.out
 
+    def _inline(self, component: Component) -> None:
+        """A component without recursion stays part of the plan that reads it; one that is read again becomes a table."""
+        p = component.predicates[0]
+        self.out.relations[p] = empty(self.spark, self.plan, p, False)
+        rows = reduce(DataFrame.union, [rows for *_, rows in self._variants(component, None)]).distinct()
+        uses = sum(x.atom.predicate == p for c in self.plan.components for r in c.rules for x in r.body)
+        self.out.relations[p] = materialize(rows, f"relation-{p}") if uses > 1 else rows
+
     def _start(self) -> None:
         self.round += 1
         if self.round > self.limits.iterations:

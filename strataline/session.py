@@ -18,6 +18,7 @@ from .operators.relations import META, columns, typed, with_meta
 from .operators.replay import bound, prefix, scoped, state
 from .plans.compiler import Plan, compile_program
 from .sources.journal import Journal, cut, fingerprint
+from .storage import materialize
 
 ENGINE_VERSION = "1"
 
@@ -124,6 +125,8 @@ class Engine:
             if predicate in plan.bindings and rows is not None:
                 if current is None:
                     current = state(rows, plan.schema)
+                    if len(plan.bindings) > 1:  # several predicates read it
+                        current = materialize(current, "state")
                 touched = rows.groupBy("entity").agg(F.min("seq").alias("first")) if full else None
                 parts.append(bound(current, touched, plan.bindings[predicate], signature.types[1], full))
             facts = self._facts(plan, predicate, full)
