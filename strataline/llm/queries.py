@@ -87,9 +87,46 @@ QUERIES = {f.__name__: f for f in (
     op1_sentencepiece, op2_html_extraction, op3_minhash_near_dedup, op4_secret_scan, op5_exact_dedup, op6_suffix_array_dedup, op7_source_mixing,
     op8_substring_dedup, op9_nearest_neighbours, op10_quality_classifier)}
 
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE = {
-    "op5_exact_dedup": """
-        WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+    "op3_minhash_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(d, r) AS (SELECT a, a FROM edges UNION SELECT reach.d, edges.b FROM reach JOIN edges ON reach.r = edges.a),
+        part AS (SELECT d, min(r) AS c FROM reach GROUP BY 1)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(part.c, d.doc_id) AS component_id, coalesce(part.c, d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN part ON part.d = d.doc_id""",
+    "op5_exact_dedup": f"""
+        WITH n AS (SELECT doc_id, {_FOLD} AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op6_suffix_array_dedup": """
+        WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM h)),
+        f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM w) WHERE first < doc_id),
+        e AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM f),
+        r AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+        x AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY 1, 2),
+        y AS (SELECT doc_id, list_sort(list({'a': a, 'b': b})) AS cut FROM x GROUP BY 1),
+        k AS (SELECT h.doc_id, h.h, coalesce(y.cut, []) AS cut FROM h LEFT JOIN y USING (doc_id))
+        SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(list_sum(list_transform(cut, lambda z: z.b - z.a)), 0) AS BIGINT) AS n_removed, CAST(len(cut) AS BIGINT) AS n_spans,
+            sha256(unhex(CASE WHEN len(cut) = 0 THEN h ELSE array_to_string(list_transform(range(0, len(cut) + 1), lambda q:
+                substr(h, 2 * (CASE WHEN q = 0 THEN 0 ELSE cut[q].b END) + 1, 2 * ((CASE WHEN q = len(cut) THEN len(h) // 2 ELSE cut[q + 1].a END) - (CASE WHEN q = 0 THEN 0 ELSE cut[q].b END)))), '') END)) AS kept_sha256
+        FROM k""",
+    "op8_substring_dedup": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS i FROM w)),
+        f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM g) WHERE r > 1),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f),
+        m AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY 1),
+        k AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) ANTI JOIN c USING (doc_id, i)),
+        t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM k GROUP BY 1)
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(m.gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(t.t, '')) AS kept_sha256
+        FROM w LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
