@@ -67,23 +67,28 @@ class Block:
         self.text, self.linked, self.path, self.evidence, self.item = text, linked, path, evidence, item
 
 
-def _evidence(name: str, attrs: str) -> tuple[float, bool]:
-    """Log-odds that an element's start tag gives to the blocks in it, and whether it is hidden."""
-    odds, hidden = ELEMENTS.get(name, 0.0), False
+def _evidence(name: str, attrs: str) -> tuple[float, float, bool]:
+    """Log-odds for and against content that an element's start tag gives to the blocks in it, and whether it is hidden."""
+    found, hidden = [ELEMENTS.get(name, 0.0)], False
     if attrs and "=" in attrs or "hidden" in attrs:
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
                 hidden = True
             elif key in ("class", "id", "role"):
-                odds += sum(WORDS.get(w, 0.0) for w in set(_SPLIT.split(value)))
-    return odds, hidden
+                found += [WORDS.get(w, 0.0) for w in set(_SPLIT.split(value))]
+    return sum(x for x in found if x > 0), sum(x for x in found if x < 0), hidden
+
+
+def _weigh(good: float, bad: float) -> float:
+    """Standing within an article does not make up for standing within a sidebar or a list of comments."""
+    return max(bad, -12.0) if bad <= -4 else min(good, 5.0) + bad
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in page order, without dropped elements."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = []  # name, number, log-odds summed over the path, dropped
+    stack: list[tuple[str, int, float, float, bool]] = []  # name, number, log-odds for and against summed over the path, dropped
     parts: list[str] = []
     linked, links, number = 0, 0, 0
 
@@ -93,7 +98,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 outer = [e for e in stack if e[0] not in INLINE]
-                out.append(Block(text, linked, tuple(e[1] for e in outer), stack[-1][2] if stack else 0.0, any(e[0] in ("li", "dd", "dt", "option") for e in outer)))
+                out.append(Block(text, linked, tuple(e[1] for e in outer), _weigh(stack[-1][2], stack[-1][3]) if stack else 0.0, any(e[0] in ("li", "dd", "dt", "option") for e in outer)))
             parts.clear()
         linked = 0
 
@@ -108,14 +113,14 @@ def blocks(page: str) -> list[Block]:
     while at < end:
         m = _TAG.search(page, at)
         text = page[at: m.start() if m else end]
-        if text and not (stack and stack[-1][3]):
+        if text and not (stack and stack[-1][4]):
             parts.append(text)
             if links:
                 linked += len(text)
         if not m:
             break
         at = m.end()
-        if m[1] is not None and not (stack and stack[-1][3]):
+        if m[1] is not None and not (stack and stack[-1][4]):
             parts.append(m[1])
         if not m[3]:
             continue
@@ -159,9 +164,9 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
         number += 1
-        odds, hidden = _evidence(name, m[4])
-        before = stack[-1] if stack else ("", 0, 0.0, False)
-        stack.append((name, number, before[2] + odds, before[3] or hidden or name in DROPPED))
+        good, bad, hidden = _evidence(name, m[4])
+        before = stack[-1] if stack else ("", 0, 0.0, 0.0, False)
+        stack.append((name, number, before[2] + good, before[3] + bad, before[4] or hidden or name in DROPPED))
         links += name == "a"
         if m[4].endswith("/") and name in ("svg", "iframe", "object"):
             close(len(stack) - 1)
@@ -173,7 +178,7 @@ def costs(block: Block) -> float:
     """Log-odds that the block is content: what labelling it boilerplate costs more than labelling it content."""
     n = len(block.text)
     z = BIAS + LINKS * min(1.0, block.linked / n) + LENGTH * math.log(n) + MARKS * min(3, sum(block.text.count(c) for c in ".!?"))
-    return max(-12.0, min(12.0, block.evidence)) + z + ITEM * block.item + RIGHTS * (block.text[0] == "©")
+    return block.evidence + z + ITEM * block.item + RIGHTS * (block.text[0] == "©")
 
 
 def _common(a: tuple[int, ...], b: tuple[int, ...]) -> float:

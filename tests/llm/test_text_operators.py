@@ -42,7 +42,7 @@ def test_codec_on_spark(spark):
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>
 <div id="sidebar"><p>Long sidebar text here. It has sentences.</p></div><div class="cookie-notice">We use cookies. Accept.</div><!-- <p>no</p> --><article><h2>Title</h2><p>Hello <b>bold</b>&nbsp;&amp;
- world.<p>Second para, not so short<ul><li>one item of the list<li>two two</ul><form><input>sub</form></article><div class="comments"><p>Great article, thanks. I loved it.</p></div><footer>&copy; x</footer>"""
+ world.<p>Second para, not so short<ul><li>one item of the list<li>two two</ul><form><input>sub</form><section id="comments"><p>A reader comment within the article, long enough to look like text. It has sentences. Several of them.</p></section></article><div class="comments"><p>Great article, thanks. I loved it.</p></div><footer>&copy; x</footer>"""
 
 
 def test_main_text():
