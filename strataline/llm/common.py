@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text handled at once by a Python worker; bounds its memory whatever the row sizes are.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables of up to this many rows (some 20 MB at most) may be sent to all tasks; beyond, rows meet by a shuffled join.
+SMALL_TABLE = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,11 +28,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The shuffles behind it are of no use afterwards; Spark removes them when the write ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._strataline_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._strataline_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and idle ones would keep it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
@@ -43,8 +76,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         yield batch.slice(lo, hi - lo)
 
 
-def arrow_append(df: DataFrame, fields: list[T.StructField], text_col: str, fn, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of df with `fields` appended; fn maps a record batch to their arrays.
+def arrow_append(df: DataFrame, fields: list[T.StructField], text_col: str, fn, drop: tuple[str, ...] = (), done=None) -> DataFrame:
+    """Rows of df with `fields` appended; fn maps a record batch to their arrays, done ends a task.
 
     Input columns named like an appended one give way to it (compared without case, as Spark resolves names).
     """
@@ -57,6 +90,9 @@ def arrow_append(df: DataFrame, fields: list[T.StructField], text_col: str, fn,
             for batch in slices(whole, text_col):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in keep] + fn(batch), names=keep + [f.name for f in fields])
+        if done is not None:
+            done()
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -25,8 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, slices, spread
+from .common import discard, materialize, mix64, release, slices, spread
 
+#: Runs that a task gathers before it sends them to their owners.
+MESSAGE_RUNS = 500_000
+#: Distinct contexts that a task gathers before it sends them.
+MESSAGE_CONTEXTS = 150_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -95,7 +99,7 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int, inner: b
     # anchors that occur twice within a run: same gram again at a short distance
     twice = np.zeros(len(start), bool)
     if not inner:
-        return low[start], row[start], start - offsets[row[start]], end - start, twice
+        return mix64(low[start]), row[start], start - offsets[row[start]], end - start, twice
     order = np.argsort(grams, kind="stable")
     again = order[1:][(grams[order[1:]] == grams[order[:-1]]) & (order[1:] - order[:-1] < 3 * width)]
     if len(again):
@@ -104,7 +108,8 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int, inner: b
             good = at >= 0
             hit = at[good]
             twice[hit[low[start[hit]] == grams[again[good]]]] = True
-    return low[start], row[start], start - offsets[row[start]], end - start, twice
+    # smallest hashes crowd near zero: mixed again, they spread evenly over the owners
+    return mix64(low[start]), row[start], start - offsets[row[start]], end - start, twice
 
 
 @dataclass(frozen=True)
@@ -114,6 +119,7 @@ class Symbols:
     read: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
     whole: Callable[[str], tuple[int, bytes]]
     cut: Callable[[str], Callable[[int, int], bytes]]
+    slice_bytes: int = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -135,17 +141,6 @@ def _owner(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _by_group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order by the keys (most significant first), and group number of each sorted element."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    return order, np.cumsum(new)
-
-
-LIGHT = "id long, rid long, n long, sha string"
 RUN = "key int, blob binary, id long, rid long, n long, sha string, h long, lo int, span int"
 
 
@@ -165,38 +160,30 @@ def shared_runs(docs: DataFrame, symbols: Symbols, rule: Rule, length: int, k: i
     parts = spread(spark)
     keys = np.array(partition_keys(spark, parts), np.int32)
 
-    def slice_rows(batch: pa.RecordBatch):
-        texts = batch.column("text")
-        ids, rids = (np.asarray(batch.column(c)) for c in ("id", "rid"))
-        whole = [symbols.whole(t) for t in texts.to_pylist()]
-        yield _rows(len(ids), RUN_SCHEMA, key=keys[rids % parts], id=ids, rid=rids,
-                    n=[n for n, _ in whole], sha=[hashlib.sha256(b).hexdigest() for _, b in whole])
-        flat, offsets = symbols.read(texts)
-        h, row, lo, span, twice = runs(flat, offsets, length, k, rule.same_document)
-        if not len(h):
-            return
-        order, group = _by_group(h, row) if not rule.same_document else _by_group(h)
+    def emit(ids, rids, h, row, lo, span, twice):
+        """Known shared runs as rows, and one packed message per owner, from the runs of some slices."""
+        order = np.lexsort((row, h))
         h, row, lo, span, twice = (x[order] for x in (h, row, lo, span, twice))
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         number = np.cumsum(first) - 1
         if rule.same_document:
             known = (np.bincount(number)[number] > 1) | twice
-        else:
-            rows_of = np.zeros(number[-1] + 1, np.int64)
-            np.add.at(rows_of, number, np.concatenate(([True], group[1:] != group[:-1])))
-            known = rows_of[number] > 1
+        else:  # in more than one document
+            known = np.zeros(len(h), bool)
+            known[1:] = ~first[1:] & (row[1:] != row[:-1])
         # a group with any known run is known as a whole
-        any_known = np.zeros(number[-1] + 1, bool)
-        any_known[number[known]] = True
-        known = any_known[number]
-        if known.any():
-            yield _rows(int(known.sum()), RUN_SCHEMA, key=keys[rids[row[known]] % parts], id=ids[row[known]], rid=rids[row[known]],
-                        h=(h[known] >> np.uint64(16) << np.uint64(16)).view(np.int64), lo=lo[known].astype(np.int32), span=span[known].astype(np.int32))
+        some = np.zeros(number[-1] + 1, bool)
+        some[number[known]] = True
+        known = some[number]
+        at = np.flatnonzero(known)
+        for i in range(0, len(at), 100_000):
+            k = at[i: i + 100_000]
+            yield _rows(len(k), RUN_SCHEMA, key=keys[rids[row[k]] % parts], id=ids[row[k]], rid=rids[row[k]],
+                        h=(h[k] >> np.uint64(16) << np.uint64(16)).view(np.int64), lo=lo[k].astype(np.int32), span=span[k].astype(np.int32))
         sent = ~known | first
         h, row, lo, span, known = (x[sent] for x in (h, row, lo, span, known))
-        owner = _owner(h, parts)
-        edges = np.searchsorted(owner, np.arange(parts + 1))
+        edges = np.searchsorted(_owner(h, parts), np.arange(parts + 1))
         blobs, to = [], []
         for p in range(parts):
             a, b = edges[p], edges[p + 1]
@@ -204,16 +191,39 @@ def shared_runs(docs: DataFrame, symbols: Symbols, rule: Rule, length: int, k: i
                 used, place = np.unique(row[a:b], return_inverse=True)
                 delta = np.diff(h[a:b] >> np.uint64(16), prepend=np.uint64(0))  # 48 bits choose runs; contexts decide
                 run = pack(delta, place.astype(np.uint16 if len(used) < 65536 else np.uint32), lo[a:b].astype(np.uint32), span[a:b].astype(np.uint8), known[a:b])
-                doc = pack(ids[used], rids[used])
-                blobs.append(len(run).to_bytes(4, "little") + run + doc)
+                blobs.append(len(run).to_bytes(4, "little") + run + pack(ids[used], rids[used]))
                 to.append(int(keys[p]))
-        if blobs:
-            yield _rows(len(blobs), RUN_SCHEMA, key=to, blob=blobs)
+        for i in range(0, len(blobs), 256):
+            yield _rows(len(blobs[i: i + 256]), RUN_SCHEMA, key=to[i: i + 256], blob=blobs[i: i + 256])
 
     def send(batches):
+        held, docs_held, rows, size = [], [], 0, 0
+
+        def flush():
+            if held:
+                ids, rids = (np.concatenate(x) for x in zip(*docs_held))
+                columns = [np.concatenate(x) for x in zip(*held)]
+                held.clear(), docs_held.clear()
+                yield from emit(ids, rids, *columns)
+
         for whole in batches:
-            for batch in slices(whole, "text"):
-                yield from slice_rows(batch)
+            for batch in slices(whole, "text", symbols.slice_bytes):
+                texts = batch.column("text")
+                ids, rids = (np.asarray(batch.column(c)) for c in ("id", "rid"))
+                digest = [(n, hashlib.sha256(b).hexdigest()) for n, b in map(symbols.whole, texts.to_pylist())]
+                yield _rows(len(ids), RUN_SCHEMA, key=keys[rids % parts], id=ids, rid=rids, n=[n for n, _ in digest], sha=[d for _, d in digest])
+                flat, offsets = symbols.read(texts)
+                h, row, lo, span, twice = runs(flat, offsets, length, k, rule.same_document)
+                del flat
+                docs_held.append((ids.copy(), rids.copy()))
+                if len(h):
+                    held.append((h, (row + rows).astype(np.int32), lo.astype(np.int32), span.astype(np.uint8), twice))
+                rows, size = rows + len(ids), size + len(h)
+                if size >= MESSAGE_RUNS:
+                    yield from flush()
+                    rows = size = 0
+        yield from flush()
+        release()
 
     def own(batches):
         held: list[bytes] = []
@@ -293,23 +303,8 @@ def spans(touched: DataFrame, symbols: Symbols, rule: Rule, length: int, match:
     parts = spread(spark)
     keys = np.array(partition_keys(spark, parts), np.int32)
 
-    def slice_rows(batch: pa.RecordBatch):
-        column = batch.column("runs")
-        sizes = np.diff(np.asarray(column.offsets))
-        flat = column.flatten()
-        h = np.asarray(flat.field("h")).view(np.uint64)
-        lo, span = (np.asarray(flat.field(c)).astype(np.int64) for c in ("lo", "span"))
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        ids, rids = (np.asarray(batch.column(c))[row] for c in ("id", "rid"))
-        contexts, at = [], 0
-        for text, n in zip(batch.column("text").to_pylist(), sizes.tolist()):
-            cut = symbols.cut(text)
-            contexts += [cut(a, a + s - 1 + length) for a, s in zip(lo[at: at + n].tolist(), span[at: at + n].tolist())]
-            at += n
-        if not contexts:
-            return
-        numbers: dict[bytes, int] = {}
-        number = np.fromiter((numbers.setdefault(c, len(numbers)) for c in contexts), np.int64, len(contexts))
+    def emit(contexts, number, h, ids, rids, row, lo, span):
+        """Spans settled here, and the contexts that others must see, from some slices."""
         repeats, keep = settle(number, ids, lo, rule)
         if repeats.any():
             r = np.flatnonzero(repeats)
@@ -322,24 +317,58 @@ def spans(touched: DataFrame, symbols: Symbols, rule: Rule, length: int, match:
             ends = np.append(head[1:], len(r)) - 1
             yield _rows(len(head), SPAN_SCHEMA, key=keys[rids[r[head]] % parts], id=ids[r[head]], rid=rids[r[head]], a=a[head].astype(np.int32), b=(top[ends] - row[r[ends]] * (1 << 40)).astype(np.int32))
         k = np.flatnonzero(keep)
-        k = k[np.argsort(h[k], kind="stable")]
+        k = k[np.lexsort((number[k], h[k]))]
         edges = np.searchsorted(_owner(h[k], parts), np.arange(parts + 1))
         blobs, to = [], []
         for p in range(parts):
             mine = k[edges[p]: edges[p + 1]]
             if len(mine):
-                lens = np.array([len(contexts[i]) for i in mine], np.uint32)
+                # a context that several runs of one document share is written once: the length 0 repeats the one before
+                again = np.zeros(len(mine), bool)
+                again[1:] = number[mine[1:]] == number[mine[:-1]]
+                own_contexts = [contexts[i] for i in number[mine[~again]]]
+                lens = np.zeros(len(mine), np.uint32)
+                lens[~again] = [len(c) for c in own_contexts]
                 head = pack(h[mine], ids[mine], rids[mine], lo[mine].astype(np.uint32), span[mine].astype(np.uint16), lens)
-                body = zstandard.ZstdCompressor(level=1).compress(b"".join([contexts[i] for i in mine]))
+                body = zstandard.ZstdCompressor(level=1).compress(b"".join(own_contexts))
                 blobs.append(len(head).to_bytes(4, "little") + head + body)
                 to.append(int(keys[p]))
-        if blobs:
-            yield _rows(len(blobs), SPAN_SCHEMA, key=to, blob=blobs)
+        for i in range(0, len(blobs), 64):
+            yield _rows(len(blobs[i: i + 64]), SPAN_SCHEMA, key=to[i: i + 64], blob=blobs[i: i + 64])
 
     def send(batches):
+        numbers: dict[bytes, int] = {}
+        held, rows = [], 0
+
+        def flush():
+            nonlocal numbers
+            if held:
+                columns = [np.concatenate(x) for x in zip(*held)]
+                held.clear()
+                yield from emit(list(numbers), *columns)
+            numbers = {}
+
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                yield from slice_rows(batch)
+            for batch in slices(whole, "text", 1 << 20):
+                column = batch.column("runs")
+                sizes = np.diff(np.asarray(column.offsets))
+                flat = column.flatten()
+                h = np.asarray(flat.field("h")).view(np.uint64)
+                lo, span = (np.asarray(flat.field(c)).astype(np.int64) for c in ("lo", "span"))
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                ids, rids = (np.asarray(batch.column(c))[row] for c in ("id", "rid"))
+                number, at = [], 0
+                for text, n in zip(batch.column("text").to_pylist(), sizes.tolist()):
+                    cut = symbols.cut(text)
+                    number += [numbers.setdefault(cut(a, a + s - 1 + length), len(numbers)) for a, s in zip(lo[at: at + n].tolist(), span[at: at + n].tolist())]
+                    at += n
+                if number:
+                    held.append((np.array(number, np.int64), h, ids, rids, row + rows, lo, span))
+                rows += len(sizes)
+                if len(numbers) >= MESSAGE_CONTEXTS:
+                    yield from flush()
+        yield from flush()
+        release()
 
     def own(batches):
         held: list[bytes] = []
@@ -358,6 +387,9 @@ def spans(touched: DataFrame, symbols: Symbols, rule: Rule, length: int, match:
             body = zstandard.ZstdDecompressor().decompress(blob[4 + size:])
             ends = np.cumsum(heads[-1][5].astype(np.int64)).tolist()
             for a, b in zip([0, *ends], ends):
+                if a == b:
+                    number.append(number[-1])
+                    continue
                 c = body[a:b]
                 i = numbers.setdefault(c, len(contexts))
                 if i == len(contexts):
@@ -422,10 +454,13 @@ def find(docs: DataFrame, id_col: str, text_col: str, symbols: Symbols, rule: Ru
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), text.alias("text")).withColumn("rid", F.xxhash64("id", "text"))
     found = shared_runs(keyed, symbols, rule, length, k)
-    light = found.where("sha IS NOT NULL").select("id", "rid", "n", "sha")
+    light = materialize(found.where("sha IS NOT NULL").select("id", "rid", "n", "sha"), "whole-texts")
     lists = found.where("span IS NOT NULL").groupBy("rid", "id").agg(F.collect_set(F.struct("h", "lo", "span")).alias("runs"))
     touched = materialize(keyed.join(lists, ["rid", "id"]).select("id", "rid", "text", "runs"), "touched")
-    cut = spans(touched, symbols, rule, length, match).groupBy("rid", "id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    discard(found)
+    # written first: the contexts' shuffle is gone before texts move again
+    pieces = materialize(spans(touched, symbols, rule, length, match), "spans")
+    cut = pieces.groupBy("rid", "id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return Removals(light, touched.select("id", "rid", "text").join(cut, ["rid", "id"]).select("id", "rid", "text", "spans"))
 
 

@@ -40,7 +40,7 @@ def _cut(text: str):
     return lambda a, b: raw[a:b]
 
 
-BYTES = Symbols(_read, lambda t: (len(r := t.encode()), r), _cut)
+BYTES = Symbols(_read, lambda t: (len(r := t.encode()), r), _cut, slice_bytes=768 << 10)  # a symbol takes 8 bytes, in some ten arrays
 
 
 class Suffixes:
