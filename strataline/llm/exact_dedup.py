@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most leading bits of the directory: 65,536 entries at most on the driver, of 16 bytes each.
@@ -84,7 +84,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("bucket", "key", "chain", "entry.*")
         .sortWithinPartitions("bucket", "key", "chain")
     )
-    return materialize(owned, "exact-index")
+    index = materialize(owned, "exact-index")
+    discard(entries)
+    return index
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 200_000) -> DataFrame:

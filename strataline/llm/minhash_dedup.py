@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_bytes, materialize, mix64, slices, word_arrays
+from .common import discard, hash_bytes, materialize, mix64, release, slices, word_arrays
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -115,6 +115,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 at = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0))))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(n), *digests, _longs(at, keys[some].ravel())], names=["id", "n", "d1", "d2", "bands"])
+        release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, "id long, n long, d1 long, d2 long, bands array<long>")
@@ -128,6 +129,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: in
             for batch in slices(whole, "text", 2 << 20):
                 offsets, sets = shingle_sets(batch.column("text"), k)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), _longs(offsets, sets)], names=["id", "items"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
     return rows.mapInArrow(run, "id long, items array<long>").dropDuplicates(["id"])
@@ -241,7 +243,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_rows = materialize(tagged.join(mixed, "band", "left_semi"), "open-members")
     detail = reps.select("id", "bands").join(packed(sets), "id").dropDuplicates(["id"])
     found = verified(cross_links(open_rows.join(detail, "id"), percent), sets, percent)
-    labels = components(links.union(materialize(found, "links")))
+    more = materialize(found, "links")
+    labels = components(links.union(more))
+    discard(members, sets, open_rows, links, more)
 
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_append, materialize
+from .common import SMALL_TABLE, arrow_append, discard, materialize
 
 MARKS = b"!|#$%&*<>{}[]()=+/\\_-.,;:?\"'"
 NAMES = ["log_chars", "upper", "lower", "digit", "space", "line", "high", "control", "word_len", "long_words", "caps_words"] + [f"mark_{c}" for c in MARKS]
@@ -122,9 +122,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
         return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)]
 
     light = materialize(arrow_append(base.select(F.col(id_col).alias("_id"), "_host", "_path", F.col(text_col).alias("_text")), [as_list], "_text", arrays, drop=()).drop("_text"), "quality-features")
-    # a bounded sample of labelled rows, in an order that does not depend on the input's
+    # a bounded sample of labelled rows: by hash of the id, so that no more than it travels; the limit only guards
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).alias("_y"))
-    sample = light.join(known, "_id").orderBy(F.xxhash64("_id"), "_y").limit(max_train).select("_id", "_x", "_y", "_host", "_path").collect()
+    labelled = known.count()
+    if labelled > max_train:
+        known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * max_train / labelled))
+    sample = light.join(known, "_id").select("_id", "_x", "_y", "_host", "_path").limit(max_train).collect()
+    sample.sort(key=lambda r: (r["_id"] * 0x9E3779B97F4A7C15 % 2**64, r["_y"], r["_x"]))  # whatever the input's order was
     x = np.array([r["_x"] for r in sample], np.float64).reshape(len(sample), len(NAMES))
     y = np.array([r["_y"] for r in sample], np.float64)
     if not 0 < y.sum() < len(y):
@@ -149,12 +153,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     p = 1 / (1 + F.exp(-F.col("doc_logit")))
     paths = materialize(light.mapInArrow(scored, "_host string, _path string, doc_logit double").groupBy("_host", "_path").agg(
         F.sum(p).alias("total"), F.count(F.lit(1)).cast("double").alias("n")), "quality-paths")
+    discard(light)
     hosts = paths.groupBy("_host").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     whole = paths.agg(F.coalesce(F.sum("total") / F.sum("n"), F.lit(0.5))).first()[0]
     host_k, path_k = prior_strength(hosts), prior_strength(paths)
     hosts = hosts.withColumn("host_posterior", _posterior(F.col("total"), F.col("n"), F.lit(whole), F.lit(host_k)))
     sites = paths.alias("p").join(hosts.alias("h"), F.col("p._host").eqNullSafe(F.col("h._host"))).select(
         F.col("p._host").alias("_site_host"), F.col("p._path").alias("_site_path"), "p.total", "p.n", "h.host_posterior")
+    if paths.count() <= SMALL_TABLE:
+        sites = F.broadcast(sites)
 
     def combined(rows: DataFrame, carried: list[str]) -> DataFrame:
         own = 1 / (1 + F.exp(-F.col("doc_logit")))

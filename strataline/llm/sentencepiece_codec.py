@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_append
 
-TABLE_ROWS, TABLE_CHARS = 250_000, 4096
+TABLE_ROWS, TABLE_CHARS = 120_000, 4096
 MARK = "▁"
 _RUNS = re.compile(" +[^ ]*")
 
@@ -113,4 +113,4 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text") -> D
             state.append(Codec(model_path))
         return list(state[0].run(batch.column(text_col).to_pylist()))
 
-    return arrow_append(docs, fields, text_col, fn)
+    return arrow_append(docs, fields, text_col, fn, done=state.clear)

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import SMALL_TABLE, materialize
 
 #: Rows aimed at in one cell of a leaf's order; the number of cells follows the input.
 CELL_ROWS = 20_000
@@ -100,10 +100,12 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], levels: dict[str,
         plan.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long"))
         .withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")), "mix-plan")
 
+    sent = F.broadcast if plan.count() <= SMALL_TABLE else lambda df: df
+
     # the cut of each leaf: cells of the order key, then the rows of the one cell that holds it
     digits = max(1, math.ceil(math.log(max(1, total[1] / CELL_ROWS), 16)) + 1)
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names]
-    placed = light.alias("r").join(plan.alias("p"), same("r", "p")).select(
+    placed = light.alias("r").join(sent(plan).alias("p"), same("r", "p")).select(
         "r.*", "p.rest", order_key(seed, F.col("p.whole"), F.col("r.id")).alias("place")).withColumn("cell", F.substring("place", 1, digits))
     leaf = Window.partitionBy(*names)
     cells = (
@@ -112,7 +114,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], levels: dict[str,
         .withColumn("before", F.col("until") - F.col("cell_tokens"))
     )
     cuts = materialize(cells.filter("before <= rest AND until > rest").select(*names, "cell", "before"), "mix-cuts")
-    by_place = placed.alias("r").join(cuts.alias("c"), [*same("r", "c"), F.col("r.cell") == F.col("c.cell")]).groupBy(
+    by_place = placed.alias("r").join(sent(cuts).alias("c"), [*same("r", "c"), F.col("r.cell") == F.col("c.cell")]).groupBy(
         *[F.col(f"r.{k}") for k in names], "r.place").agg(F.sum("r.n_tokens").alias("n_tokens"), F.first("c.before").alias("before"), F.first("r.rest").alias("rest"), F.first("r.cell").alias("cell"))
     inside = by_place.withColumn("until", F.col("before") + F.sum("n_tokens").over(
         Window.partitionBy(*names, "cell").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -121,7 +123,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], levels: dict[str,
     # without a place that is left out, the rest took the whole leaf: only an empty leaf or an exact fit gets here
     taken = F.when(F.col("p.first_out").isNull(), F.col("p.tokens") <= F.col("p.rest")).otherwise(
         order_key(seed, F.col("p.whole"), F.col(f"r.{id_col}")) < F.col("p.first_out"))
-    return rows.alias("r").join(plan.alias("p"), same("r", "p")).select(
+    return rows.alias("r").join(sent(plan).alias("p"), same("r", "p")).select(
         *[F.col(f"r.{c}") for c in keep], "r.n_tokens", F.col("p.budget").alias("leaf_budget"),
         F.least(F.col("p.whole") + taken.cast("long"), F.lit(max_epochs).cast("long")).alias("copies"))
 
