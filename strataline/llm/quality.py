@@ -6,8 +6,8 @@
    the global mean and path means to their host's, each by a prior strength estimated from the spread between groups
    (moments of a beta-binomial): a sparse site stays at its prior, a large one speaks for itself.
 3. A document's final log-odds is its own plus `site_weight` times the log-odds its path (without the document itself)
-   gains over the global mean.  The threshold is set on held-out labelled rows so that at most `max_loss` of the good
-   ones are rejected.
+   gains over the global mean.  The threshold is set over all labelled rows that no weight was fitted on, inside the
+   sample or outside it, so that at most `max_loss` of the good ones are rejected; it is found by counting in the tasks.
 
 Features are computed in Arrow batches; site tables hold one row per path; the join back lets Spark's adaptive planner
 choose, so a large host splits.  Defined results: null text counts as empty; null hosts and paths form groups of their
@@ -125,9 +125,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     # a bounded sample of labelled rows: by hash of the id, so that no more than it travels; the limit only guards
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).alias("_y"))
     labelled = known.count()
+    drawn = known
     if labelled > max_train:
-        known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * max_train / labelled))
-    sample = light.join(known, "_id").select("_id", "_x", "_y", "_host", "_path").limit(max_train).collect()
+        drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * max_train / labelled))
+    sample = light.join(drawn, "_id").select("_id", "_x", "_y", "_host", "_path").limit(max_train).collect()
     sample.sort(key=lambda r: (r["_id"] * 0x9E3779B97F4A7C15 % 2**64, r["_y"], r["_x"]))  # whatever the input's order was
     x = np.array([r["_x"] for r in sample], np.float64).reshape(len(sample), len(NAMES))
     y = np.array([r["_y"] for r in sample], np.float64)
@@ -136,9 +137,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
         return base.select(*keep, nothing.alias("doc_logit"), nothing.alias("host_posterior"), nothing.alias("path_posterior"), nothing.alias("score"), F.lit(True).alias("accepted"))
     held = np.arange(len(y)) % 4 == 3 if len(y) >= 400 else np.ones(len(y), bool)
     weights = fit_logistic(x[~held] if (~held).any() else x, y[~held] if (~held).any() else y)
+    fitted = np.array([r["_id"] for r, h in zip(sample, held) if not h], np.int64)
 
-    def logit(batch):
-        return [pa.array(np.clip(features(batch.column(text_col)) @ weights[:-1] + weights[-1], -30, 30), pa.float64())]
+    def logit(batch):  # of the features as `light` holds them, so that the threshold meets the scores it was set on
+        x = features(batch.column(text_col)).astype(np.float32).astype(np.float64)
+        return [pa.array(np.clip(x @ weights[:-1] + weights[-1], -30, 30), pa.float64())]
 
     def light_logit(batch):
         flat = np.asarray(batch.column("_x").flatten(), np.float64).reshape(-1, len(NAMES))
@@ -150,10 +153,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("_host"), batch.column("_path"), *light_logit(batch)], names=["_host", "_path", "doc_logit"])
 
+    def unseen(batches):
+        for batch in batches:
+            rows = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_host", "_path")), *light_logit(batch)], names=["_id", "_host", "_path", "doc_logit"])
+            known_id = pc.is_in(batch.column("_id"), value_set=pa.array(fitted).cast(batch.column("_id").type))
+            yield rows.filter(pc.invert(known_id))
+
     p = 1 / (1 + F.exp(-F.col("doc_logit")))
     paths = materialize(light.mapInArrow(scored, "_host string, _path string, doc_logit double").groupBy("_host", "_path").agg(
         F.sum(p).alias("total"), F.count(F.lit(1)).cast("double").alias("n")), "quality-paths")
-    discard(light)
     hosts = paths.groupBy("_host").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     whole = paths.agg(F.coalesce(F.sum("total") / F.sum("n"), F.lit(0.5))).first()[0]
     host_k, path_k = prior_strength(hosts), prior_strength(paths)
@@ -171,20 +179,38 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
             "score", F.col("doc_logit") + site_weight * (_logit(F.col("path_posterior")) - _logit(F.lit(whole)))).select(
             *carried, "doc_logit", "host_posterior", "path_posterior", "score")
 
-    # the threshold, on the held-out part of the bounded sample
-    spark = docs.sparkSession
-    test = [(r["_host"], r["_path"], float(np.clip(v, -30, 30)), bool(r["_y"])) for r, v, h in zip(sample, x @ weights[:-1] + weights[-1], held) if h]
-    rows = combined(spark.createDataFrame(test, "_host string, _path string, doc_logit double, _y boolean"), ["_y"]).collect()
-    threshold = calibrate(np.array([r["score"] for r in rows]), np.array([r["_y"] for r in rows]), max_loss)
+    # the threshold, over every labelled row that was not fitted on
+    row = T.StructType([light.schema[c] for c in ("_id", "_host", "_path")] + [value])
+    judged = materialize(combined(light.mapInArrow(unseen, row).join(known, "_id"), ["_y"]).select("score", "_y"), "quality-judged")
+    threshold = calibrate(judged, max_loss)
+    discard(light, judged)
     final = combined(arrow_append(base, [value], text_col, logit), keep)
     return final.withColumn("score", F.col("score") - threshold).withColumn("accepted", F.col("score") >= 0)
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, max_loss: float) -> float:
-    """The threshold: halfway between the kinds where they separate, else the lowest that loses at most max_loss of the good."""
-    if not good.any():
-        return float(score.max(initial=0.0)) + 1.0
-    ranked = np.sort(score[good])
-    floor = float(ranked[int(max_loss * len(ranked))])
-    below = score[~good][score[~good] < floor]
-    return (floor + float(below.max())) / 2 if len(below) else floor - 1.0
+def ranked_score(scores: DataFrame, rank: int, low: float, high: float, cells: int = 4096) -> float:
+    """The score with `rank` smaller ones (ties in any order) of a table within low..high, exactly.
+
+    Each pass counts the rows of equal ranges of scores inside the tasks and goes on within the range that holds the rank.
+    """
+    while low < high:
+        cell = F.least(F.floor((F.col("score") - F.lit(low)) / F.lit(high - low) * cells), F.lit(cells - 1))
+        found = scores.where(F.col("score").between(low, high)).groupBy(cell.alias("cell")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()  # at most `cells` rows
+        for r in sorted(found, key=lambda r: r["cell"]):
+            if rank < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            rank -= r["n"]
+    return low
+
+
+def calibrate(judged: DataFrame, max_loss: float) -> float:
+    """The threshold over all rows (score, _y): halfway between the kinds where they separate, else the lowest that loses at most max_loss of the good."""
+    good = judged.where("_y")
+    n, low, high = good.agg(F.count("score"), F.min("score"), F.max("score")).first()
+    if not n:
+        return float(judged.agg(F.greatest(F.max("score"), F.lit(0.0))).first()[0]) + 1.0
+    floor = ranked_score(good, int(max_loss * n), low, high)
+    below = judged.where(~F.col("_y") & (F.col("score") < F.lit(floor))).agg(F.max("score")).first()[0]
+    return floor - 1.0 if below is None else (floor + below) / 2

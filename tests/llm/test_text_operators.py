@@ -113,6 +113,34 @@ def test_scan_edges(spark):
     assert spans[0] == spans[1] == [] and spans[len(EDGE)] == [("model", 4, 44)] and spans[len(EDGE) + 1] == [("assign", 0, 17)]
 
 
+def test_quality_threshold_covers_all_labels(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9)))
+    mark = lambda share: " ".join(word() + ("!" if r.random() < share else "") for _ in range(60))
+    good = [r.random() < 0.8 for _ in range(4000)]
+    texts = [mark(min(1.0, max(0.0, r.gauss(0.3 if g else 0.6, 0.12)))) for g in good]
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    out = quality.classify(docs(spark, texts), labels, max_train=500, max_loss=0.05).select("doc_id", "accepted").collect()
+    lost = sum(good[x["doc_id"]] and not x["accepted"] for x in out) / sum(good)
+    assert 0.045 <= lost <= 0.052
+
+
+def test_quality_calibration_is_exact(spark):
+    r = np.random.default_rng(3)
+    for score, good in [(r.normal(size=3000), r.random(3000) < 0.8), (np.round(r.normal(size=2000), 1), r.random(2000) < 0.5), (np.full(50, 2.5), r.random(50) < 0.5),
+                        (r.normal(size=20), np.zeros(20, bool)), (r.normal(size=20) - 9, np.ones(20, bool))]:
+        table = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(score, good)], "score double, _y boolean")
+        for loss in (0.0, 0.002, 0.3):
+            if not good.any():
+                want = max(0.0, score.max()) + 1
+            else:
+                ranked = np.sort(score[good])
+                floor = ranked[int(loss * len(ranked))]
+                below = score[~good & (score < floor)]
+                want = (floor + below.max()) / 2 if len(below) else floor - 1
+            assert quality.calibrate(table, loss) == want
+
+
 def test_quality_separates_and_handles_edges(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9)))
