@@ -6,13 +6,14 @@
    the global mean and path means to their host's, each by a prior strength estimated from the spread between groups
    (moments of a beta-binomial): a sparse site stays at its prior, a large one speaks for itself.
 3. A document's final log-odds is its own plus `site_weight` times the log-odds its path (without the document itself)
-   gains over the global mean.  The threshold is set over all labelled rows that no weight was fitted on, inside the
-   sample or outside it, so that at most `max_loss` of the good ones are rejected; it is found by counting in the tasks.
+   gains over the global mean.  The threshold is set over all labelled rows so that at most `max_loss` of the good ones
+   are rejected; it is found by counting in the tasks.  No row counts there by weights that were fitted on it: the rows
+   of the sample are scored by cross-fitting (FOLDS fits, each without the rows it scores), at every size alike.
 
 Features are computed in Arrow batches; site tables hold one row per path; the join back lets Spark's adaptive planner
 choose, so a large host splits.  Defined results: null text counts as empty; null hosts and paths form groups of their
-own; null labels are ignored; repeated labels of a document count once each; without labels of both kinds all documents
-are kept with score 0; an empty table gives an empty table; input columns named like an output are replaced.
+own; null labels are ignored; repeated labels of a document count once each; without labels of both kinds in
+the sample all documents are kept with score 0; a kind with one labelled document is unknown to the fit that scores it; an empty table gives an empty table; input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from .common import SMALL_TABLE, arrow_append, discard, materialize
 MARKS = b"!|#$%&*<>{}[]()=+/\\_-.,;:?\"'"
 NAMES = ["log_chars", "upper", "lower", "digit", "space", "line", "high", "control", "word_len", "long_words", "caps_words"] + [f"mark_{c}" for c in MARKS]
 
+#: Parts of the sample that are scored for the threshold by a fit on the other parts.
+FOLDS = 4
+
 
 def _classes() -> np.ndarray:
     """Class of each byte value."""
@@ -71,6 +75,8 @@ def features(texts: pa.Array) -> np.ndarray:
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
     """Newton's method on standardised features; weights for raw features, intercept last."""
+    if not len(x):
+        return np.zeros(x.shape[1] + 1)
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = 1.0
     z = np.hstack(((x - mean) / scale, np.ones((len(x), 1))))
@@ -85,6 +91,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return np.append(raw, w[-1] - raw @ mean)
 
 
+def folds(ids: list[int], good: np.ndarray) -> np.ndarray:
+    """The fold of each row: rows of one id stay together, and the ids of each kind are dealt out evenly as they come."""
+    kind: dict[int, float] = {}
+    for i, g in zip(ids, good):
+        kind[i] = max(g, kind.get(i, 0.0))
+    fold = {i: n % FOLDS for n, i in enumerate(sorted(kind, key=kind.get))}
+    return np.array([fold[i] for i in ids])
+
+
 def _posterior(total: Column, n: Column, prior: Column, strength: Column) -> Column:
     return (strength * prior + total) / (strength + n)
 
@@ -135,9 +150,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     if not 0 < y.sum() < len(y):
         nothing = F.lit(0.0)
         return base.select(*keep, nothing.alias("doc_logit"), nothing.alias("host_posterior"), nothing.alias("path_posterior"), nothing.alias("score"), F.lit(True).alias("accepted"))
-    held = np.arange(len(y)) % 4 == 3 if len(y) >= 400 else np.ones(len(y), bool)
-    weights = fit_logistic(x[~held] if (~held).any() else x, y[~held] if (~held).any() else y)
-    fitted = np.array([r["_id"] for r, h in zip(sample, held) if not h], np.int64)
+    weights, fold = fit_logistic(x, y), folds([r["_id"] for r in sample], y)
+    each = np.array([fit_logistic(x[fold != k], y[fold != k]) for k in range(FOLDS)] + [weights])
+    sample_ids, first = np.unique(np.array([r["_id"] for r in sample], np.int64), return_index=True)
+    sample_folds = fold[first]
 
     def logit(batch):  # of the features as `light` holds them, so that the threshold meets the scores it was set on
         x = features(batch.column(text_col)).astype(np.float32).astype(np.float64)
@@ -153,11 +169,15 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("_host"), batch.column("_path"), *light_logit(batch)], names=["_host", "_path", "doc_logit"])
 
-    def unseen(batches):
+    def crossed(batches):
         for batch in batches:
-            rows = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_host", "_path")), *light_logit(batch)], names=["_id", "_host", "_path", "doc_logit"])
-            known_id = pc.is_in(batch.column("_id"), value_set=pa.array(fitted).cast(batch.column("_id").type))
-            yield rows.filter(pc.invert(known_id))
+            ids = np.asarray(pc.fill_null(batch.column("_id").cast(pa.int64()), 0))
+            at = np.minimum(np.searchsorted(sample_ids, ids), len(sample_ids) - 1)
+            by = np.where(sample_ids[at] == ids, sample_folds[at], FOLDS)
+            flat = np.asarray(batch.column("_x").flatten(), np.float64).reshape(-1, len(NAMES))
+            held = np.clip(flat @ each[:, :-1].T + each[:, -1], -30, 30)[np.arange(len(ids)), by]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_host", "_path")), *light_logit(batch), pa.array(held)],
+                                             names=["_id", "_host", "_path", "doc_logit", "held_logit"])
 
     p = 1 / (1 + F.exp(-F.col("doc_logit")))
     paths = materialize(light.mapInArrow(scored, "_host string, _path string, doc_logit double").groupBy("_host", "_path").agg(
@@ -171,17 +191,17 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     if paths.count() <= SMALL_TABLE:
         sites = F.broadcast(sites)
 
-    def combined(rows: DataFrame, carried: list[str]) -> DataFrame:
+    def combined(rows: DataFrame, carried: list[str], by: str = "doc_logit") -> DataFrame:
         own = 1 / (1 + F.exp(-F.col("doc_logit")))
         joined = rows.join(sites, F.col("_host").eqNullSafe(F.col("_site_host")) & F.col("_path").eqNullSafe(F.col("_site_path")))
         others = _posterior(F.greatest(F.col("total") - own, F.lit(0.0)), F.col("n") - 1, F.col("host_posterior"), F.lit(path_k))
         return joined.withColumn("path_posterior", others).withColumn(
-            "score", F.col("doc_logit") + site_weight * (_logit(F.col("path_posterior")) - _logit(F.lit(whole)))).select(
+            "score", F.col(by) + site_weight * (_logit(F.col("path_posterior")) - _logit(F.lit(whole)))).select(
             *carried, "doc_logit", "host_posterior", "path_posterior", "score")
 
-    # the threshold, over every labelled row that was not fitted on
-    row = T.StructType([light.schema[c] for c in ("_id", "_host", "_path")] + [value])
-    judged = materialize(combined(light.mapInArrow(unseen, row).join(known, "_id"), ["_y"]).select("score", "_y"), "quality-judged")
+    # the threshold, over every labelled row, by weights that did not see it
+    row = T.StructType([light.schema[c] for c in ("_id", "_host", "_path")] + [value, T.StructField("held_logit", T.DoubleType())])
+    judged = materialize(combined(light.mapInArrow(crossed, row).join(known, "_id"), ["_y"], "held_logit").select("score", "_y"), "quality-judged")
     threshold = calibrate(judged, max_loss)
     discard(light, judged)
     final = combined(arrow_append(base, [value], text_col, logit), keep)

@@ -125,6 +125,18 @@ def test_quality_threshold_covers_all_labels(spark):
     assert 0.045 <= lost <= 0.052
 
 
+def test_quality_threshold_of_few_labels_is_held_out(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) + r.choice(quality.MARKS.decode())
+    good = [r.random() < 0.6 for _ in range(2000)]  # the texts do not tell: only a fit on the very rows would separate them
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good[:100])], "doc_id long, quality int")
+    out = quality.classify(docs(spark, [" ".join(word() for _ in range(20)) for _ in good]), labels, max_loss=0.0).where("doc_id >= 100")
+    lost = sum(good[x["doc_id"]] and not x["accepted"] for x in out.select("doc_id", "accepted").collect()) / sum(good[100:])
+    assert lost <= 0.05
+    parts = quality.folds([5, 7, 5, 9, 8, 6], np.array([1, 0, 0, 1, 1, 0]))
+    assert parts[0] == parts[2] and len({parts[1], parts[5]}) == 2 and len({parts[0], parts[3], parts[4]}) == 3
+
+
 def test_quality_calibration_is_exact(spark):
     r = np.random.default_rng(3)
     for score, good in [(r.normal(size=3000), r.random(3000) < 0.8), (np.round(r.normal(size=2000), 1), r.random(2000) < 0.5), (np.full(50, 2.5), r.random(50) < 0.5),
