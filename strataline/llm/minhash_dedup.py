@@ -13,8 +13,8 @@ Pairs that agree on a whole band are candidates.  At similarity 0.8 a pair misse
 2. Per bucket only pairs (member, smallest member) are compared, so a bucket of n rows gives n - 1 pairs.
 3. Verified pairs are contracted to components.  Buckets that still hold several components are gone through once more,
    in blocks of BLOCK members: members of different components are compared inside the worker (each pair in the first
-   bucket it shares, and only if it shares two; at similarity 0.8 a pair shares fewer with probability 2.5e-6), so that
-   no pair of such a bucket becomes a row unless it is a link.  No candidate is dropped.
+   bucket it shares) on 32-bit shingle hashes, with room for as many as collide within a set, so that no pair of such a
+   bucket becomes a row unless it may be a link.  No candidate is dropped.
 4. Links are confirmed by intersecting the full shingle sets (64-bit shingle hashes; two distinct shingles of a pair of
    1,000-shingle sets agree by chance with probability 1e-13).
 
@@ -37,6 +37,8 @@ from .components import components
 BANDS, ROWS = 40, 5
 #: Members of a bucket that are compared in one piece.
 BLOCK = 2_000
+#: Shingle hashes that are looked up at once.
+LOOKUP = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +161,7 @@ def cross_links(members: DataFrame, percent: int) -> DataFrame:
         part, size = np.array([r["part"] for r in right]), np.array([r["n"] for r in right])
         ids = np.array([r["id"] for r in right])
         items = [np.frombuffer(r["items"], np.uint32) for r in right]
+        lens = np.array([len(x) for x in items])
         for r in left:
             own = np.asarray(r["bands"], np.int64)
             near = np.flatnonzero((part != r["part"]) & (100 * np.minimum(size, r["n"]) >= percent * np.maximum(size, r["n"])))
@@ -167,17 +170,16 @@ def cross_links(members: DataFrame, percent: int) -> DataFrame:
             if not len(near):
                 continue
             same = keys[near] == own
-            near = near[(same.sum(1) >= 2) & (own[same.argmax(1)] == band)]
-            if not len(near):
-                continue
+            near = near[same.any(1) & (own[same.argmax(1)] == band)]
             mine = np.frombuffer(r["items"], np.uint32)
-            flat = np.concatenate([items[i] for i in near])
-            lens = np.array([len(items[i]) for i in near])
-            at = np.searchsorted(mine, flat)
-            hit = mine[np.minimum(at, len(mine) - 1)] == flat
-            both = np.add.reduceat(hit, np.cumsum(lens) - lens) + 2  # room for hashes that agree within a set
-            for i in near[100 * both >= percent * (size[near] + r["n"] - both)]:
-                yield max(r["id"], int(ids[i])), min(r["id"], int(ids[i]))
+            ends = np.cumsum(lens[near])
+            for some in np.split(near, np.flatnonzero(np.diff(ends // LOOKUP)) + 1) if len(near) else ():
+                flat = np.concatenate([items[i] for i in some])
+                hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                both = np.add.reduceat(hit, np.cumsum(lens[some]) - lens[some], dtype=np.int64)
+                both += np.maximum(0, np.minimum(r["n"] - len(mine), size[some] - lens[some]))  # hashes that agree within a set
+                for i in some[100 * both >= percent * (size[some] + r["n"] - both)]:
+                    yield max(r["id"], int(ids[i])), min(r["id"], int(ids[i]))
 
     def run(batches):
         key, held = None, []

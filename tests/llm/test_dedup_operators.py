@@ -94,6 +94,17 @@ def test_near(spark, rows, k):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got)
 
 
+def test_near_links_of_one_shared_band(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "LOOKUP", 3)
+    items = lambda *x: np.array(x, np.uint32).tobytes()
+    rows = [  # 1-2: equal sets; 3-4: half of the hashes collide within each set; 5: too small; all share band 7 alone
+        (7, 1, 5, [7, 11], 1, items(1, 2, 3, 4, 5)), (7, 2, 5, [7, 12], 2, items(1, 2, 3, 4, 5)),
+        (7, 3, 10, [7, 13], 3, items(20, 21, 22, 23, 24)), (7, 4, 10, [7, 14], 4, items(20, 21, 22, 23, 24)), (7, 5, 3, [7, 15], 5, items(1, 2, 3)),
+    ]
+    members = spark.createDataFrame(rows, "band long, id long, n long, bands array<long>, part long, items binary")
+    assert {(x["a"], x["b"]) for x in minhash_dedup.cross_links(members, 80).collect()} == {(2, 1), (4, 3)}
+
+
 def test_near_edges(spark):
     got = minhash_dedup.near_duplicates(frame(spark, [(None, "a b c"), (1, "a b c"), (2, " \n"), (3, None)]), k=2).collect()
     assert {(x["doc_id"], x["component_id"], x["kept"]) for x in got} == {(None, None, True), (1, 1, True), (2, 2, True), (3, 3, True)}
