@@ -1,16 +1,17 @@
 """Secret scanning: fixed patterns plus a character convolutional network over candidates in context.
 
 Base spans come from three patterns (leftmost, not overlapping, per kind).  Candidates are all maximal runs of key
-characters of MIN_RUN or more with a digit and a letter; a small convolutional network in numpy reads the whole
+characters of MIN_RUN or more, or what base spans leave uncovered of them (without joining marks at the cut), with a
+digit and another character; a small convolutional network in numpy reads the whole
 candidate (in overlapping windows, the highest score counts) with CONTEXT characters on both sides.  It is trained here,
 on labelled findings drawn by a seeded generator of key formats and look-alikes; a logistic recalibration is fitted on a
-second part, and the threshold is the highest that keeps MIN_RECALL of the secrets of that part.  Candidates over the
-threshold that touch no base span are added as kind `model`; base spans always stay.
+second part, and the threshold is the highest that keeps MIN_RECALL of the secrets of that part (of generated
+candidates, not of whole texts).  Candidates over the threshold are added as kind `model`; base spans always stay.
 
 Texts are scanned whole, in Arrow batches without any shuffle; the network is a fixed 40 KB sent with the task.
 
 Defined results: null text counts as empty; texts without spans give an empty array; spans count code points, end
-exclusive, sorted by start, then kind in the order assign, access, hex, model; a run of any length is one candidate;
+exclusive, sorted by start, then kind in the order assign, access, hex, model; an uncovered run of any length is one candidate;
 repeated rows give repeated results; an empty table gives an empty table; input columns named like an output are replaced.
 """
 
@@ -35,6 +36,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_RUN)
+_MARKS = "+/_.=-"
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 
@@ -201,6 +203,21 @@ def trained(seed: int = SEED, n_train: int = 4000, n_calibrate: int = 2000, epoc
     return net
 
 
+def uncovered(text: str, lo: int, hi: int, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a run outside all base spans, without marks where a span was cut off, of MIN_RUN or more."""
+    parts, at = [], lo
+    for s, e in [*((s, e) for _, s, e in base if s < hi and lo < e), (hi, hi)]:  # by start
+        a, b = at, max(at, s)
+        while a < b and at > lo and text[a] in _MARKS:
+            a += 1
+        while a < b and b < hi and text[b - 1] in _MARKS:
+            b -= 1
+        if b - a >= MIN_RUN:
+            parts.append((a, b))
+        at = max(at, e)
+    return parts
+
+
 def scan(texts: list[str | None], net: Network) -> list[list[tuple[str, int, int, float]]]:
     """(kind, start, end, score) of every span of each text."""
     out, inputs, owners = [], [], []
@@ -209,9 +226,9 @@ def scan(texts: list[str | None], net: Network) -> list[list[tuple[str, int, int
         runs = [m.span() for m in _RUN.finditer(text)]
         base = base_spans(text, runs)
         out.append([(k, s, e, 1.0) for k, s, e in base])
-        for lo, hi in runs:
+        for lo, hi in (part for run in runs for part in uncovered(text, *run, base)):
             run = text[lo:hi]
-            if any(c in run for c in string.digits) and not run.isdigit() and not any(s < hi and lo < e for _, s, e in base):
+            if any(c in run for c in string.digits) and not run.isdigit():
                 w = windows(text, lo, hi)
                 inputs += w
                 owners += [(row, lo, hi)] * len(w)

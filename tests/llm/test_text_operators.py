@@ -153,6 +153,21 @@ def test_quality_calibration_is_exact(spark):
             assert quality.calibrate(table, loss) == want
 
 
+def test_secrets_beside_base_spans_are_scored():
+    class Sure:
+        threshold = 0.5
+
+        def score(self, x):
+            return np.ones(len(x))
+
+    key, access, hexa = "aB3" * 13 + "Z", "AKIA" + "Q7" * 8, "0a" * 12
+    found = lambda text: [(k, text[s:e]) for k, s, e, _ in secret_scan.scan([text], Sure())[0]]
+    assert found(f"see {access}/{key} on") == [("access", access), ("model", key)]
+    assert found(f"{hexa}/sk_live_{key}==") == [("hex", hexa), ("model", f"sk_live_{key}==")]
+    assert found(f"{key}/{access}/{key}") == [("model", key), ("access", access), ("model", key)]
+    assert found(f"{access}/short1 {access}") == [("access", access)] * 2
+
+
 def test_quality_separates_and_handles_edges(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9)))
