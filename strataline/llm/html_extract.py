@@ -29,12 +29,16 @@ from pyspark.sql import types as T
 from .common import arrow_append
 
 #: Elements whose text never shows, or belongs to a form or an embedded object.
-DROPPED = frozenset("script style noscript template head title iframe object svg math form select textarea button canvas audio video map datalist".split())
+DROPPED = frozenset("script style noscript template head title iframe object svg form select textarea button canvas audio video map datalist".split())
 #: Elements whose content is raw text up to their end tag.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that flow within a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas are text of the paragraph they stand in; only their source annotations, which are not shown, are dropped.
+INLINE |= frozenset("math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded menclose maction msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd annotation annotation-xml".split())
+ANNOTATIONS = frozenset(("annotation", "annotation-xml"))
+DROPPED |= ANNOTATIONS
 #: An open <p> ends where one of these starts.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Evidence of an element name for content (positive) or boilerplate (negative), in log-odds.
@@ -133,6 +137,8 @@ def blocks(page: str) -> list[Block]:
             if depth is not None:
                 close(depth)
             continue
+        if stack and stack[-1][0] in ANNOTATIONS:
+            continue
         if name in RAW:
             stop = re.compile(rf"</{name}\b", re.I).search(page, at)
             if name in DROPPED or stop is None:

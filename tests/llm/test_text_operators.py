@@ -153,6 +153,11 @@ def test_quality_calibration_is_exact(spark):
             assert quality.calibrate(table, loss) == want
 
 
+def test_formulas_are_text():
+    formula = "<math><semantics><mrow><mi>a</mi><mo>=</mo><mi>b</mi><mspace/><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding='application/x-tex'>a=bc^2</annotation><annotation-xml><ci>q</ci></annotation-xml></semantics></math>"
+    assert html_extract.main_text(f"<p>It holds that {formula} for every circle, as is well known.</p>") == "It holds that a=bc2 for every circle, as is well known."
+
+
 def test_secrets_beside_base_spans_are_scored():
     class Sure:
         threshold = 0.5
