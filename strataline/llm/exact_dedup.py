@@ -1,11 +1,17 @@
 """Exact dedup by an extendible-hash index kept as files in the shared folder.
 
-DataFrame functions only.  A text's key is the 64-bit hash of its normalised bytes; a bucket is a range of keys named by
-leading bits.  The directory doubles (one more leading bit) wherever a bucket holds more than `bucket_rows` distinct
-entries; a bucket whose entries all share one key cannot split and stays.  Owner tasks each take a range of the
-directory and write its entries: rows are first combined per key and normalised text inside every map task, so a group
-of copies of any size reaches its owner as one row per map task, and texts are compared as bytes there.  Different texts
-under one key are chained (`chain` = 0, 1, ...).  The probe joins documents to the index by (key, SHA-256), both small.
+DataFrame functions only.  A text's key is the 64-bit hash of its normalised bytes; a bucket is a range of keys, named by
+leading bits, and the directory maps every combination of leading bits to its bucket.
+
+1. A first pass counts rows per key.  The directory doubles (one more leading bit) wherever a bucket would hold more than
+   `bucket_rows` rows, until no bucket is overfull or the directory has 2 ** MAX_DEPTH cells; with more than
+   `bucket_rows` * 2 ** (MAX_DEPTH - 1) rows the bound of a bucket grows in proportion, so the directory does not.
+2. Every text travels to the owner of its bucket: an owner task holds whole buckets, that is ranges of keys.  Keys of
+   very many rows (HOT_ROWS, or a SMALL_TABLE-th of all rows where that is more; a table of bounded size) are combined
+   first, map-side and in SALTS parts, so that a text that a third of all rows hold reaches its owner SALTS times.
+3. The owner compares texts of one key byte by byte and chains different ones (`chain` = 0, 1, ...).  Its entries, with
+   the SHA-256 of each distinct text, are the index.  Entries of a chain of several texts keep their text.
+4. Documents look their key up in the index; where a key has a chain, the bytes are compared with each entry's text.
 
 Defined results: null text counts as empty (all empty texts are copies of each other); of rows tied on the largest
 doc_id all are kept; null doc_ids count as smaller than any other (a group of only null ids has keep_id null and keeps
@@ -14,88 +20,92 @@ its rows); an empty table gives an empty table; input columns named like an outp
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import SMALL_TABLE, discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most leading bits of the directory: 65,536 entries at most on the driver, of 16 bytes each.
+#: Most leading bits of the directory: 65,536 cells at most on the driver and in the table that is sent to all tasks.
 MAX_DEPTH = 16
+BUCKET_ROWS, HOT_ROWS, SALTS = 1_024, 1_024, 16
 
 
-def normalised(text):
+def normalised(text: Column) -> Column:
     """Null as empty, A-Z lower-cased, all else as it is."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
 def directory(keys: DataFrame, bucket_rows: int) -> list[tuple[int, int]]:
-    """(leading bits as a number, depth) of every bucket, in key order: overfull buckets split until MAX_DEPTH."""
-    total = keys.count()
-    deepest = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, total / bucket_rows)))) + 2)
+    """(leading bits as a number, depth) of every bucket, in key order, from a table of (key, weight)."""
+    cell = F.shiftrightunsigned("key", 64 - MAX_DEPTH)
+    sizes = {r[0]: r[1] for r in keys.groupBy(cell.alias("cell")).agg(F.sum("weight")).collect()}  # 2 ** MAX_DEPTH rows at most
+    levels = [sizes]  # rows per cell, from the most leading bits to none
+    for _ in range(MAX_DEPTH):
+        wider: dict[int, int] = {}
+        for c, n in levels[-1].items():
+            wider[c >> 1] = wider.get(c >> 1, 0) + n
+        levels.append(wider)
+    room = max(bucket_rows, levels[-1].get(0, 0) >> (MAX_DEPTH - 1))
+    done, overfull = [], [(0, 0)]
+    while overfull:  # one more leading bit for the buckets that hold too much
+        bits, depth = overfull.pop()
+        if depth == MAX_DEPTH or levels[MAX_DEPTH - depth].get(bits, 0) <= room:
+            done.append((bits, depth))
+        else:
+            overfull += [(2 * bits, depth + 1), (2 * bits + 1, depth + 1)]
+    return sorted(done, key=lambda b: b[0] << (MAX_DEPTH - b[1]))
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS,
+                key: Callable[[Column], Column] = F.xxhash64, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The written index: bucket, key, chain, texts (of its key), text_sha256, n_bytes, keep_id, group_size, bytes.
+
+    One row per distinct text; `bytes` is the normalised text where its key has several, else null.
+    """
+    norm = normalised(F.col(text_col))
+    counts = materialize(docs.select(key(norm).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
+    limit = F.lit(max(hot_rows, (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // SMALL_TABLE))
+    buckets = directory(counts.select("key", F.when(F.col("n") > limit, F.lit(SALTS)).otherwise(F.col("n")).alias("weight")), bucket_rows)
+    deepest = max(d for _, d in buckets)
+    cells = [(c, i) for i, (p, d) in enumerate(buckets) for c in range(p << (deepest - d), (p + 1) << (deepest - d))]
+    table = F.broadcast(docs.sparkSession.createDataFrame(cells, "cell long, bucket int"))  # 2 ** MAX_DEPTH rows at most
     cell = F.shiftrightunsigned("key", 64 - deepest) if deepest else F.lit(0).cast("long")
-    sizes = {r[0]: r[1] for r in keys.groupBy(cell.alias("cell")).count().collect()}  # at most 2 ** MAX_DEPTH rows
-
-    def split(prefix: int, depth: int) -> list[tuple[int, int]]:
-        low = prefix << (deepest - depth)
-        if depth == deepest or sum(sizes.get(c, 0) for c in range(low, low + (1 << (deepest - depth)))) <= bucket_rows:
-            return [(prefix, depth)]
-        return split(2 * prefix, depth + 1) + split(2 * prefix + 1, depth + 1)
-
-    return split(0, 0)
 
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 200_000) -> DataFrame:
-    """The written index: bucket, key, chain, text_sha256, n_bytes, keep_id, group_size; one row per distinct text."""
-    norm = normalised(F.col(text_col))
-    # the byte comparison: rows meet by key and by the normalised text itself, combined before the shuffle
-    groups = (
-        docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
-        .select("id", "norm", F.xxhash64("norm").alias("key"))
-        .groupBy("key", "norm")
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.sha2("norm", 256).alias("text_sha256"), F.octet_length("norm").alias("n_bytes"), "keep_id", "group_size")
-    )
-    entries = materialize(groups, "exact-entries")
-    buckets = directory(entries, bucket_rows)
-    # a directory entry covers a range of keys (as unsigned numbers); its start finds the bucket by halving
-    starts = [p << (64 - d) if d else 0 for p, d in buckets]
-
-    def locate(lo: int, hi: int):
-        if hi - lo == 1:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        depth = MAX_DEPTH
-        return F.when(F.shiftrightunsigned("key", 64 - depth) < F.lit(starts[mid] >> (64 - depth)), locate(lo, mid)).otherwise(locate(mid, hi))
-
-    if len(buckets) <= 64:
-        placed = entries.withColumn("bucket", locate(0, len(buckets)).cast("int"))
+    rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("key", key(F.col("norm")))
+    hot = counts.where(F.col("n") > limit).select(F.col("key").alias("hot_key"))
+    if hot.isEmpty():
+        sent = rows.select("key", "norm", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     else:
-        cells = [(c, i) for i, (p, d) in enumerate(buckets) for c in range(p << (MAX_DEPTH - d), (p + 1) << (MAX_DEPTH - d))]
-        table = docs.sparkSession.createDataFrame(cells, "cell long, bucket int")  # 2 ** MAX_DEPTH rows exactly
-        placed = entries.withColumn("cell", F.shiftrightunsigned("key", 64 - MAX_DEPTH)).join(F.broadcast(table), "cell").drop("cell")
-    chained = placed.groupBy("bucket", "key").agg(
-        F.sort_array(F.collect_list(F.struct("text_sha256", "n_bytes", "keep_id", "group_size"))).alias("chained"))
-    owned = (
-        chained.repartitionByRange("bucket", "key")
-        .select("bucket", "key", F.posexplode("chained").alias("chain", "entry"))
-        .select("bucket", "key", "chain", "entry.*")
-        .sortWithinPartitions("bucket", "key", "chain")
-    )
-    index = materialize(owned, "exact-index")
-    discard(entries)
+        hot = F.broadcast(hot)  # SMALL_TABLE rows at most: each holds more than a SMALL_TABLE-th of all rows
+        many = rows.join(hot, F.col("key") == F.col("hot_key")).groupBy("key", "norm", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(
+            F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        sent = rows.join(hot, F.col("key") == F.col("hot_key"), "left_anti").select(
+            "key", "norm", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).union(many.select("key", "norm", "keep_id", "group_size"))
+    # to the owners: whole buckets meet in one task, and everything below stays within it
+    owned = sent.withColumn("cell", cell).join(table, "cell").drop("cell").repartition("bucket")
+    entries = owned.groupBy("bucket", "key", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    chains = entries.groupBy("bucket", "key").agg(F.sort_array(F.collect_list(F.struct("norm", "keep_id", "group_size"))).alias("chain"))
+    found = chains.select("bucket", "key", F.size("chain").alias("texts"), F.posexplode("chain").alias("chain", "entry"))
+    index = materialize(found.select(
+        "bucket", "key", "chain", "texts", F.sha2("entry.norm", 256).alias("text_sha256"), F.octet_length("entry.norm").alias("n_bytes"), "entry.keep_id",
+        "entry.group_size", F.when(F.col("texts") > 1, F.col("entry.norm")).alias("bytes")), "exact-index")
+    discard(counts)
     return index
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 200_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS,
+                key: Callable[[Column], Column] = F.xxhash64, hot_rows: int = HOT_ROWS) -> DataFrame:
     """docs with keep_id, group_size, kept and text_sha256 (of the normalised text) for every row, dropped ones too."""
-    index = build_index(docs, id_col, text_col, bucket_rows).select(
-        F.col("key").alias("_key"), "text_sha256", "keep_id", "group_size")
-    norm = normalised(F.col(text_col))
-    rows = (
-        docs.select(*[c for c in docs.columns if c.lower() not in ("keep_id", "group_size", "kept", "text_sha256", "_key")])
-        .withColumn("text_sha256", F.sha2(norm, 256)).withColumn("_key", F.xxhash64(norm))
-    )
-    return rows.join(index, ["_key", "text_sha256"]).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).drop("_key")
+    index = build_index(docs, id_col, text_col, bucket_rows, key, hot_rows)
+    norm, found = normalised(F.col(text_col)), ["keep_id", "group_size", "text_sha256"]
+    rows = docs.select(*[c for c in docs.columns if c.lower() not in (*found, "kept", "_key", "_bytes")]).withColumn("_key", key(norm))
+    single = index.where("texts = 1").select(F.col("key").alias("_key"), *found)
+    out = rows.join(single, "_key")
+    chained = index.where("texts > 1").select(F.col("key").alias("_key"), *found, F.col("bytes").alias("_bytes"))
+    if not chained.isEmpty():  # different texts of one key: bytes decide
+        beside = rows.withColumn("_norm", norm).join(chained, "_key").where(F.col("_norm") == F.col("_bytes")).drop("_norm", "_bytes")
+        out = out.unionByName(beside)
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).drop("_key")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataline.llm import ann, exact_dedup, minhash_dedup, passages, suffix_array_dedup, suffix_tree_dedup
 from strataline.llm.components import components
@@ -43,8 +44,8 @@ def test_exact(spark, rows):
     groups = {}
     for i, t in rows:
         groups.setdefault(lower(t), []).append(i)
-    for bucket_rows in (200_000, 3):
-        got = exact_dedup.exact_dedup(frame(spark, rows), bucket_rows=bucket_rows).collect()
+    for bucket_rows, hot_rows in ((1_024, 1_024), (3, 1)):
+        got = exact_dedup.exact_dedup(frame(spark, rows), bucket_rows=bucket_rows, hot_rows=hot_rows).collect()
         assert len(got) == len(rows)
         for x in got:
             g = groups[lower(x["text"])]
@@ -56,10 +57,27 @@ def test_exact(spark, rows):
 def test_index_directory(spark, rows):
     index = exact_dedup.build_index(frame(spark, rows), bucket_rows=3)
     sizes = [r["count"] for r in index.groupBy("bucket").count().collect()]
-    assert len(sizes) > 8 and index.where("chain > 0").count() == 0
-    keys = spark.createDataFrame([(i * 7919 * 10**12,) for i in range(-900, 900)], "key long")
+    assert len(sizes) > 8 and max(sizes) <= 3 and index.where("chain > 0 OR bytes IS NOT NULL").count() == 0
+    keys = spark.createDataFrame([(i * 7919 * 10**12, 1) for i in range(-900, 900)], "key long, weight long")
     found = exact_dedup.directory(keys, 100)
-    assert sum(2.0 ** -d for _, d in found) == 1.0 and len({d for _, d in found}) >= 1
+    assert sum(2.0 ** -d for _, d in found) == 1.0 and len(found) > 8
+
+
+def test_owners_chain_and_compare_bytes(spark, rows):
+    """All keys collide: every text is told from the others by its bytes alone; hot keys take the combined way."""
+    key = lambda text: F.octet_length(text).cast("long") % 3
+    want = {(x["doc_id"], x["text"]): (x["keep_id"], x["group_size"], x["kept"], x["text_sha256"]) for x in exact_dedup.exact_dedup(frame(spark, rows)).collect()}
+    for hot_rows in (1_000_000, 5):
+        index = exact_dedup.build_index(frame(spark, rows), key=key, hot_rows=hot_rows)
+        assert index.where("chain > 5").count() > 5 and index.select("bucket", "key").distinct().count() == 3
+        got = exact_dedup.exact_dedup(frame(spark, rows), key=key, hot_rows=hot_rows).collect()
+        assert len(got) == len(rows)
+        assert all((x["keep_id"], x["group_size"], x["kept"], x["text_sha256"]) == want[x["doc_id"], x["text"]] for x in got)
+
+
+def test_owners_hold_whole_buckets(spark, rows):
+    parts = exact_dedup.build_index(frame(spark, rows), bucket_rows=3).withColumn("file", F.input_file_name()).groupBy("bucket").agg(F.countDistinct("file").alias("n"))
+    assert parts.agg(F.max("n")).first()[0] == 1
 
 
 def brute_components(rows, k, percent):
