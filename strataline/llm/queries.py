@@ -18,8 +18,9 @@ def tokenizer(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-#: Target weights of the mix, per level of its tree.
-MIX = {"domain": {"d4": 0.45, "d5": 0.55}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
+#: The mix: which sources make up a domain, and the target weights per level of the tree.
+DOMAINS = {"web": [f"src{i}" for i in range(10)], "books": [f"src{i}" for i in range(10, 16)], "reference": [f"src{i}" for i in range(16, 20)]}
+MIX = {"domain": {"web": 0.45, "books": 0.35, "reference": 0.2}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,7 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return source_mixing.mix(docs, MIX).select("doc_id", "lang", "source", "n_tokens", "leaf_budget", "copies")
+    return source_mixing.mix(docs, MIX, domains=DOMAINS).select("doc_id", "lang", "source", "n_tokens", "leaf_budget", "copies")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strataline.llm import html_extract, quality, secret_scan, sentencepiece_codec, source_mixing
 from strataline.llm.queries import tokenizer
@@ -194,21 +196,33 @@ def test_features_do_not_depend_on_slices():
 
 
 def brute_mix(rows, weights, budget, max_epochs, seed):
-    """Water-filling by bisection and prefixes by sorting."""
-    def fill(nodes, have):  # nodes: name -> (supply, weight)
-        lo, hi = 0.0, 1e12
-        for _ in range(200):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if sum(min(s, mid * w) for s, w in nodes.values()) <= have else (lo, mid)
-        return {n: min(s, int(lo * w + 1e-6)) for n, (s, w) in nodes.items()}
-
-    tokens = lambda key: sum(x[4] for x in rows if x[1: 1 + len(key)] == key)
-    shares = {(): budget}
-    for depth, name in enumerate(("domain", "lang", "source")):
+    """Water-filling with fractions, largest remainders, prefixes by sorting.  rows: id, domain, lang, source, tokens."""
+    weight = lambda depth, name: Fraction(str(weights.get(("domain", "lang", "source")[depth], {}).get(name, 1.0)))
+    live = [x for x in rows if all(weight(d, x[1 + d]) > 0 for d in range(3))]
+    supply = lambda key: max_epochs * sum(x[4] for x in live if x[1: 1 + len(key)] == key)
+
+    def fill(nodes, have):  # nodes: key -> (supply, weight)
+        full, rest = {}, {k: v for k, v in nodes.items() if v[1] > 0}
+        while rest:
+            level = Fraction(have - sum(full.values()), 1) / sum(w for _, w in rest.values())
+            gone = [k for k, (s, w) in rest.items() if s <= level * w]
+            if not gone:
+                shares = {k: level * w for k, (_, w) in rest.items()}
+                low = {k: int(v) for k, v in shares.items()}
+                lost = have - sum(full.values()) - sum(low.values())
+                for k in sorted(shares, key=lambda k: (low[k] - shares[k], k[-1]))[:lost]:
+                    low[k] += 1
+                return {**{k: 0 for k in nodes}, **full, **low}
+            for k in gone:
+                full[k] = rest.pop(k)[0]
+        return {**{k: 0 for k in nodes}, **full}
+
+    shares = {(): min(budget, supply(()))}
+    for depth in range(3):
         down = {}
         for key, have in shares.items():
             kids = {x[1: 2 + depth] for x in rows if x[1: 1 + depth] == key}
-            down |= fill({k: (tokens(k) * max_epochs, weights.get(name, {}).get(k[-1], 1.0)) for k in kids}, have)
+            down |= fill({k: (supply(k), weight(depth, k[-1])) for k in kids}, have)
         shares = down
     out = {}
     for key, have in shares.items():
@@ -220,21 +234,36 @@ def brute_mix(rows, weights, budget, max_epochs, seed):
         for x in sorted(mine, key=place):
             run += x[4]
             stop = stop or run > rest
-            out[x[0]] = min(whole + (not stop), max_epochs)
+            out[x[0]] = (have, min(whole + (not stop), max_epochs))
     return out
 
 
-def test_mix_against_brute_force(spark):
+@pytest.mark.parametrize("weights,share,epochs,cell_rows", [
+    ({"domain": {"a": 0.5, "b": 0.3, "other": 0.2}, "lang": {"en": 0.5, "de": 0.3, "fr": 0.2}}, 0.7, 2, 1000),
+    ({"domain": {"a": 0.5, "b": 0.3}, "lang": {"en": 0.37, "de": 0.0}, "source": {"src1": 0.0}}, 0.6, 1, 3),  # zero weights in two levels
+    ({"domain": {"a": 1.0, "b": 0.0, "other": 0.0}}, 3.0, 2, 3),  # more budget than the live branch can supply
+])
+def test_mix_against_brute_force(spark, monkeypatch, weights, share, epochs, cell_rows):
+    monkeypatch.setattr(source_mixing, "CELL_ROWS", cell_rows)
     r = random.Random(6)
-    raw = [(i, " ".join("w" * r.randrange(1, 5) for _ in range(r.randrange(0, 60))), r.choice(["en", "en", "en", "de", "fr"]), r.choice(["src0"] * 6 + ["src1", "src22"])) for i in range(400)]
+    raw = [(i, " ".join("w" * r.randrange(1, 5) for _ in range(r.randrange(0, 60))), r.choice(["en", "en", "en", "de", "fr"]), r.choice(["src0"] * 6 + ["src1", "src22", "src3"])) for i in range(600)]
     df = spark.createDataFrame(raw, "doc_id long, text string, lang string, source string")
-    weights = {"domain": {"d4": 0.5, "d5": 0.5}, "lang": {"en": 0.5, "de": 0.3, "fr": 0.2}}
-    got = source_mixing.mix(df, weights, budget_share=0.7, max_epochs=2).collect()
-    rows = [(x["doc_id"], f"d{len(x['source'])}", x["lang"], x["source"], x["n_tokens"]) for x in got]
-    total = sum(x[4] for x in rows)
-    want = brute_mix(rows, weights, int(total * 0.7), 2, 17)
-    assert sum(x["copies"] != want[x["doc_id"]] for x in got) <= 3  # budgets round down by a token
-    assert sum(x["copies"] * x["n_tokens"] for x in got) <= total * 0.7
+    domains = {"a": ["src0", "src1"], "b": ["src22"]}
+    got = source_mixing.mix(df, weights, budget_share=share, max_epochs=epochs, domains=domains).collect()
+    domain = {s: d for d, names in domains.items() for s in names}
+    rows = [(x["doc_id"], domain.get(x["source"], "other"), x["lang"], x["source"], x["n_tokens"]) for x in got]
+    want = brute_mix(rows, weights, int(sum(x[4] for x in rows) * share), epochs, 17)
+    assert [(x["doc_id"], x["leaf_budget"], x["copies"]) for x in got if (x["leaf_budget"], x["copies"]) != want[x["doc_id"]]] == []
+
+
+def test_mix_hands_on_all_it_can(spark):
+    """A child of weight zero supplies nothing to its parent, so the sibling domain gets the whole rest."""
+    rows = [(i, "a b c d", "en" if i < 100 else "de", "s" if i < 200 else "t") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = source_mixing.mix(df, {"domain": {"x": 0.9, "y": 0.1}, "lang": {"en": 1.0, "de": 0.0}, "source": {}}, budget_tokens=400, max_epochs=1, domains={"x": ["s"], "y": ["t"]})
+    assert got.agg(F.sum(F.col("copies") * F.col("n_tokens"))).first()[0] == 400
+    both = source_mixing.mix(df, {"domain": {"x": 0.9, "y": 0.1}, "lang": {"en": 1.0, "de": 1.0}, "source": {}}, budget_tokens=1600, max_epochs=1, domains={"x": ["s"], "y": ["t"]})
+    assert both.agg(F.sum(F.col("copies") * F.col("n_tokens"))).first()[0] == 1600
 
 
 def test_mix_edges(spark):
