@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strataline.llm import exact_dedup, minhash_dedup, quality, sentencepiece_codec, source_mixing
 from strataline.llm.common import materialize
-from strataline.llm.queries import MIX, tokenizer
+from strataline.llm.queries import DOMAINS, MIX, tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf's prefix of one seeded epoch, by hierarchical budgets over nine tenths of the tokens."""
-    return source_mixing.mix(docs, MIX, budget_share=0.9, max_epochs=1).where("copies > 0").select(*docs.columns)
+    return source_mixing.mix(docs, MIX, domains=DOMAINS, budget_share=0.9, max_epochs=1).where("copies > 0").select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
