@@ -1,12 +1,12 @@
 """Secret scanning: fixed patterns plus a character convolutional network over candidates in context.
 
 Base spans come from three patterns (leftmost, not overlapping, per kind).  Candidates are all maximal runs of key
-characters of MIN_RUN or more, or what base spans leave uncovered of them (without joining marks at the cut), with a
-digit and another character; a small convolutional network in numpy reads the whole
-candidate (in overlapping windows, the highest score counts) with CONTEXT characters on both sides.  It is trained here,
-on labelled findings drawn by a seeded generator of key formats and look-alikes; a logistic recalibration is fitted on a
-second part, and the threshold is the highest that keeps MIN_RECALL of the secrets of that part (of generated
-candidates, not of whole texts).  Candidates over the threshold are added as kind `model`; base spans always stay.
+characters of MIN_RUN or more, whatever they are made of, or what base spans leave uncovered of them (without joining
+marks at the cut); a small convolutional network in numpy reads every whole candidate (in overlapping windows, the highest
+score counts) with CONTEXT characters on both sides.  It is trained here, on labelled findings drawn by a seeded generator
+of key formats (with and without digits) and look-alikes; a logistic recalibration is fitted on a second part, and the
+threshold is the highest that keeps MIN_RECALL of the secrets of that part, found as scan() finds them: in texts, by runs.
+Candidates over the threshold are added as kind `model`; base spans always stay.
 
 Texts are scanned whole, in Arrow batches without any shuffle; the network is a fixed 40 KB sent with the task.
 
@@ -142,6 +142,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, bool]]:
         lambda: "sk_live_" + pick(mixed, 24, 40), lambda: "sk-" + pick(mixed, 40, 48), lambda: "xoxb-" + pick(digits, 11) + "-" + pick(mixed, 24),
         lambda: "AIza" + pick(mixed + "_-", 35), lambda: "eyJ" + pick(mixed, 20, 40) + "." + pick(mixed + "_-", 30, 60) + "." + pick(mixed + "_-", 20, 43),
         lambda: "glpat-" + pick(mixed + "_-", 20), lambda: pick(caps, 20, 32), lambda: pick(letters + digits, 20, 40), lambda: pick("0123456789ABCDEF", 32, 64),
+        lambda: pick(string.ascii_letters, 24, 48), lambda: pick(string.ascii_letters, 28, 44), lambda: pick(letters, 24, 40), lambda: pick(string.ascii_uppercase, 24, 40),
         lambda: "AKIA" + pick(caps, 16), lambda: pick("0123456789abcdef", 24, 40), lambda: "npm_" + pick(mixed, 36), lambda: "SG." + pick(mixed, 22) + "." + pick(mixed, 43),
     ]
     hexa = "0123456789abcdef"
@@ -154,6 +155,12 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, bool]]:
         lambda: r.choice(["=", "-", "_", "."]) * r.randint(14, 30) + word() + pick(digits, 1), lambda: word() * 4 + pick(digits, 1, 2), lambda: "ISBN-" + pick(digits, 3) + "-" + pick(digits, 10) + word(),
         lambda: (word() * 5).upper() + pick(digits, 1, 2), lambda: word() * 3 + "." + word() * 2 + pick(digits, 1, 4), lambda: "/usr/lib/" + word() * 2 + "/" + word() + pick(digits, 1) + ".so." + pick(digits, 1, 2),
     ]
+    no += [
+        lambda: "".join(word() for _ in range(r.randint(5, 9))), lambda: "-".join(word() for _ in range(r.randint(4, 9))), lambda: "/".join(word() for _ in range(r.randint(4, 8))),
+        lambda: "".join(word().capitalize() for _ in range(r.randint(3, 7))), lambda: "_".join(word() for _ in range(r.randint(4, 7))), lambda: (word() * 6).upper(), lambda: pick(digits, 16, 30),
+        lambda: r.choice("=-_.+/") * r.randint(16, 70), lambda: r.choice(["=-", "-.", "_-", "+-"]) * r.randint(8, 30), lambda: word() + "." * r.randint(14, 40) + pick(digits, 1, 3),
+        lambda: word() * 2 + "." * r.randint(2, 4) + word() * 3 + "." + word(), lambda: "/" + word() + "/" + word() * 2 + "/" + word() + "." + word()[:3],
+    ]
     lead = ["key: ", "auth=", "Bearer ", 'credential = "', "export KEY=", '"access": "', "use ", "", "", "pw ", "private key ", "sign: "]
     plain = ["see ", "at ", "file ", "", "", "", "version ", "id ", "http://", "from ", '"name": "', "# "]
     out = []
@@ -168,7 +175,7 @@ def labelled(n: int, seed: int) -> list[tuple[str, int, int, bool]]:
 
 
 @lru_cache(maxsize=1)
-def trained(seed: int = SEED, n_train: int = 4000, n_calibrate: int = 2000, epochs: int = 6) -> Network:
+def trained(seed: int = SEED, n_train: int = 7000, n_calibrate: int = 3000, epochs: int = 6) -> Network:
     """The network with its calibration and threshold; the same on every run."""
     net, r = Network(seed), np.random.default_rng(seed)
     rows = labelled(n_train, seed + 1)
@@ -184,8 +191,9 @@ def trained(seed: int = SEED, n_train: int = 4000, n_calibrate: int = 2000, epoc
                 m1[k] = 0.9 * m1[k] + 0.1 * v
                 m2[k] = 0.999 * m2[k] + 0.001 * v * v
                 net.w[k] -= (0.004 * (0.5 ** (epoch // 2)) * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    held = labelled(n_calibrate, seed + 2)
-    z = np.array([max(net.forward(np.array(windows(t, a, b)))[0]) for t, a, b, _ in held])
+    # second part: each finding is scored by the candidates that scan() sees in its text, as far as they touch it
+    held = [(t, parts, s) for t, a, b, s in labelled(n_calibrate, seed + 2) if (parts := [p for p in candidates(t, base_spans(t)) if p[0] < b and a < p[1]])]
+    z = np.array([max(max(net.forward(np.array(windows(t, *p)))[0]) for p in parts) for t, parts, _ in held])
     good = np.array([s for *_, s in held], np.float64)
     scale, shift = 1.0, 0.0
     for _ in range(50):  # logistic recalibration by Newton's method
@@ -218,6 +226,12 @@ def uncovered(text: str, lo: int, hi: int, base: list[tuple[str, int, int]]) ->
     return parts
 
 
+def candidates(text: str, base: list[tuple[str, int, int]], runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """All that the network reads: every run of key characters, or its parts outside base spans."""
+    runs = [m.span() for m in _RUN.finditer(text)] if runs is None else runs
+    return [part for run in runs for part in uncovered(text, *run, base)]
+
+
 def scan(texts: list[str | None], net: Network) -> list[list[tuple[str, int, int, float]]]:
     """(kind, start, end, score) of every span of each text."""
     out, inputs, owners = [], [], []
@@ -226,12 +240,10 @@ def scan(texts: list[str | None], net: Network) -> list[list[tuple[str, int, int
         runs = [m.span() for m in _RUN.finditer(text)]
         base = base_spans(text, runs)
         out.append([(k, s, e, 1.0) for k, s, e in base])
-        for lo, hi in (part for run in runs for part in uncovered(text, *run, base)):
-            run = text[lo:hi]
-            if any(c in run for c in string.digits) and not run.isdigit():
-                w = windows(text, lo, hi)
-                inputs += w
-                owners += [(row, lo, hi)] * len(w)
+        for lo, hi in candidates(text, base, runs):
+            w = windows(text, lo, hi)
+            inputs += w
+            owners += [(row, lo, hi)] * len(w)
     if inputs:
         best: dict[tuple[int, int, int], float] = {}
         for owner, p in zip(owners, net.score(np.array(inputs)).tolist()):

@@ -95,6 +95,37 @@ def test_network_on_held_out_findings():
     assert (score[good] >= net.threshold).mean() >= 0.96 and (score[~good] >= net.threshold).mean() <= 0.1
 
 
+def test_every_run_is_a_candidate():
+    read = []
+
+    class Counting:
+        threshold = 0.5
+
+        def score(self, x):
+            read.append(len(x))
+            return np.zeros(len(x))
+
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice(chars) for _ in range(r.choice([5, 16, 30, 40]))) for chars in ("xy", "=-", "Z19", "Az", "xZ9/") for _ in range(3)) for _ in range(50)]
+    runs = sum(len(re.findall(r"[A-Za-z0-9+/_.=-]{16,}", t)) for t in texts)
+    bases = sum(len(secret_scan.base_spans(t)) for t in texts)
+    secret_scan.scan(texts, Counting())
+    assert bases == 0 and sum(read) == runs > 300  # none longer than a window here
+
+
+def test_scan_recall_and_precision():
+    """Recall through scan() itself, keys without a digit too; prose of long words stays clean."""
+    net, r = secret_scan.trained(), random.Random(31)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["abcdefGHIJklmNOPqrstUVWXyzabCDEFghijKLMN"] + [pick(letters, 40) for _ in range(100)] + [pick(letters + "0123456789", 40) for _ in range(100)] + ["ghp_" + pick(letters + "0123456789", 36) for _ in range(100)]
+    found = secret_scan.scan([f"please use {k} for it" for k in keys], net)
+    hit = [any(kind == "model" and s <= 11 and e >= 11 + len(k) for kind, s, e, _ in spans) for k, spans in zip(keys, found)]
+    assert hit[0] and np.mean(hit) >= 0.97
+    clean = ["Donaudampfschifffahrtsgesellschaft und Rechtsschutzversicherungsgesellschaften", "internationalization/responsabilidades/extraordinariamente", "===============================", "see www.example.org/articles/history/of/the/region", "1234567890123456"]
+    assert sum(bool(s) for s in secret_scan.scan(clean, net)) <= 1
+
+
 def test_gradients():
     net = secret_scan.Network(1)
     x = np.array([secret_scan.windows(t, a, b)[0] for t, a, b, _ in secret_scan.labelled(4, 5)])
