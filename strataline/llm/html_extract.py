@@ -1,38 +1,50 @@
 """Main-text extraction from HTML by minimum-cut labelling of text blocks.
 
-A page becomes its text blocks in page order.  A logistic classifier over each block's own evidence (the elements it
-stands in, class and id words, link density, length, sentence marks) gives the cost of calling it content and of calling
+A page becomes its text blocks in page order.  A logistic classifier over each block's evidence (names, class and id words
+of the elements it stands in, link density, length, sentence marks) gives the cost of calling it content and of calling
 it boilerplate; these are the capacities to the two terminals.  Neighbouring blocks are joined by smoothness edges whose
-capacity grows with the share of the DOM path that they have in common, and a block is also joined to the last one
-before it under the same parent.  The minimum cut labels the blocks; what remains on the content side is the text.
+capacity falls with every step of the DOM path between them, and a block is also joined to the last one before it under
+the same parent.  The minimum cut labels the blocks; what remains on the content side is the text.
+
+The classifier is fitted here, on labelled pages drawn by a seeded generator of page layouts (a part of them with class
+names that say nothing, so that text and neighbours must decide); the strength of the smoothness edges is the one with the
+fewest wrong blocks on a second part.  Words of elements that wrap the page's main part (`<body class="has-sidebar">`, a
+container around the article with most of the text) are no evidence.
 
 Blocks that no cut would move (own cost difference above the sum of their edges) are settled first; maximum flow by
-shortest augmenting paths runs on the rest.  Scripts, styles, forms and the like are dropped while parsing.  Each page is
-handled alone in an Arrow batch: no shuffle, memory bounded by a page and its blocks.
+blocking flows runs on each connected rest.  Scripts, styles, forms and the like are dropped while parsing, in time linear
+in the page whatever its nesting.  Each page is handled alone in an Arrow batch: no shuffle, memory bounded by a page.
 
 Defined results: null or empty html gives the empty text; markup cut off at the end of the page is dropped with the
-unfinished tag; pages without elements are one block; control characters decode as in a browser; repeated rows give
-repeated results; input columns named like an output are replaced.
+unfinished tag; a tag with an unclosed quote ends at its first ">"; a head without end tag ends where body content
+starts; pages without elements are one block; control characters decode as in a browser; repeated rows give repeated
+results; input columns named like an output are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import random
 import re
 from collections import deque
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import arrow_append
+from .quality import fit_logistic
 
 #: Elements whose text never shows, or belongs to a form or an embedded object.
 DROPPED = frozenset("script style noscript template head title iframe object svg form select textarea button canvas audio video map datalist".split())
 #: Elements whose content is raw text up to their end tag.
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that can stand in a head; any other one, or text, ends it.
+HEAD = frozenset("head title meta link base script style noscript template".split())
 #: Elements that flow within a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Formulas are text of the paragraph they stand in; only their source annotations, which are not shown, are dropped.
@@ -41,104 +53,128 @@ ANNOTATIONS = frozenset(("annotation", "annotation-xml"))
 DROPPED |= ANNOTATIONS
 #: An open <p> ends where one of these starts.
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Evidence of an element name for content (positive) or boilerplate (negative), in log-odds.
-ELEMENTS = {"article": 4.0, "main": 3.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "header": -5.0, "menu": -6.0, "dialog": -6.0, "address": -1.0}
-#: Words of class, id and role attributes, the same way.
+#: Open items that a start tag ends, and the elements beyond which it ends none.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",)}
+BORDERS = ("ul", "ol", "dl", "table", "select", "tbody", "div")
+
+# Names that are evidence of what an element holds.
+ELEMENTS = frozenset("article main nav footer aside header menu dialog address section figure figcaption blockquote pre li dt dd td th p".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of class, id and role attributes by the parts of a page that they name.
 WORDS = {
-    "article": 2.0, "body": 0.5, "content": 1.5, "entry": 1.5, "main": 1.5, "post": 1.0, "story": 1.5, "text": 0.5,
-    "ad": -8.0, "ads": -8.0, "adv": -8.0, "advert": -8.0, "advertisement": -8.0, "alert": -5.0, "banner": -6.0, "breadcrumb": -6.0,
-    "breadcrumbs": -6.0, "byline": -2.0, "comment": -8.0, "comments": -8.0, "consent": -8.0, "contentinfo": -8.0, "cookie": -8.0, "cookies": -8.0,
-    "copyright": -6.0, "disqus": -8.0, "footer": -8.0, "gdpr": -8.0, "header": -4.0, "login": -6.0, "masthead": -5.0, "menu": -8.0, "meta": -2.0,
-    "modal": -6.0, "nav": -8.0, "navbar": -8.0, "navigation": -8.0, "newsletter": -8.0, "notice": -8.0, "pagination": -6.0, "popup": -8.0, "promo": -8.0,
-    "recommended": -6.0, "related": -6.0, "reply": -6.0, "replies": -6.0, "respond": -6.0, "share": -6.0, "sharing": -6.0, "sidebar": -8.0, "signup": -6.0,
-    "skip": -5.0, "social": -6.0, "sponsor": -8.0, "sponsored": -8.0, "subscribe": -8.0, "tags": -3.0, "toolbar": -6.0, "widget": -6.0,
+    "main text": "article body content entry main post story text".split(),
+    "menu": "breadcrumb breadcrumbs menu nav navbar navigation pagination skip tags toolbar".split(),
+    "header": "banner header masthead".split(),
+    "footer": "contentinfo copyright footer".split(),
+    "sidebar": "recommended related sidebar widget".split(),
+    "notice": "alert consent cookie cookies gdpr modal notice popup".split(),
+    "advert": "ad ads adv advert advertisement promo sponsor sponsored".split(),
+    "form": "login newsletter share sharing signup social subscribe".split(),
+    "comments": "comment comments disqus replies reply respond".split(),
 }
-#: Weights of the block's own statistics: bias, link density, log of length, sentence marks, is a list item, copyright sign.
-BIAS, LINKS, LENGTH, MARKS, ITEM, RIGHTS = -1.0, -5.0, 0.5, 0.8, -0.8, -3.0
-#: Smoothness: of any neighbours, per share of the common path, and to the last block under the same parent.
-NEAR, COMMON, SIBLING = 0.2, 0.8, 0.6
+KNOWN = frozenset(w for words in WORDS.values() for w in words)
+#: Class names that start so tell about the page, not about what the element holds.
+MODIFIERS = frozenset("has have with without no is hide show".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(?:>|\Z)""", re.S)
+_QUOTED = r""""[^"]*"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)"""
+_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:(?:[^>"']|{_QUOTED})*+(?=>|\Z))|[^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
-    __slots__ = ("evidence", "item", "linked", "path", "text")
+    __slots__ = ("depth", "element", "linked", "parent", "shared", "text")
 
-    def __init__(self, text: str, linked: int, path: tuple[int, ...], evidence: float, item: bool):
-        self.text, self.linked, self.path, self.evidence, self.item = text, linked, path, evidence, item
+    def __init__(self, text: str, linked: int, element: int, parent: int, depth: int, shared: int):
+        self.text, self.linked, self.element, self.parent, self.depth, self.shared = text, linked, element, parent, depth, shared
 
 
-def _evidence(name: str, attrs: str) -> tuple[float, float, bool]:
-    """Log-odds for and against content that an element's start tag gives to the blocks in it, and whether it is hidden."""
-    found, hidden = [ELEMENTS.get(name, 0.0)], False
+def _tokens(name: str, attrs: str, inside: bool) -> tuple[set[str], set[str], bool]:
+    """Evidence of an element's start tag: of its name, of its attributes' words; and whether it is hidden."""
+    own, words, hidden = set(), set(), False
+    if name in HEADINGS:
+        own.add("<heading>")
+    elif name in ELEMENTS:
+        own.add(f"<inner {name}>" if inside and name in ("header", "footer") else f"<{name}>")
     if attrs and "=" in attrs or "hidden" in attrs:
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
                 hidden = True
-            elif key in ("class", "id", "role"):
-                found += [WORDS.get(w, 0.0) for w in set(_SPLIT.split(value))]
-    return sum(x for x in found if x > 0), sum(x for x in found if x < 0), hidden
-
-
-def _weigh(good: float, bad: float) -> float:
-    """Standing within an article does not make up for standing within a sidebar or a list of comments."""
-    return max(bad, -12.0) if bad <= -4 else min(good, 5.0) + bad
+            elif key in ("class", "id", "role") and name not in ("html", "body"):
+                for part in value.split():
+                    split = _SPLIT.split(part)
+                    if split[0] not in MODIFIERS:
+                        words.update(w for w in split if w in KNOWN)
+    return own, words, hidden
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in page order, without dropped elements."""
+def parse(page: str) -> tuple[list[Block], list[frozenset[str]]]:
+    """The text blocks of a page in page order, without dropped elements, and the evidence of every element by number."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, float, bool]] = []  # name, number, log-odds for and against summed over the path, dropped
+    names: list[str] = []  # the stack: names, numbers (of the block element around, for inline ones), dropped or not
+    numbers: list[int] = [0]
+    dropped: list[bool] = [False]
+    where: dict[str, list[int]] = {}  # places of each name on the stack
+    parents, own, words, mass, leads = [0], [set()], [set()], [0], [False]
     parts: list[str] = []
-    linked, links, number = 0, 0, 0
+    linked, links, depth, low = 0, 0, 0, 0
+
+    def top(name: str) -> int:
+        found = where.get(name)
+        return found[-1] if found else -1
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, low
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                outer = [e for e in stack if e[0] not in INLINE]
-                out.append(Block(text, linked, tuple(e[1] for e in outer), _weigh(stack[-1][2], stack[-1][3]) if stack else 0.0, any(e[0] in ("li", "dd", "dt", "option") for e in outer)))
+                out.append(Block(text, linked, numbers[-1], parents[numbers[-1]], depth, min(low, depth)))
+                mass[numbers[-1]] += len(text)
+                low = depth
             parts.clear()
         linked = 0
 
-    def close(depth: int) -> None:
-        nonlocal links
-        if any(e[0] not in INLINE for e in stack[depth:]):
+    def close(place: int) -> None:
+        nonlocal links, depth, low
+        if any(n not in INLINE for n in names[place:]):
             flush()
-        links -= sum(e[0] == "a" for e in stack[depth:])
-        del stack[depth:]
+        for n in names[place:]:
+            where[n].pop()
+            links -= n == "a"
+            depth -= n not in INLINE
+        low = min(low, depth)
+        del names[place:], numbers[place + 1:], dropped[place + 1:]
 
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
         text = page[at: m.start() if m else end]
-        if text and not (stack and stack[-1][4]):
+        if text and names and names[-1] == "head" and not text.isspace():
+            close(len(names) - 1)
+        if text and not dropped[-1]:
             parts.append(text)
-            if links:
+            if links > 0:
                 linked += len(text)
         if not m:
             break
         at = m.end()
-        if m[1] is not None and not (stack and stack[-1][4]):
+        if m[1] is not None and not dropped[-1]:
             parts.append(m[1])
         if not m[3]:
             continue
         name = m[3].lower()
         if m[2]:
-            if name == "br" or name == "p" and not any(e[0] == "p" for e in stack):
+            if name == "br" or name == "p" and top("p") < 0:
                 parts.append(" ")
-                continue
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                close(depth)
+            elif top(name) >= 0:
+                close(top(name))
             continue
-        if stack and stack[-1][0] in ANNOTATIONS:
+        if names and names[-1] in ANNOTATIONS:
             continue
+        if names and names[-1] == "head" and name not in HEAD:
+            close(len(names) - 1)
         if name in RAW:
             stop = re.compile(rf"</{name}\b", re.I).search(page, at)
             if name in DROPPED or stop is None:
@@ -149,52 +185,231 @@ def blocks(page: str) -> list[Block]:
                     flush()
                 continue
         if name in VOID:
-            if name in INLINE:
-                parts.append(" " if name in ("br", "wbr") and name == "br" else "")
-            elif name == "hr":
+            if name == "br":
+                parts.append(" ")
+            elif name not in INLINE and name == "hr":
                 flush()
             continue
-        if name in CLOSES_P:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if depth is not None:
-                close(depth)
-        elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}.get(name, (name,))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in same:
-                    close(i)
-                    if name != "tr" or not any(e[0] == "tr" for e in stack):
-                        break
-                elif stack[i][0] in ("ul", "ol", "dl", "table", "select", "tbody", "div"):
-                    break
+        if name in CLOSES_P and top("p") >= 0:
+            close(top("p"))
+        elif name in ENDS:
+            place = max(map(top, ENDS[name]))
+            if place > max(map(top, BORDERS)):
+                close(place)
         if name not in INLINE:
             flush()
-        number += 1
-        good, bad, hidden = _evidence(name, m[4])
-        before = stack[-1] if stack else ("", 0, 0.0, 0.0, False)
-        stack.append((name, number, before[2] + good, before[3] + bad, before[4] or hidden or name in DROPPED))
+        tokens, more, hidden = _tokens(name, m[4], top("article") >= 0 or top("main") >= 0)
+        if name in INLINE:
+            number = numbers[-1]
+        else:
+            number = len(parents)
+            parents.append(numbers[-1]), own.append(tokens), words.append(more), mass.append(0), leads.append(name in ("article", "main", "h1"))
+            depth += 1
+        where.setdefault(name, []).append(len(names))
+        names.append(name), numbers.append(number), dropped.append(dropped[-1] or hidden or name in DROPPED)
         links += name == "a"
         if m[4].endswith("/") and name in ("svg", "iframe", "object"):
-            close(len(stack) - 1)
+            close(len(names) - 1)
     flush()
-    return out
-
-
-def costs(block: Block) -> float:
-    """Log-odds that the block is content: what labelling it boilerplate costs more than labelling it content."""
-    n = len(block.text)
-    z = BIAS + LINKS * min(1.0, block.linked / n) + LENGTH * math.log(n) + MARKS * min(3, sum(block.text.count(c) for c in ".!?"))
-    return block.evidence + z + ITEM * block.item + RIGHTS * (block.text[0] == "©")
-
-
-def _common(a: tuple[int, ...], b: tuple[int, ...]) -> float:
-    """Share of the longer DOM path that two blocks have in common."""
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n / max(1, len(a), len(b))
+    # text and main parts below each element; elements are numbered from the root, so one pass back and one forth do
+    for e in range(len(parents) - 1, 0, -1):
+        mass[parents[e]] += mass[e]
+        leads[parents[e]] = leads[parents[e]] or leads[e]
+    evidence, total = [frozenset()], mass[0]
+    for e in range(1, len(parents)):
+        wraps = leads[e] and 2 * mass[e] >= total and "<article>" not in own[e] and "<main>" not in own[e]
+        mine = own[e] | {w for w in words[e] if not (wraps and w not in WORDS["main text"])}
+        evidence.append(evidence[parents[e]] | mine if mine else evidence[parents[e]])
+    return out, evidence
+
+
+# --- the classifier --------------------------------------------------------------------------------------------------
+
+TOKENS = sorted(KNOWN | {f"<{n}>" for n in ELEMENTS} | {"<heading>", "<inner header>", "<inner footer>"})
+STATS = ["link share", "log of length", "sentence marks", "short", "copyright sign", "ends a sentence"]
+#: Evidence that names a part of the page; what a block's text looks like counts apart with and without such.
+NAMING = KNOWN | frozenset(f"<{n}>" for n in "article main nav footer aside header menu".split())
+#: Log-odds are held within this, so that enough neighbours can outweigh any block's own evidence.
+MOST = 8.0
+
+
+def statistics(block: Block, named: bool) -> list[float]:
+    text, n = block.text, len(block.text)
+    found = [min(1.0, block.linked / n), math.log(n), float(min(3, text.count(".") + text.count("!") + text.count("?"))), float(n < 25), float("©" in text[:12]), float(text[-1] in ".!?:…\"")]
+    none = [0.0] * len(found)
+    return [*found, *none, 1.0] if named else [*none, *found, 0.0]
+
+
+class Model:
+    """Log-odds weights by token, of the statistics and the intercept; strength of the edges and its decay by DOM step."""
+
+    def __init__(self, tokens: dict[str, float], stats: list[float], bias: float, near: float, decay: float, sibling: float):
+        self.tokens, self.stats, self.bias, self.near, self.decay, self.sibling = tokens, stats, bias, near, decay, sibling
+
+    def costs(self, blocks: list[Block], evidence: list[frozenset[str]]) -> list[float]:
+        """Log-odds that each block is content: what labelling it boilerplate costs more than labelling it content."""
+        known: dict[frozenset[str], tuple[float, bool]] = {}
+        out = []
+        for b in blocks:
+            found = evidence[b.element]
+            if found not in known:
+                known[found] = self.bias + sum(self.tokens[t] for t in sorted(found)), not NAMING.isdisjoint(found)
+            own, named = known[found]
+            out.append(max(-MOST, min(MOST, own + sum(w * x for w, x in zip(self.stats, statistics(b, named))))))
+        return out
+
+    def edges(self, blocks: list[Block]) -> list[tuple[int, int, float]]:
+        """Neighbours, by the steps of the DOM path between them (two for siblings), and the last block under the same parent."""
+        edges, last = [], {}
+        for i, b in enumerate(blocks):
+            if i and self.near:
+                edges.append((i - 1, i, self.near * self.decay ** min(60, max(0, b.depth + blocks[i - 1].depth - 2 * b.shared - 2))))
+            if self.sibling and last.get(b.parent, i - 1) != i - 1:
+                edges.append((last[b.parent], i, self.sibling))
+            last[b.parent] = i
+        return edges
+
+
+def labelled_pages(n: int, seed: int) -> list[tuple[str, frozenset[str]]]:
+    """n pages with the texts of their main blocks, from a seeded generator of layouts."""
+    r = random.Random(seed)
+    syllables = "an er th in on re ti es or te en at ed nd to it is ou ea hi ng st le che ra mo la ver sch tion que ment".split()
+    serial = [0]
+
+    def word() -> str:
+        return "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+
+    def phrase(lo: int, hi: int) -> str:
+        serial[0] += 1  # every text is told from the others by its last word
+        return " ".join([*(word() for _ in range(r.randint(lo, hi))), f"{word()}{serial[0]}"]).capitalize()
+
+    def prose(sentences: int) -> str:
+        return " ".join(phrase(3, 16) + r.choice("....!?") for _ in range(sentences))
+
+    def link(text: str) -> str:
+        return f'<a href="/{word()}">{text}</a>'
+
+    def page() -> tuple[str, frozenset[str]]:
+        main: list[str] = []
+        mute = r.random() < 0.25  # class names that say nothing
+
+        def tag(name: str, part: str, inside: str) -> str:
+            if mute:
+                return f'<div class="c{r.randint(1, 99)}">{inside}</div>'
+            own = r.choice(WORDS[part])
+            attr = r.choice([f'class="{own}"', f'id="{own}"', f'class="x-{own} {word()}"', f'class="{own}-{r.choice(["box", "wrap", "area", word()])}"'])
+            name = r.choice([name, name, "div"])
+            return f"<{name} {attr}>{inside}</{name}>" if name in ("div", "section") or r.random() < 0.4 else f"<{name}>{inside}</{name}>"
+
+        def said(text: str) -> str:
+            main.append(text)
+            return text
+
+        def links(k: int) -> str:
+            items = [link(phrase(0, 2)) for _ in range(k)]
+            shape = r.random()
+            if shape < 0.25:  # a box of links under a heading, with a line of plain text now and then
+                return f"<h3>{phrase(0, 2)}</h3>" + "".join(f"<p>{i}</p>" if r.random() < 0.8 else f"<p>{phrase(1, 5)}</p>" for i in items)
+            if shape < 0.4:
+                return f"<h4>{phrase(0, 1)}</h4><ul><li>" + "</li><li>".join(items) + "</li></ul>"
+            return "<ul><li>" + "</li><li>".join(items) + "</li></ul>" if r.random() < 0.7 else " | ".join(items)
+
+        def paragraph() -> str:
+            kind = r.random()
+            if kind < 0.62:
+                text = said(prose(r.randint(1, 6)))
+                if r.random() < 0.06:  # linked as a whole
+                    return f"<p>{link(said(phrase(2, 8)))}</p><p>{text}</p>"
+                if r.random() < 0.15:
+                    head, tail = text.split(" ", 1)
+                    return f"<p>{link(head)} {tail}</p>"
+                return f"<p>{text}</p>"
+            if kind < 0.74:
+                return f"<p>{said(r.choice([phrase(0, 4), word().capitalize(), word().capitalize() + ' ' + word()]) + r.choice(['', '.', '.', '!']))}</p>"
+            if kind < 0.82:
+                return f"<h{k}>{said(phrase(1, 5))}</h{k}>" if (k := r.randint(2, 4)) else ""
+            if kind < 0.9:
+                return "<ul>" + "".join(f"<li>{said(phrase(1, 9))}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
+            if kind < 0.94:
+                return f"<blockquote>{said(prose(1))}</blockquote>"
+            if kind < 0.97:
+                return "<table><tr>" + "".join(f"<td>{said(phrase(0, 2))}</td>" for _ in range(4)) + "</tr></table>"
+            return f"<figure><img src=x><figcaption>{said(phrase(2, 8))}</figcaption></figure>"
+
+        def comment() -> str:
+            return f"<p>{prose(r.randint(1, 3))}</p>" if mute else tag("div", "comments", f"<p>{prose(r.randint(1, 3))}</p>")
+
+        title = f"<h1>{said(phrase(2, 7))}</h1>"
+        if r.random() < 0.15:
+            title = f"<header>{title}</header>" if not mute else title
+        inner = [title] + [paragraph() for _ in range(r.randint(2, 12))]
+        if r.random() < 0.25:
+            inner.insert(r.randint(1, len(inner)), tag("aside", r.choice(["advert", "sidebar"]), r.choice([f"<p>{prose(1)}</p>", links(3)]) if not mute else links(2)))
+        if r.random() < 0.15:
+            inner.append(tag("footer", "form", links(3)))
+        if r.random() < 0.2 and not mute:
+            inner.append(tag("section", "comments", "".join(comment() for _ in range(r.randint(1, 4)))))
+        if r.random() < 0.3:
+            inner = [f"<section>{x}</section>" if r.random() < 0.5 else x for x in inner]
+        body = "".join(inner)
+        shape = r.random()
+        if not mute and shape < 0.45:
+            body = f"<article>{body}</article>" if r.random() < 0.6 else f'<article class="{r.choice(WORDS["main text"])}">{body}</article>'
+        elif not mute and shape < 0.6:
+            body = f"<main>{body}</main>"
+        elif not mute and shape < 0.85:
+            body = f'<div {r.choice(["class", "id"])}="{r.choice(WORDS["main text"])}">{body}</div>'
+        else:
+            body = f'<div class="c{r.randint(1, 99)}">{body}</div>'
+        def filled(*usual: str) -> str:
+            """What a part of the page holds: as usual, or any prose where its name tells."""
+            return r.choice(usual) if mute or r.random() < 0.6 else r.choice([f"<p>{prose(r.randint(1, 4))}</p>", prose(1), f"<p>{phrase(1, 6)}</p>"])
+
+        before = [tag("header", "header", filled(f"<h2>{phrase(0, 2)}</h2>", f"<p>{phrase(0, 3)}</p>", link(phrase(0, 1)))) for _ in range(r.random() < 0.6)]
+        before += [tag("nav", "menu", filled(links(r.randint(3, 8)))) for _ in range(r.random() < 0.8)]
+        before += [tag("div", "notice", filled(f"<p>{prose(r.randint(1, 2))}</p>")) for _ in range(not mute and r.random() < 0.4)]
+        before += [tag("div", "advert", filled(phrase(1, 4), prose(1))) for _ in range(not mute and r.random() < 0.5)]
+        after = [tag("aside", "sidebar", filled(links(r.randint(2, 6)))) for _ in range(r.random() < 0.6)]
+        after += [tag("div", "comments", "".join(comment() for _ in range(r.randint(1, 4)))) for _ in range(not mute and r.random() < 0.4)]
+        after += [tag("div", "form", filled(links(3), f"<p>{phrase(2, 6)}</p>")) for _ in range(not mute and r.random() < 0.3)]
+        after += [tag("footer", "footer", r.choice(["&copy; ", "© ", ""]) + filled(phrase(1, 5), links(4))) for _ in range(r.random() < 0.8)]
+        if r.random() < 0.3:
+            r.shuffle(after)
+        whole = "".join(before) + body + "".join(after)
+        for _ in range(r.randint(0, 3)):
+            whole = f"<div>{whole}</div>"
+        return f"<html><head><title>{word()}</title></head><body>{whole}</body></html>", frozenset(main)
+
+    return [page() for _ in range(n)]
+
+
+@lru_cache(maxsize=1)
+def trained(seed: int = 4711, n_fit: int = 500, n_choose: int = 300) -> Model:
+    """The classifier and the strengths of the smoothness edges; the same on every run."""
+    place, n = {t: i for i, t in enumerate(TOKENS)}, len(TOKENS)
+    rows, good = [], []
+    for page, main in labelled_pages(n_fit, seed):
+        found, evidence = parse(page)
+        for b in found:
+            row = np.zeros(n + 2 * len(STATS) + 1)
+            row[[place[t] for t in evidence[b.element]]] = 1
+            row[n:] = statistics(b, not NAMING.isdisjoint(evidence[b.element]))
+            rows.append(row), good.append(b.text.removeprefix("© ") in main)
+    weights = fit_logistic(np.array(rows), np.array(good, float), ridge=2.0)
+    tokens, stats = dict(zip(TOKENS, weights.tolist())), weights[n:-1].tolist()
+    held = [(parse(page), main) for page, main in labelled_pages(n_choose, seed + 1)]
+    best = None
+    for near in (0.0, 0.5, 1.0, 2.0, 4.0):
+        for decay in (0.2, 0.4):
+            for sibling in (0.0, 0.5, 1.0):
+                model = Model(tokens, stats, float(weights[-1]), near, decay, sibling * near)
+                wrong = sum(c != (b.text.removeprefix("© ") in main) for (found, evidence), main in held for b, c in zip(found, label(model, found, evidence)))
+                if best is None or wrong < best[0]:
+                    best = (wrong, model)
+    return best[1]
+
+
+# --- the cut ---------------------------------------------------------------------------------------------------------
 
 
 def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -202,7 +417,8 @@ def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list
 
     A node i is joined to the source with capacity max(0, unary[i]), to the sink with max(0, -unary[i]); edges are
     symmetric.  Nodes whose terminal capacity exceeds all their edges are on its side in every minimum cut; they are
-    settled first, their edges turning into terminal capacities of the neighbours.
+    settled first, their edges turning into terminal capacities of the neighbours.  What stays open falls into
+    connected parts, each with a maximum flow of its own.
     """
     n = len(unary)
     near: list[dict[int, float]] = [{} for _ in range(n)]
@@ -221,61 +437,77 @@ def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list
                     left[j] += c if label[i] else -c
                     rest[j] -= c
                     queue.append(j)
-    open_nodes = [i for i in range(n) if label[i] is None]
-    if not open_nodes:
-        return label
-    # maximum flow by shortest augmenting paths on what is open
-    source, sink = n, n + 1
+    for start in range(n):
+        if label[start] is None:
+            part, todo = {start}, [start]
+            while todo:
+                for j in near[todo.pop()]:
+                    if label[j] is None and j not in part:
+                        part.add(j)
+                        todo.append(j)
+            side = _source_side(sorted(part), left, near, n)
+            for i in part:
+                label[i] = i in side
+    return label
+
+
+def _source_side(nodes: list[int], left: list[float], near: list[dict[int, float]], n: int) -> dict[int, int]:
+    """The nodes that a maximum flow leaves reachable from the source (Dinic's blocking flows)."""
+    source, sink, inside = n, n + 1, set(nodes)
     graph: dict[int, dict[int, float]] = {source: {}, sink: {}}
-    for i in open_nodes:
-        graph[i] = {j: c for j, c in near[i].items() if label[j] is None}
-    for i in open_nodes:
+    for i in nodes:
+        graph[i] = {j: c for j, c in near[i].items() if j in inside}
+    for i in nodes:
         graph[source][i], graph[i][source] = max(0.0, left[i]), 0.0
         graph[i][sink], graph[sink][i] = max(0.0, -left[i]), 0.0
     while True:
-        came, todo = {source: source}, deque([source])
-        while todo and sink not in came:
+        level, todo = {source: 0}, deque([source])
+        while todo:
             i = todo.popleft()
             for j, c in graph[i].items():
-                if c > 1e-9 and j not in came:
-                    came[j] = i
+                if c > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
                     todo.append(j)
-        if sink not in came:
-            break
-        flow, j = math.inf, sink
-        while j != source:
-            flow, j = min(flow, graph[came[j]][j]), came[j]
-        j = sink
-        while j != source:
-            graph[came[j]][j] -= flow
-            graph[j][came[j]] += flow
-            j = came[j]
-    for i in open_nodes:
-        label[i] = i in came
-    return label
+        if sink not in level:
+            return level
+        ahead = {i: iter(list(graph[i])) for i in level}
+        path = [source]
+        while path:  # a blocking flow within the levels, one path after the other
+            i = path[-1]
+            if i == sink:
+                flow = min(graph[a][b] for a, b in zip(path, path[1:]))
+                for a, b in zip(path, path[1:]):
+                    graph[a][b] -= flow
+                    graph[b][a] += flow
+                path = [source]
+                ahead[source] = iter(list(graph[source]))
+                continue
+            step = next((j for j in ahead[i] if graph[i][j] > 1e-9 and level.get(j) == level[i] + 1), None)
+            if step is None:
+                level.pop(i)
+                path.pop()
+            else:
+                path.append(step)
+                if step != sink:
+                    ahead[step] = iter(list(graph[step]))
+
 
+def label(model: Model, found: list[Block], evidence: list[frozenset[str]]) -> list[bool]:
+    """Whether each block is content."""
+    return minimum_cut(model.costs(found, evidence), model.edges(found))
 
-def main_text(page: str | None) -> str:
+
+def main_text(page: str | None, model: Model | None = None) -> str:
     """The main text of a page, one line per block."""
-    found = blocks(page or "")
-    edges, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, NEAR + COMMON * _common(found[i - 1].path, b.path)))
-        parent = b.path[:-1]
-        if parent in last and last[parent] != i - 1:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
-    label = minimum_cut([costs(b) for b in found], edges)
-    return "\n".join(b.text for b, content in zip(found, label) if content)
-
-
-def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    found, evidence = parse(page or "")
+    return "\n".join(b.text for b, content in zip(found, label(model or trained(), found, evidence)) if content)
+
+
+def extract(pages: DataFrame, html_col: str = "html", model: Model | None = None) -> DataFrame:
     """pages with `text`, the main text of each."""
+    model = model or trained()
 
     def fn(batch):
-        return [pa.array([main_text(p) for p in batch.column(html_col).to_pylist()], pa.string())]
+        return [pa.array([main_text(p, model) for p in batch.column(html_col).to_pylist()], pa.string())]
 
     return arrow_append(pages, [T.StructField("text", T.StringType())], html_col, fn)
-
-

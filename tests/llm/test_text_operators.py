@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,88 @@ def test_main_text():
     assert html_extract.main_text("<div>" * 3000 + "deep text of a page." + "</div>" * 3000) == "deep text of a page."
 
 
+def test_main_text_of_broken_pages():
+    page = "<h1>Title</h1><p>Some text here, enough of it.</p>"
+    want = "Title\nSome text here, enough of it."
+    assert html_extract.main_text(f"<html><head><title>x</title><body><article>{page}</article>") == want  # no </head>
+    assert html_extract.main_text(f"<head><meta x><article>{page}</article>") == want
+    for wide in ('<html class="no-js menu-open"><body class="has-sidebar">', '<body class="sidebar left-menu" id="comments">', '<body><div class="page with-sidebar sidebar">'):
+        assert html_extract.main_text(f"{wide}<article>{page}</article><div class=sidebar><p>Something else. Not this.</p></div>") == want
+    for unclosed in ('<article><h1>Title</h1><p class="x>Some text here, enough of it.</p></article>', "<article><h1 id='t>Title</h1><p>Some text here, enough of it.</p></article>",
+                     '<article><h1>Title</h1><p class="x>Some text here, enough of it.</p><p class="y"></p></article>'):
+        assert html_extract.main_text(unclosed) == want
+    assert html_extract.main_text('<article><h1>Title</h1><p data-x="<b>no</b> > 1">Some text here, enough of it.</p></article>') == want
+
+
+def test_deep_pages_take_linear_time():
+    n = 40_000
+    for page in ("<div>" * n + "<p>one text of a page.</p>" * n, "<div>" * n + "</span>" * n + "<p>one text of a page.</p>", "<ul><li>" * n + "x" + "</b>" * n, "<p>a b</p>" * n, "<p class='" * n):
+        began = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - began < 3
+
+
+def test_cut_decides_and_is_right():
+    """On held-out layouts the cut changes the sign of some blocks' own evidence, and is mostly right where it does."""
+    model = html_extract.trained()
+    changed = right = wrong = total = 0
+    for page, main in html_extract.labelled_pages(200, 8642):
+        found, evidence = html_extract.parse(page)
+        for b, cost, label in zip(found, model.costs(found, evidence), html_extract.label(model, found, evidence)):
+            truth = b.text.removeprefix("© ") in main
+            total, wrong = total + 1, wrong + (label != truth)
+            changed, right = changed + (label != (cost > 0)), right + (label != (cost > 0) and label == truth)
+    assert changed > 30 and right >= 0.9 * changed and wrong <= 0.015 * total
+    box = "<div class='c7'><h3>Readers also chose</h3><p><a href=/a>One thing</a></p><p><a href=/b>Another thing</a></p><p><a href=/c>Third thing</a></p></div>"
+    page = f"<body><div class='c3'><h1>Of rivers</h1><p>Rivers run down. They do so every day.</p><p><a href=/r>All about rivers and their beds</a></p><p>They end in the sea. Most do.</p></div>{box}"
+    found, evidence = html_extract.parse(page)
+    sign = [c > 0 for c in model.costs(found, evidence)]
+    assert html_extract.label(model, found, evidence) == [True] * 4 + [False] * 4 != sign
+
+
+class Articles(HTMLParser):
+    """Brute force for well-kept pages: the blocks of <article>, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.parts = 0, [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        if text:
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in ("b", "i", "em", "a", "span", "strong"):
+            self.flush()
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "em", "a", "span", "strong", "br"):
+            self.flush()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.parts.append(data)
+
+
+def test_query_equals_articles_of_the_table(spark):
+    from strataline.llm import queries
+
+    rows = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = queries.op2_html_extraction(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        parser = Articles()
+        parser.feed(rows[r["page_id"]] or "")
+        parser.close()
+        assert r["text"] == "\n".join(parser.blocks) and r["n_chars"] == len(r["text"])
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(3)
     for _ in range(200):
