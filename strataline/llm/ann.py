@@ -1,48 +1,116 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard, as flat neighbour arrays.
 
 Rows with equal vectors become one node that keeps its `k + 1` smallest ids (no query can return more of them); the
-limit is applied inside the map tasks, so a vector held by a third of all rows does not meet in one task.  Nodes are
-dealt by hash to shards of about SHARD nodes.  A shard's graph has geometrically drawn levels; on each level a node's
-neighbours are chosen among its nearest by the diversity rule (a candidate closer to a chosen neighbour than to the node
-is passed over) and made mutual within the degree bound.  All levels are int32 arrays of fixed width.  Inner products
+limit is applied inside the map tasks, so a vector held by a third of all rows does not meet in one task.  Inner products
 are searched as distances of vectors extended by one component that evens out their norms.
 
-Queries go in blocks to every shard; each worker descends the levels and runs a beam search for all queries of a block
-at once.  Answers of the shards in a task are merged to `k` per query before the shuffle, then merged over tasks.
+1. Nodes fall into cells around centroids (spherical k-means of the extended vectors, at most MAX_CELLS).  The centroids
+   are fitted on a bounded sample, SAMPLE nodes per cell; every node is indexed, in the cell of its nearest centroid.  A
+   cell of more than SHARD nodes is dealt by hash to shards of about that many.
+2. A shard's graph has geometrically drawn levels; on each level a node's neighbours are chosen among its nearest by the
+   diversity rule (a candidate closer to a chosen neighbour than to the node is passed over) and made mutual within the
+   degree bound.  All levels are int32 arrays of fixed width.
+3. A query goes to the shards of its `probes` nearest cells.  Their number is the smallest that holds ROUTED of the exact
+   neighbours of sample nodes among the sample (whose neighbours are further away than those among all nodes); data
+   without clusters thus get more probes, up to all.  A worker descends the levels and runs a beam search for BLOCK queries
+   at once; a shard that many queries ask is copied, so that no task answers more than ASKED of them.
+4. The answers of the shards are merged by rank, k per query and map task before the shuffle.
 
 Scores are inner products of the original vectors in double precision, summed in component order; ties go to smaller
-ids.  Every valid row is indexed.  Recall against brute force is measured in the tests (0.9 or more).
+ids.  Recall against brute force is measured in the tests and the README (0.9 or more).
 
 Defined results: null vectors, zero vectors, vectors with null or non-finite components, and vectors of another length
-than the most frequent one (ties: the longer) take no part, neither do rows with a null id; repeated ids count as
-separate rows, save that a query never returns its own id; with fewer than k candidates all are returned; no queries or
-an empty table give an empty table.
+than the index's most frequent one (ties: the longer) take no part, neither do rows with a null id; repeated ids count as
+separate rows, save that a query never returns its own id; equal query rows are asked once, different vectors under one
+query id are ranked apart; with fewer than k candidates all are returned; no queries or an empty table give an empty table.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import SMALL_TABLE, discard, materialize, release
 
 SHARD, DEGREE, BEAM, BLOCK, SEED = 4096, 24, 128, 256, 7
+#: Cells at most, sample nodes per cell that centroids are fitted on, share of neighbours that the probed cells must hold.
+MAX_CELLS, SAMPLE, ROUTED = 2048, 64, 0.95
+#: Queries that one copy of a shard answers.
+ASKED = 8192
 
 
-def valid(vectors: DataFrame, vec_col: str, id_col: str) -> DataFrame:
-    """(id, v) of the rows that take part."""
-    v = F.col(vec_col)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(
+@dataclass(frozen=True)
+class Index:
+    """The written graphs, one row per shard, and how queries find them: centroids, first shard and shards of each cell."""
+
+    graphs: DataFrame
+    centroids: np.ndarray
+    first: np.ndarray
+    shards: np.ndarray
+    probes: int
+    dim: int
+
+
+def valid(vectors: DataFrame, vec_col: str, id_col: str, dim: int | None = None) -> DataFrame:
+    """(id, v) of the rows that take part, as floats where the column holds floats, else as doubles."""
+    column = vectors.schema[vec_col].dataType
+    kind = "array<float>" if isinstance(column, T.ArrayType) and isinstance(column.elementType, T.FloatType) else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
         & F.exists("v", lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("v") == (common[0] if common else 0))
+    if dim is None:
+        common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        dim = common[0] if common else 0
+    return rows.where(F.size("v") == dim)
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of a column of lists of one length."""
+    return np.asarray(column.flatten()).reshape(-1, dim)
+
+
+def _extended(x: np.ndarray, most: float) -> np.ndarray:
+    """Vectors with the component that brings their squared norms to `most`."""
+    x = x.astype(np.float32)
+    rest = np.maximum(most - (x.astype(np.float64) ** 2).sum(1), 0)
+    return np.concatenate((x, np.sqrt(rest)[:, None].astype(np.float32)), axis=1)
+
+
+def centroids_of(y: np.ndarray, cells: int, rounds: int = 12, seed: int = SEED) -> np.ndarray:
+    """Spherical k-means: unit centroids of extended vectors; a cell without members moves to a node that fits badly."""
+    r = np.random.default_rng(seed)
+    c = y[r.choice(len(y), cells, replace=False)].copy()
+    for _ in range(rounds):
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        near = y @ c.T
+        own = near.argmax(1)
+        order = np.argsort(own, kind="stable")
+        size = np.bincount(own, minlength=cells)
+        some = np.flatnonzero(size)
+        c[some] = np.add.reduceat(y[order], (np.cumsum(size) - size)[some])
+        none = np.flatnonzero(size == 0)
+        c[none] = y[np.argsort(near.max(1), kind="stable")[: len(none)]]
+    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+
+
+def probes_of(x: np.ndarray, y: np.ndarray, c: np.ndarray, k: int, share: float = ROUTED, asked: int = 512) -> int:
+    """How many of the nearest cells hold `share` of the k exact neighbours of sample nodes, among the sample."""
+    q = np.random.default_rng(SEED + 1).choice(len(x), min(asked, len(x)), replace=False)
+    near = x[q] @ x.T
+    near[np.arange(len(q)), q] = -np.inf
+    k = min(k, len(x) - 1)
+    found = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    rank = np.argsort(np.argsort(-(x[q] @ c[:, :-1].T), axis=1, kind="stable"), axis=1, kind="stable")  # of each cell, by query
+    at = np.sort(np.take_along_axis(rank, (y @ c.T).argmax(1)[found], 1).ravel())
+    return int(at[math.ceil(share * len(at)) - 1]) + 1
 
 
 def nodes_of(rows: DataFrame, k: int) -> DataFrame:
@@ -182,100 +250,143 @@ def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.cumsum(q.astype(np.float64) * v.astype(np.float64), axis=-1)[..., -1]
 
 
-def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, shard: int = SHARD) -> DataFrame:
-    """The written index: per shard its vectors, id lists and the flat neighbour arrays of each level."""
+GRAPH = "shard long, dim int, wide boolean, vectors binary, lens binary, ids binary, members array<binary>, links array<binary>"
+GRAPH_SCHEMA = pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("wide", pa.bool_()), ("vectors", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary()), ("members", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))])
+
+
+def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, shard: int = SHARD) -> Index:
+    """The written index: per shard its vectors, id lists and the flat neighbour arrays of each level; and its routing."""
     nodes = materialize(nodes_of(valid(vectors, vec_col, id_col), k), "ann-nodes")
-    shards = max(1, math.ceil(nodes.count() / shard))
+    squares = F.aggregate(F.transform("v", lambda a: a.cast("double") * a.cast("double")), F.lit(0.0), lambda s, a: s + a)
+    n, most, dim = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max(squares), F.lit(0.0)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    cells = max(1, min(MAX_CELLS, math.ceil(n / shard)))
+    wide = isinstance(nodes.schema["v"].dataType.elementType, T.DoubleType)
+    if cells > 1:
+        share = min(1.0, 1.1 * SAMPLE * cells / n)
+        drawn = nodes.where(F.pmod(F.xxhash64("h", F.lit(SEED + 2)), F.lit(1 << 30)) < int((1 << 30) * share)).select("h", "v").limit(2 * SAMPLE * cells).collect()
+        x = np.array([r["v"] for r in sorted(drawn, key=lambda r: (r["h"], r["v"]))], np.float32)
+        y = _extended(x, most)
+        c = centroids_of(y, min(cells, len(y)))
+        probes = probes_of(x, y, c, k)
+    else:
+        c, probes = np.zeros((1, dim + 1), np.float32), 1
+
+    def cell(batches):
+        for batch in batches:
+            own = (_extended(_matrix(batch.column("v"), dim), most) @ c.T).argmax(1)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32())], names=["cell"])
+
+    sizes = np.zeros(len(c), np.int64)
+    for r in nodes.select("v").mapInArrow(cell, "cell int").groupBy("cell").count().collect():  # MAX_CELLS rows at most
+        sizes[r[0]] = r[1]
+    shards = np.ceil(sizes / shard).astype(np.int64)
+    first = np.cumsum(shards) - shards
+
+    def deal(batches):
+        for batch in batches:
+            own = (_extended(_matrix(batch.column("v"), dim), most) @ c.T).argmax(1)
+            place = first[own] + np.asarray(batch.column("h")).view(np.uint64).astype(object) % np.maximum(shards[own], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), batch.column("v"), batch.column("ids")], names=["shard", "v", "ids"])
 
     def run(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for s, v, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "v", "ids"))):
-                held.setdefault(s, []).append((ids[0], v, ids))
+            x, ids, place = _matrix(batch.column("v"), dim), batch.column("ids").to_pylist(), np.asarray(batch.column("shard"))
+            for s in np.unique(place).tolist():
+                at = np.flatnonzero(place == s)
+                held.setdefault(s, []).append((x[at], [ids[i] for i in at]))
         for s in sorted(held):
-            rows = sorted(held.pop(s), key=lambda r: r[0])
-            x = np.array([r[1] for r in rows], np.float32)
-            lens = np.array([len(r[2]) for r in rows], np.int32)
-            levels = build(x)
+            parts = held.pop(s)
+            ids = [i for _, some in parts for i in some]
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            x = np.concatenate([p for p, _ in parts])[order]
+            levels = build(x.astype(np.float32))
             yield pa.RecordBatch.from_pydict({
-                "shard": [s], "dim": [x.shape[1]], "vectors": [x.tobytes()], "lens": [lens.tobytes()],
-                "ids": [np.concatenate([np.array(r[2], np.int64) for r in rows]).tobytes()],
-                "members": [[m.tobytes() for m, _ in levels]], "links": [[a.tobytes() for _, a in levels]]},
-                schema=pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("vectors", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary()), ("members", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))]))
+                "shard": [s], "dim": [dim], "wide": [wide], "vectors": [x.tobytes()], "lens": [np.array([len(ids[i]) for i in order], np.int32).tobytes()],
+                "ids": [np.concatenate([np.array(ids[i], np.int64) for i in order]).tobytes()],
+                "members": [[m.tobytes() for m, _ in levels]], "links": [[a.tobytes() for _, a in levels]]}, schema=GRAPH_SCHEMA)
+            release()
 
-    placed = nodes.withColumn("shard", F.pmod(F.xxhash64("h", F.lit(SEED)), F.lit(shards)).cast("long"))
-    graph = placed.select("shard", F.col("v").cast("array<float>").alias("v"), "ids").repartition(shards, "shard").mapInArrow(
-        run, "shard long, dim int, vectors binary, lens binary, ids binary, members array<binary>, links array<binary>")
-    return materialize(graph, "ann-index")
+    placed = nodes.select(F.xxhash64("h", F.lit(SEED)).alias("h"), "v", "ids").mapInArrow(deal, T.StructType([T.StructField("shard", T.LongType()), nodes.schema["v"], nodes.schema["ids"]]))
+    graphs = materialize(placed.repartition(max(1, int(shards.sum())), "shard").mapInArrow(run, GRAPH), "ann-index")
+    discard(nodes)
+    return Index(graphs, c, first, shards, probes, dim)
 
 
-def query(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, beam: int = BEAM) -> DataFrame:
+def query(index: Index, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, beam: int = BEAM, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row (its own id excepted)."""
-    shards = index.agg(F.coalesce(F.max("shard"), F.lit(-1)) + 1).first()[0]
-    asked = valid(queries, vec_col, id_col).select("id", F.col("v").cast("array<float>").alias("v"))
-    total = asked.count()
-    blocks = max(1, math.ceil(total / BLOCK))
-
-    def pack(batches):
-        held: dict[int, list] = {}
+    asked = valid(queries, vec_col, id_col, index.dim).dropDuplicates(["id", "v"]).withColumn("key", F.xxhash64("v"))
+    dim, c, first, shards = index.dim, index.centroids, index.first, index.shards
+    probes = min(len(c), index.probes if probes is None else probes)
+
+    def ways(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(query, shard) pairs: all shards of the nearest cells."""
+        near = np.argsort(-(_matrix(v, dim).astype(np.float32) @ c[:, :-1].T), axis=1, kind="stable")[:, :probes].ravel()
+        count = shards[near]
+        who = np.repeat(np.repeat(np.arange(len(v)), probes), count)
+        return who, np.repeat(first[near], count) + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+
+    def counted(batches):
         for batch in batches:
-            for b, i, v in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "v"))):
-                held.setdefault(b, []).append((i, v))
-        for b, rows in held.items():
-            rows.sort()
-            yield pa.RecordBatch.from_pydict({
-                "block": [b], "qids": [np.array([r[0] for r in rows], np.int64).tobytes()],
-                "q": [np.array([r[1] for r in rows], np.float32).tobytes()]},
-                schema=pa.schema([("block", pa.int64()), ("qids", pa.binary()), ("q", pa.binary())]))
-
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).repartition(min(blocks, 64), "block").mapInArrow(
-        pack, "block long, qids binary, q binary")
-    # every block meets every shard: the stated query set against all rows, in blocks
-    dealt = packed.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, shards - 1)).cast("long"))))
+            yield pa.RecordBatch.from_arrays([pa.array(ways(batch.column("v"))[1], pa.int64())], names=["shard"])
+
+    def routed(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(lo, BLOCK)
+                who, to = ways(batch.column("v"))
+                for at in range(0, len(who), 10_000):
+                    part = pa.array(who[at: at + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(to[at: at + 10_000], pa.int64()), *(batch.column(x).take(part) for x in ("id", "key", "v"))], names=["shard", "qid", "qkey", "q"])
+
+    # copies of a shard by the number of its queries; one row per shard
+    copies = materialize(asked.select("v").mapInArrow(counted, "shard long").groupBy("shard").agg(
+        F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("copies")), "ann-copies")
+    total, tasks = copies.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    small = F.broadcast(copies) if total <= SMALL_TABLE else copies
+    ways_schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("qid", T.LongType()), T.StructField("qkey", T.LongType()), T.StructField("q", asked.schema["v"].dataType)])
+    dealt = asked.select("id", "key", "v").mapInArrow(routed, ways_schema).join(small, "shard").withColumn("copy", F.pmod(F.xxhash64("qid", "qkey"), F.col("copies")).cast("int")).drop("copies")
+    graphs = index.graphs.join(small, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    both = graphs.unionByName(dealt, allowMissingColumns=True).withColumn("after", F.col("vectors").isNull())
+
+    def answers(graph, qids: np.ndarray, keys: np.ndarray, q: np.ndarray):
+        exact, x, lens, ids, start, levels = graph
+        found = search(x, levels, q.astype(np.float32), max(beam, k + 1))
+        rows = []
+        for row, (own, key) in enumerate(zip(qids.tolist(), keys.tolist())):
+            nodes = found[row][found[row] >= 0]
+            if len(nodes) < min(k + 1, len(x)):  # a part of the graph that the walk did not reach
+                nodes = np.arange(len(x))
+            value = exact_scores(q[row], exact[nodes])
+            # all nodes as good as the (k + 1)-th: ties are settled by id
+            top = np.flatnonzero(value >= np.sort(value)[::-1][min(k, len(nodes) - 1)])
+            mine = sorted((-float(value[j]), int(i)) for j in top.tolist() for i in ids[start[nodes[j]]: start[nodes[j]] + lens[nodes[j]]] if i != own)
+            rows += [(own, key, i, -s) for s, i in mine[:k]]
+        if rows:
+            a, b, i, s = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "query_key", "vec_id", "score"])
 
     def run(batches):
-        best: dict[int, list[tuple[float, int]]] = {}
-        graph = None
+        graph, here = None, None
         for batch in batches:
-            for r in (row for one in range(batch.num_rows) for row in batch.slice(one, 1).to_pylist()):
-                if r["vectors"] is not None:  # a shard's graph comes before its query blocks
-                    x = np.frombuffer(r["vectors"], np.float32).reshape(-1, r["dim"])
+            place, copy, heads = np.asarray(batch.column("shard")), np.asarray(batch.column("copy")), np.asarray(batch.column("vectors").is_valid())
+            cuts = np.unique(np.concatenate(([0, batch.num_rows], np.flatnonzero(heads), np.flatnonzero(heads) + 1)))
+            for lo, hi in zip(cuts, cuts[1:]):
+                if heads[lo]:  # a shard's graph comes before its queries
+                    r = batch.slice(lo, 1).to_pylist()[0]
+                    exact = np.frombuffer(r["vectors"], np.float64 if r["wide"] else np.float32).reshape(-1, r["dim"])
                     lens, ids = np.frombuffer(r["lens"], np.int32), np.frombuffer(r["ids"], np.int64)
                     members = [np.frombuffer(m, np.int32) for m in r["members"]]
                     levels = [(m, np.frombuffer(a, np.int32).reshape(len(m), -1)) for m, a in zip(members, r["links"])]
-                    graph = (r["shard"], x, lens, ids, np.cumsum(lens) - lens, levels)
-                    continue
-                if graph is None or graph[0] != r["shard"]:
+                    graph, here = (exact, exact.astype(np.float32), lens, ids, np.cumsum(lens) - lens, levels), (r["shard"], r["copy"])
                     continue
-                _, x, lens, ids, start, levels = graph
-                q = np.frombuffer(r["q"], np.float32)
-                qids = np.frombuffer(r["qids"], np.int64)
-                if len(q) != len(qids) * x.shape[1]:
-                    continue
-                q = q.reshape(len(qids), -1)
-                found = search(x, levels, q, max(beam, k + 1))
-                for row, own in enumerate(qids.tolist()):
-                    nodes = found[row][found[row] >= 0]
-                    if len(nodes) < min(k + 1, len(x)):  # a part of the graph that the walk did not reach
-                        nodes = np.arange(len(x))
-                    value = exact_scores(q[row], x[nodes])
-                    # all nodes as good as the (k + 1)-th: ties are settled by id
-                    top = np.flatnonzero(value >= np.sort(value)[::-1][min(k, len(nodes) - 1)])
-                    mine = best.setdefault(own, [])
-                    for j in top.tolist():
-                        node = nodes[j]
-                        mine += [(-float(value[j]), int(i)) for i in ids[start[node]: start[node] + lens[node]] if i != own]
-                    mine.sort()
-                    del mine[k:]
-        rows = [(own, i, -s) for own, mine in best.items() for s, i in mine]
-        if rows:
-            a, b, c = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    # one copy of each graph, followed by the blocks that ask it
-    both = index.unionByName(dealt, allowMissingColumns=True).withColumn("after", F.col("vectors").isNull())
-    answers = both.repartition("shard").sortWithinPartitions("shard", "after").mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return answers.select("*", rank.alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
+                if here != (place[lo], copy[lo]):
+                    raise RuntimeError(f"no graph came before the queries of shard {place[lo]}")
+                for at in range(lo, hi, BLOCK):
+                    part = batch.slice(at, min(BLOCK, hi - at))
+                    yield from answers(graph, np.asarray(part.column("qid")), np.asarray(part.column("qkey")), _matrix(part.column("q"), dim))
+        release()
+
+    found = both.repartition(max(1, 2 * tasks), "shard", "copy").sortWithinPartitions("shard", "copy", "after").mapInArrow(run, "query_id long, query_key long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
+    return found.select("*", rank.alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

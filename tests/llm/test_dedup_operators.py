@@ -254,6 +254,54 @@ def test_neighbours(spark):
     assert [v for _, v, _ in by[100]][:20] == sorted([v for _, v, _ in by[100]][:20]) or len({s for *_, s in by[100]}) > 1
 
 
+def recall_of(got, x, ids, k=20):
+    """Share of the exact neighbours found, of all queries; scores and ranks are checked on the way."""
+    x = np.asarray(x, np.float64)
+    by, place, recall = {}, {int(i): n for n, i in enumerate(ids)}, []
+    for g in got:
+        by.setdefault(g["query_id"], []).append((g["rank"], g["vec_id"], g["score"]))
+    for q, found in by.items():
+        exact = x @ x[place[q]]
+        found.sort()
+        order = [i for i in np.lexsort((ids, -exact)) if ids[i] != q][:k]
+        recall.append(len({int(ids[i]) for i in order} & {v for _, v, _ in found}) / len(order))
+        assert [r for r, *_ in found] == list(range(1, len(order) + 1)) and all(abs(s - exact[place[v]]) < 1e-12 for _, v, s in found)
+    return np.mean(recall), sorted(by)
+
+
+def test_routed_neighbours_over_many_shards(spark):
+    """Clustered vectors as in the embeddings table, norms apart, doubles; twenty shards and fewer probes than cells."""
+    r = np.random.default_rng(8)
+    centre = r.standard_normal((40, 32))
+    x = (centre[r.integers(0, 40, 8000)] + 0.3 * r.standard_normal((8000, 32))) * r.uniform(0.5, 1.5, (8000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    index = ann.build_index(df, shard=400)
+    assert index.shards.sum() >= 20 and index.graphs.count() == index.shards.sum() and index.probes < len(index.centroids)
+    recall, asked = recall_of(ann.query(index, df.where("vec_id % 20 = 0")).collect(), x, np.arange(8000))
+    assert recall >= 0.95 and asked == list(range(0, 8000, 20))
+
+
+def test_neighbours_of_the_embeddings_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    x, ids = (np.array(c) for c in zip(*[(r["embedding"], r["vec_id"]) for r in rows.orderBy("vec_id").collect()]))
+    recall, asked = recall_of(ann.query(ann.build_index(rows, shard=150), rows.where("vec_id % 20 = 0")).collect(), x, ids)
+    assert recall >= 0.95 and asked == [i for i in ids.tolist() if i % 20 == 0]
+
+
+def test_neighbours_of_odd_tables(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ASKED", 2)  # many copies of a shard
+    one, two = [1.0, 0.1234567890123456], [0.3, 0.7]
+    rows = [(0, one), (0, one), (0, two), (1, one), (2, two), (20, two), (40, [1.0, 2.0, 3.0]), (None, one), (60, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.query(ann.build_index(df), df.where("vec_id % 20 = 0"), k=3).collect()
+    assert sorted((g["query_id"], g["rank"], g["vec_id"]) for g in got) == [(0, 1, 1), (0, 1, 2), (0, 2, 2), (0, 2, 20), (0, 3, 1), (0, 3, 20), (20, 1, 0), (20, 2, 2), (20, 3, 0)]
+    assert max(g["score"] for g in got) == one[0] * one[0] + one[1] * one[1]  # doubles stay doubles
+    # queries of which most have another length: those of the index's length are answered
+    other = spark.createDataFrame([(100, [1.0, 2.0, 3.0]), (120, [1.0, 2.0, 3.0]), (140, one)], "vec_id long, embedding array<double>")
+    assert {g["query_id"] for g in ann.query(ann.build_index(df), other).collect()} == {140}
+    assert ann.query(ann.build_index(df), other.limit(0)).count() == 0
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0]), (20, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = ann.query(ann.build_index(df), df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
