@@ -5,12 +5,17 @@ A passage is a window of `length` symbols (bytes, or words).  Windows are never
 A. Every window is assigned the smallest hash among its k-grams (its anchor); equal
    windows have equal anchors, so runs of windows with one anchor stay together.  Each slice of text sends every distinct
    anchor once, packed, to the anchor's owner (owners hold ranges of anchor hashes); anchors that repeat within the
-   slice are known to be shared already and send one entry, whatever their number.  Owners answer which runs are shared.
+   slice are known to be shared already and send one entry, whatever their number.  Owners answer which runs are shared,
+   and which anchors have more than HOT_CONTEXTS different contexts.
 B. Shared runs send their context (the symbols of the run's windows) to owners, again once per distinct context and
-   slice; copies within the slice are settled on the spot.  Owners settle equal contexts, and hand the remaining distinct
-   contexts to the operator's own matcher, which decides window by window on the symbols themselves.
+   slice; copies within the slice are settled on the spot.  Where an anchor is hot, no owner gets all of its contexts: each
+   window goes by itself, to the owner of the hash of all its symbols.  Owners settle equal contexts, and hand the
+   remaining distinct ones to the operator's own matcher, which decides window by window on the symbols themselves.
 C. Spans come back per document and are merged.
 
+An owner keeps its messages packed and goes through them in passes over parts of its hashes, so that what it has unpacked
+at a time is bounded (PASS_RUNS, PASS_WINDOWS), whatever the size of its partition.
+
 Rows travel as (id, rid); rid is a hash of id and text, so rows that share a doc_id keep apart unless they are equal.
 """
 
@@ -25,12 +30,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, release, slices, spread
+from .common import SMALL_TABLE, discard, hash_bytes, materialize, mix64, release, slices, spread
 
 #: Runs that a task gathers before it sends them to their owners.
 MESSAGE_RUNS = 500_000
 #: Distinct contexts that a task gathers before it sends them.
 MESSAGE_CONTEXTS = 150_000
+#: Different contexts (added up over messages) from which an anchor's windows are dealt one by one.
+HOT_CONTEXTS = 20_000
+#: Runs, and windows of contexts, that an owner unpacks at a time.
+PASS_RUNS, PASS_WINDOWS = 4_000_000, 1_500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -55,6 +64,12 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def packed_rows(blob: bytes) -> int:
+    """Length of the packed arrays."""
+    with zstandard.ZstdDecompressor().stream_reader(blob) as data:
+        return int(np.frombuffer(data.read(16), np.int64)[1])
+
+
 def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     """base ** 0 .. base ** n, modulo 2 ** 64."""
     p = np.full(n + 1, base, np.uint64)
@@ -77,13 +92,13 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int, inner: bool) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: (anchor hash, row, first start in the row, windows, holds an anchor twice)."""
+    """Runs of windows with one anchor: (anchor hash, row, first start in the row, windows, holds an anchor twice, context hash)."""
     none = np.empty(0, np.int64)
     n, width = len(symbols), length - k + 1
     if n < length:
-        return none.astype(np.uint64), none, none, none, none.astype(bool)
-    p = prefix_hashes(symbols, powers(n))
-    grams = mix64((p[k:] - p[: n - k + 1]) * powers(n - k, INVERSE))
+        return none.astype(np.uint64), none, none, none, none.astype(bool), none.astype(np.uint64)
+    p, back = prefix_hashes(symbols, powers(n)), powers(n - k, INVERSE)
+    grams = mix64((p[k:] - p[: n - k + 1]) * back)
     low = sliding_min(grams, width)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     last = len(low)
@@ -98,18 +113,19 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, length: int, k: int, inner: b
     end = np.append(stops, last)[np.searchsorted(stops, start, "right")]
     # anchors that occur twice within a run: same gram again at a short distance
     twice = np.zeros(len(start), bool)
+    context = (p[end - 1 + length] - p[start]) * back[start] + (end - start).astype(np.uint64)
     if not inner:
-        return mix64(low[start]), row[start], start - offsets[row[start]], end - start, twice
+        return mix64(low[start]), row[start], start - offsets[row[start]], end - start, twice, context
     order = np.argsort(grams, kind="stable")
     again = order[1:][(grams[order[1:]] == grams[order[:-1]]) & (order[1:] - order[:-1] < 3 * width)]
     if len(again):
-        for back in range(width + 2):  # the runs that can cover such a position
-            at = np.searchsorted(start, again, "right") - 1 - back
+        for before in range(width + 2):  # the runs that can cover such a position
+            at = np.searchsorted(start, again, "right") - 1 - before
             good = at >= 0
             hit = at[good]
             twice[hit[low[start[hit]] == grams[again[good]]]] = True
     # smallest hashes crowd near zero: mixed again, they spread evenly over the owners
-    return mix64(low[start]), row[start], start - offsets[row[start]], end - start, twice
+    return mix64(low[start]), row[start], start - offsets[row[start]], end - start, twice, context
 
 
 @dataclass(frozen=True)
@@ -153,17 +169,17 @@ RUN_SCHEMA = pa.schema([("key", pa.int32()), ("blob", pa.binary()), ("id", pa.in
 
 
 def shared_runs(docs: DataFrame, symbols: Symbols, rule: Rule, length: int, k: int) -> DataFrame:
-    """Step A: light rows (id, rid, n, sha) of all documents, and (id, rid, h, lo, span) of shared runs."""
+    """Step A: light rows (id, rid, n, sha) of all documents, (id, rid, h, lo, span) of shared runs, (h, n) of hot anchors."""
     import hashlib
 
     spark = docs.sparkSession
     parts = spread(spark)
     keys = np.array(partition_keys(spark, parts), np.int32)
 
-    def emit(ids, rids, h, row, lo, span, twice):
+    def emit(ids, rids, h, row, lo, span, twice, context):
         """Known shared runs as rows, and one packed message per owner, from the runs of some slices."""
         order = np.lexsort((row, h))
-        h, row, lo, span, twice = (x[order] for x in (h, row, lo, span, twice))
+        h, row, lo, span, twice, context = (x[order] for x in (h, row, lo, span, twice, context))
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         number = np.cumsum(first) - 1
@@ -181,7 +197,13 @@ def shared_runs(docs: DataFrame, symbols: Symbols, rule: Rule, length: int, k: i
             k = at[i: i + 100_000]
             yield _rows(len(k), RUN_SCHEMA, key=keys[rids[row[k]] % parts], id=ids[row[k]], rid=rids[row[k]],
                         h=(h[k] >> np.uint64(16) << np.uint64(16)).view(np.int64), lo=lo[k].astype(np.int32), span=span[k].astype(np.int32))
+        # different contexts of the anchors that send one entry for all their runs
+        pairs = at[np.lexsort((context[at], number[at]))]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (number[pairs[1:]] != number[pairs[:-1]]) | (context[pairs[1:]] != context[pairs[:-1]])
+        several = np.bincount(number[pairs[new]], minlength=number[-1] + 1).astype(np.uint32)
         sent = ~known | first
+        times = np.where(known, several[number], 1).astype(np.uint32)[sent]
         h, row, lo, span, known = (x[sent] for x in (h, row, lo, span, known))
         edges = np.searchsorted(_owner(h, parts), np.arange(parts + 1))
         blobs, to = [], []
@@ -190,7 +212,7 @@ def shared_runs(docs: DataFrame, symbols: Symbols, rule: Rule, length: int, k: i
             if a < b:
                 used, place = np.unique(row[a:b], return_inverse=True)
                 delta = np.diff(h[a:b] >> np.uint64(16), prepend=np.uint64(0))  # 48 bits choose runs; contexts decide
-                run = pack(delta, place.astype(np.uint16 if len(used) < 65536 else np.uint32), lo[a:b].astype(np.uint32), span[a:b].astype(np.uint8), known[a:b])
+                run = pack(delta, place.astype(np.uint16 if len(used) < 65536 else np.uint32), lo[a:b].astype(np.uint32), span[a:b].astype(np.uint8), known[a:b], times[a:b])
                 blobs.append(len(run).to_bytes(4, "little") + run + pack(ids[used], rids[used]))
                 to.append(int(keys[p]))
         for i in range(0, len(blobs), 256):
@@ -213,11 +235,11 @@ def shared_runs(docs: DataFrame, symbols: Symbols, rule: Rule, length: int, k: i
                 digest = [(n, hashlib.sha256(b).hexdigest()) for n, b in map(symbols.whole, texts.to_pylist())]
                 yield _rows(len(ids), RUN_SCHEMA, key=keys[rids % parts], id=ids, rid=rids, n=[n for n, _ in digest], sha=[d for _, d in digest])
                 flat, offsets = symbols.read(texts)
-                h, row, lo, span, twice = runs(flat, offsets, length, k, rule.same_document)
+                h, row, lo, span, twice, context = runs(flat, offsets, length, k, rule.same_document)
                 del flat
                 docs_held.append((ids.copy(), rids.copy()))
                 if len(h):
-                    held.append((h, (row + rows).astype(np.int32), lo.astype(np.int32), span.astype(np.uint8), twice))
+                    held.append((h, (row + rows).astype(np.int32), lo.astype(np.int32), span.astype(np.uint8), twice, context))
                 rows, size = rows + len(ids), size + len(h)
                 if size >= MESSAGE_RUNS:
                     yield from flush()
@@ -235,16 +257,32 @@ def shared_runs(docs: DataFrame, symbols: Symbols, rule: Rule, length: int, k: i
                 yield rest
         if not held:
             return
-        h, which, place, lo, span, known, tables = [], [], [], [], [], [], []
+        tables, total = [], 0
         for i, blob in enumerate(held):
             size = int.from_bytes(blob[:4], "little")
-            a = unpack(blob[4: 4 + size])
             tables.append(unpack(blob[4 + size:]))
-            h.append(np.cumsum(a[0], dtype=np.uint64))
-            which.append(np.full(len(a[0]), i, np.uint32))
-            place.append(a[1].astype(np.uint32)), lo.append(a[2]), span.append(a[3]), known.append(a[4])
-        del held
-        h, which, place, lo, span, known = (np.concatenate(x) for x in (h, which, place, lo, span, known))
+            held[i] = blob[4: 4 + size]
+            total += packed_rows(held[i])
+        start = np.cumsum([0] + [len(t[0]) for t in tables])
+        ids, rids = np.concatenate([t[0] for t in tables]), np.concatenate([t[1] for t in tables])
+        del tables
+        passes = -(-total // PASS_RUNS)
+        for turn in range(passes):
+            yield from answer(held, start, ids, rids, turn, passes)
+        release()
+
+    def answer(held, start, ids, rids, turn, passes):
+        """What an owner says to a part of its anchors."""
+        columns = []
+        for i, blob in enumerate(held):
+            delta, place, lo, span, known, times = unpack(blob)
+            h = np.cumsum(delta, dtype=np.uint64)
+            some = slice(None) if passes == 1 else mix64(h) % np.uint64(passes) == turn
+            columns.append((h[some], np.full(len(h), i, np.uint32)[some], *(x[some] for x in (place.astype(np.uint32), lo, span, known, times))))
+        h, which, place, lo, span, known, times = (np.concatenate(x) for x in zip(*columns))
+        del columns
+        if not len(h):
+            return
         order = np.argsort(h, kind="stable")
         s = h[order]
         new = np.ones(len(s), bool)
@@ -260,9 +298,11 @@ def shared_runs(docs: DataFrame, symbols: Symbols, rule: Rule, length: int, k: i
             other = np.zeros(len(s), bool)
             other[1:] = ~new[1:] & ((w[1:] != w[:-1]) | (p[1:] != p[:-1]))
             shared[number[other]] = True
+        contexts = np.bincount(number, weights=times[order]).astype(np.int64)
+        hot = np.flatnonzero(contexts > HOT_CONTEXTS)
+        if len(hot):
+            yield _rows(len(hot), RUN_SCHEMA, h=(s[new][hot] << np.uint64(16)).view(np.int64), n=contexts[hot])
         take = order[shared[number] & ~flag]
-        start = np.cumsum([0] + [len(t[0]) for t in tables])
-        ids, rids = np.concatenate([t[0] for t in tables]), np.concatenate([t[1] for t in tables])
         at = start[which[take]] + place[take]
         for i in range(0, len(take), 100_000):
             part, here = take[i: i + 100_000], at[i: i + 100_000]
@@ -294,8 +334,8 @@ def settle(context: np.ndarray, ids: np.ndarray, lo: np.ndarray, rule: Rule) ->
     return repeats, keep
 
 
-def spans(touched: DataFrame, symbols: Symbols, rule: Rule, length: int, match: Callable) -> DataFrame:
-    """Step B: (id, rid, a, b) symbol spans to remove.  touched: id, rid, text, runs (array of h, lo, span).
+def spans(touched: DataFrame, symbols: Symbols, rule: Rule, length: int, match: Callable, hot: np.ndarray) -> DataFrame:
+    """Step B: (id, rid, a, b) symbol spans to remove.  touched: id, rid, text, runs (array of h, lo, span).  hot: sorted anchors.
 
     match(contexts, group, ids, lo, span) gives for every context the flags of its windows, as one flat array.
     """
@@ -356,12 +396,27 @@ def spans(touched: DataFrame, symbols: Symbols, rule: Rule, length: int, match:
                 h = np.asarray(flat.field("h")).view(np.uint64)
                 lo, span = (np.asarray(flat.field(c)).astype(np.int64) for c in ("lo", "span"))
                 row = np.repeat(np.arange(len(sizes)), sizes)
+                alone = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+                if alone.any():  # the windows of a hot anchor's runs, one by one
+                    times = np.where(alone, span, 1)
+                    from_run = np.repeat(np.arange(len(h)), times)
+                    step = np.arange(len(from_run)) - np.repeat(np.cumsum(times) - times, times)
+                    alone, h, row = alone[from_run], h[from_run], row[from_run]
+                    lo, span = lo[from_run] + np.where(alone, step, 0), np.where(alone, 1, span[from_run])
+                    sizes = np.bincount(row, minlength=len(sizes))
                 ids, rids = (np.asarray(batch.column(c))[row] for c in ("id", "rid"))
-                number, at = [], 0
+                number, by_itself, at = [], [], 0
                 for text, n in zip(batch.column("text").to_pylist(), sizes.tolist()):
                     cut = symbols.cut(text)
-                    number += [numbers.setdefault(cut(a, a + s - 1 + length), len(numbers)) for a, s in zip(lo[at: at + n].tolist(), span[at: at + n].tolist())]
+                    for a, s, w in zip(lo[at: at + n].tolist(), span[at: at + n].tolist(), alone[at: at + n].tolist()):
+                        context = cut(a, a + s - 1 + length)
+                        number.append(numbers.setdefault(context, len(numbers)))
+                        if w:
+                            by_itself.append(context)
                     at += n
+                if by_itself:
+                    h = h.copy()
+                    h[alone] = mix64(hash_bytes(by_itself))
                 if number:
                     held.append((np.array(number, np.int64), h, ids, rids, row + rows, lo, span))
                 rows += len(sizes)
@@ -380,13 +435,32 @@ def spans(touched: DataFrame, symbols: Symbols, rule: Rule, length: int, match:
                 yield rest
         if not held:
             return
-        heads, numbers, contexts, number = [], {}, [], []
-        for blob in held:
+        heads, windows = [], 0
+        for i, blob in enumerate(held):
             size = int.from_bytes(blob[:4], "little")
-            heads.append(unpack(blob[4: 4 + size]))
-            body = zstandard.ZstdDecompressor().decompress(blob[4 + size:])
-            ends = np.cumsum(heads[-1][5].astype(np.int64)).tolist()
-            for a, b in zip([0, *ends], ends):
+            heads.append(blob[4: 4 + size])
+            held[i] = blob[4 + size:]
+            columns = unpack(heads[-1])
+            windows += int(columns[4].astype(np.int64).sum())
+        passes = max(1, -(-windows // PASS_WINDOWS))
+        for turn in range(passes):
+            yield from decide(heads, held, turn, passes)
+        release()
+
+    def decide(packed, bodies, turn, passes):
+        """The spans that an owner finds in a part of its contexts."""
+        heads, numbers, contexts, number = [], {}, [], []
+        for head, blob in zip(packed, bodies):
+            columns = unpack(head)
+            mine = np.ones(len(columns[0]), bool) if passes == 1 else mix64(columns[0]) % np.uint64(passes) == turn
+            if not mine.any():
+                continue
+            heads.append([x[mine] for x in columns])
+            body = zstandard.ZstdDecompressor().decompress(blob)
+            ends = np.cumsum(columns[5].astype(np.int64)).tolist()
+            for a, b, on in zip([0, *ends], ends, mine.tolist()):
+                if not on:  # runs of one context have one anchor, so a repeat never follows a context that is left out
+                    continue
                 if a == b:
                     number.append(number[-1])
                     continue
@@ -395,7 +469,9 @@ def spans(touched: DataFrame, symbols: Symbols, rule: Rule, length: int, match:
                 if i == len(contexts):
                     contexts.append(c)
                 number.append(i)
-        del held, numbers
+        if not heads:
+            return
+        del numbers
         h, ids, rids, lo, span, _ = (np.concatenate(x) for x in zip(*heads))
         lo, span, number = lo.astype(np.int64), span.astype(np.int64), np.array(number, np.int64)
         repeats, keep = settle(number, ids, lo, rule)
@@ -455,11 +531,14 @@ def find(docs: DataFrame, id_col: str, text_col: str, symbols: Symbols, rule: Ru
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), text.alias("text")).withColumn("rid", F.xxhash64("id", "text"))
     found = shared_runs(keyed, symbols, rule, length, k)
     light = materialize(found.where("sha IS NOT NULL").select("id", "rid", "n", "sha"), "whole-texts")
+    # at most SMALL_TABLE of them: the largest, should there be more
+    hot = np.array([r["h"] for r in found.where("h IS NOT NULL AND span IS NULL").orderBy(F.desc("n"), "h").limit(SMALL_TABLE).collect()], np.int64).view(np.uint64)
+    hot.sort()
     lists = found.where("span IS NOT NULL").groupBy("rid", "id").agg(F.collect_set(F.struct("h", "lo", "span")).alias("runs"))
     touched = materialize(keyed.join(lists, ["rid", "id"]).select("id", "rid", "text", "runs"), "touched")
     discard(found)
     # written first: the contexts' shuffle is gone before texts move again
-    pieces = materialize(spans(touched, symbols, rule, length, match), "spans")
+    pieces = materialize(spans(touched, symbols, rule, length, match, hot), "spans")
     cut = pieces.groupBy("rid", "id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return Removals(light, touched.select("id", "rid", "text").join(cut, ["rid", "id"]).select("id", "rid", "text", "spans"))
 

@@ -5,7 +5,8 @@ runs of windows that can repeat and brings their contexts together; here the suf
 sorted: prefix polynomial hashes give the hash of any stretch, binary search over hashes gives the common extension of
 two suffixes, so a comparison costs log2(length) hash look-ups whatever the texts.  A bottom-up mergesort (ranks in the
 other run by binary search, all suffixes at once) orders them within their anchor; neighbours with a common extension
-of the whole length form one string, and each such pair is verified byte by byte.
+of the whole length form one string, and each such pair is verified byte by byte; a class of strings that hashes took for
+one although bytes differ is split by its bytes.
 
 Defined results: null texts count as empty; texts shorter than the length keep everything; rows that share a doc_id are
 not removed for each other's sake; null ids come before all others; repeated rows give repeated results; an empty table
@@ -151,11 +152,15 @@ def match(contexts: list[bytes], group: np.ndarray, ids: np.ndarray, lo: np.ndar
                 a, b = near[i: i + 20_000], near[i: i + 20_000] + 1
                 span_ = np.arange(length)
                 ok[i: i + 20_000] = (data[pos[a][:, None] + span_] == data[pos[b][:, None] + span_]).all(1)
-            if not ok.all():
-                raise ArithmeticError("two different strings agree in their polynomial hash")
             same[near + 1] = True
-        number = np.cumsum(~same) - 1
-        least = np.full(number[-1] + 1, np.iinfo(np.int64).max, np.int64)
+            number = np.cumsum(~same) - 1
+            for wrong in np.unique(number[near[~ok]]).tolist():  # different strings of one hash: bytes tell them apart
+                members = np.flatnonzero(number == wrong)
+                _, by_bytes = np.unique(data[pos[members][:, None] + np.arange(length)], axis=0, return_inverse=True)
+                number[members] = np.where(by_bytes.ravel() > 0, number.max() + by_bytes.ravel(), wrong)
+        else:
+            number = np.zeros(len(pos), np.int64)
+        least = np.full(int(number.max()) + 1, np.iinfo(np.int64).max, np.int64)
         np.minimum.at(least, number, owner)
         flags[window[owner > least[number]]] = True
     return flags

@@ -1,9 +1,10 @@
 """Removal of repeated word windows by prefix-partitioned suffix trees.
 
 Words covered by a window of 20 words whose sequence also starts earlier (smaller id, or the same document further up)
-are removed.  `passages` finds the runs of windows that can repeat and brings their contexts together; here the suffixes
-of contexts are split by their first words, prefix by prefix: a group too large for memory is split by one more word, a
-group with a single suffix is a leaf edge and done.  Each memory-sized group becomes a subtree, built level by level down
+are removed.  `passages` finds the runs of windows that can repeat and deals them to tasks by a short stretch of words that
+they share (eight words), or, where that has too many suffixes for one task, by all their words; here the suffixes of an
+owner's contexts are split by their first words, prefix by prefix: a group too large for memory is split by one more word,
+a group with a single suffix is a leaf edge and done.  Each memory-sized group becomes a subtree, built level by level down
 to depth 20; its internal nodes at that depth are the repeats, and all leaves but the earliest are removed.
 
 Defined results: null texts have no words; documents of fewer words keep everything; null ids come before all others;

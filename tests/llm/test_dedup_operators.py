@@ -210,6 +210,30 @@ def test_words(spark, rows):
     assert suffix_tree_dedup.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("operator,brute,n", [(suffix_array_dedup, brute_bytes, 4), (suffix_tree_dedup, brute_words, 3)])
+def test_hot_anchors_and_passes_lose_nothing(spark, rows, monkeypatch, operator, brute, n):
+    """Every window by itself, and owners that unpack a few runs at a time."""
+    for name, size in (("HOT_CONTEXTS", 3), ("PASS_RUNS", 50), ("PASS_WINDOWS", 40)):
+        monkeypatch.setattr(passages, name, size)
+    want = brute(rows)
+    got = operator.remove_repeats(frame(spark, rows)).collect()
+    columns = ("n", "n_removed", "n_spans", "kept_sha256") if n == 4 else ("n", "n_removed", "kept_sha256")
+    assert len(got) == len(rows) and all(tuple(x[c] for c in columns) in want[x["id"]] for x in got)
+
+
+def test_hash_collisions_are_settled_by_bytes(rows, monkeypatch):
+    """All hashes agree: bytes alone tell strings apart."""
+    monkeypatch.setattr(suffix_array_dedup, "prefix_hashes", lambda symbols, pw: np.zeros(len(symbols) + 1, np.uint64))
+    texts = [(i, t.encode()) for i, t in rows if t and len(t) >= 50]
+    ids, span = np.array([i for i, _ in texts]), np.array([len(t) - 49 for _, t in texts])
+    flags = suffix_array_dedup.match([t for _, t in texts], np.zeros(len(texts), np.uint64), ids, np.zeros(len(texts), np.int64), span)
+    first = {}
+    for i, t in texts:
+        for s in range(len(t) - 49):
+            first[t[s: s + 50]] = min(first.get(t[s: s + 50], i), i)
+    assert flags.tolist() == [first[t[s: s + 50]] < i for i, t in texts for s in range(len(t) - 49)]
+
+
 def test_matchers_on_their_own(rows):
     texts = [(i, t.encode()) for i, t in rows if t and len(t) >= 50]
     ids, span = np.array([i for i, _ in texts]), np.array([len(t) - 49 for _, t in texts])
