@@ -9,7 +9,7 @@ from .common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
+    """(node, component), a written table, for every node of the edges (a, b); component is the smallest node reachable.
 
     Each round is grouped aggregation: every node's smallest neighbour m, then edges to m.  A hub's edges meet by a join
     that the adaptive planner can split; no neighbour list is ever collected.  Ends when the edges no longer change.
@@ -31,6 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         discard(old)
         sign = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(sign) == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            found = materialize(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+                now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+            discard(now)
+            return found
         seen = tuple(sign)

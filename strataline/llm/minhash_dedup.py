@@ -9,18 +9,20 @@ like independent samples, at cost O(set + t log t) instead of O(set * t).
 
 Pairs that agree on a whole band are candidates.  At similarity 0.8 a pair misses all bands with probability about 1e-7.
 
-1. Rows with equal sets collapse to one representative (smallest doc_id) before anything else, combined map-side.
-2. Per bucket only pairs (member, smallest member) are compared, so a bucket of n rows gives n - 1 pairs.
-3. Verified pairs are contracted to components.  Buckets that still hold several components are gone through once more,
-   in blocks of BLOCK members: members of different components are compared inside the worker (each pair in the first
-   bucket it shares) on 32-bit shingle hashes, with room for as many as collide within a set, so that no pair of such a
-   bucket becomes a row unless it may be a link.  No candidate is dropped.
+1. Rows with equal sets form one class, combined map-side before anything else; a class is named by a 64-bit digest of its
+   set (two of 1e10 classes share a name with a chance of 3e-10 each, far below that of missing all bands).
+2. Per bucket only pairs (member, smallest member) are compared, so a bucket of n classes gives n - 1 pairs.
+3. Verified pairs are contracted to parts (connected components).  In buckets that still hold several parts, members of
+   different parts are compared inside the worker (each pair in the first bucket it shares) on 32-bit shingle hashes, with
+   room for as many as collide within a set, so that no pair of such a bucket becomes a row unless it may be a link.  Work
+   is dealt in blocks of BLOCK members; blocks of one large part do not meet each other, so a large group of near copies
+   beside a few strangers costs in proportion to its size.  No candidate is dropped.
 4. Links are confirmed by intersecting the full shingle sets (64-bit shingle hashes; two distinct shingles of a pair of
-   1,000-shingle sets agree by chance with probability 1e-13).
+   1,000-shingle sets agree by chance with probability 1e-13).  Links between parts connect parts, not documents again.
 
 Defined results: null or empty texts, or texts of white space only, have n_shingles 0 and stay alone; rows that share
-a doc_id count as one document; null doc_ids are never linked and keep component_id null; an empty table gives an empty
-table.
+a doc_id are judged each by its own text (and are copies of each other only if their sets are); null doc_ids are never
+linked and keep component_id null; input columns other than id and text are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -101,7 +103,7 @@ def _longs(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, n_shingles, two 64-bit digests of the whole set, band keys."""
+    """id, n_shingles, the class (a 64-bit digest of the whole set), band keys."""
 
     def run(batches):
         for whole in batches:
@@ -110,105 +112,124 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 n = np.diff(offsets)
                 keys = band_keys(sketch(offsets, sets))
                 some = n > 0
-                digests = []
-                for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-                    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(sets ^ np.uint64(salt)), dtype=np.uint64)))
-                    digests.append(pa.array(mix64(total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)))
                 at = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n), *digests, _longs(at, keys[some].ravel())], names=["id", "n", "d1", "d2", "bands"])
+                    [batch.column("id"), pa.array(n), pa.array(class_of(offsets, sets)), _longs(at, keys[some].ravel())], names=["id", "n", "class", "bands"])
         release()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n long, d1 long, d2 long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "id long, n long, class long, bands array<long>")
+
+
+def class_of(offsets: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """A digest of each whole set: equal for equal sets."""
+    digest = np.diff(offsets).astype(np.uint64)
+    for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(sets ^ np.uint64(salt)), dtype=np.uint64)))
+        digest = mix64(digest * np.uint64(0x9E3779B97F4A7C15) + mix64(total[offsets[1:]] - total[offsets[:-1]]))
+    return digest.view(np.int64)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id and the full shingle set of the documents in ids."""
+    """id (the class) and the full shingle set of the texts of the documents in ids."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 offsets, sets = shingle_sets(batch.column("text"), k)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), _longs(offsets, sets)], names=["id", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(class_of(offsets, sets)), _longs(offsets, sets)], names=["id", "items"])
         release()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
     return rows.mapInArrow(run, "id long, items array<long>").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b, and what else they have) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
     return (
         pairs.join(left, "a").join(right, "b")
-        .select("a", "b", both.alias("both"), (F.size("items_a") + F.size("items_b")).alias("total"))
-        .where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b")
+        .select(*pairs.columns, both.alias("both"), (F.size("items_a") + F.size("items_b")).alias("total"))
+        .where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select(*pairs.columns)
     )
 
 
 def cross_links(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different parts within a bucket whose sets look similar enough; counted on 32-bit shingle hashes."""
-
-    def pairs_of(band: int, half: bool, rows: list[dict]):
-        left = [r for r in rows if r["side"] != 1]
-        right = [r for r in rows if r["side"] != 0]
-        if not left or not right:
-            return
-        keys = np.array([r["bands"] for r in right], np.int64).reshape(len(right), -1)
-        part, size = np.array([r["part"] for r in right]), np.array([r["n"] for r in right])
-        ids = np.array([r["id"] for r in right])
-        items = [np.frombuffer(r["items"], np.uint32) for r in right]
-        lens = np.array([len(x) for x in items])
-        for r in left:
-            own = np.asarray(r["bands"], np.int64)
-            near = np.flatnonzero((part != r["part"]) & (100 * np.minimum(size, r["n"]) >= percent * np.maximum(size, r["n"])))
-            if half:
-                near = near[ids[near] > r["id"]]
+    """Pairs (a, b) of different parts (pa, pb) within a bucket whose sets look similar enough; counted on 32-bit shingle hashes."""
+
+    def pairs_of(band: int, ids, part, size, keys, items, left, right):
+        lens = np.array([len(items[i]) for i in right])
+        twin = left is right
+        for x in left.tolist():
+            near = np.flatnonzero((part[right] != part[x]) & (100 * np.minimum(size[right], size[x]) >= percent * np.maximum(size[right], size[x])))
+            if twin:
+                near = near[ids[right[near]] > ids[x]]
             if not len(near):
                 continue
-            same = keys[near] == own
-            near = near[same.any(1) & (own[same.argmax(1)] == band)]
-            mine = np.frombuffer(r["items"], np.uint32)
-            ends = np.cumsum(lens[near])
-            for some in np.split(near, np.flatnonzero(np.diff(ends // LOOKUP)) + 1) if len(near) else ():
-                flat = np.concatenate([items[i] for i in some])
+            same = keys[right[near]] == keys[x]
+            near = near[same.any(1) & (keys[x][same.argmax(1)] == band)]
+            mine = items[x]
+            for some in np.split(near, np.flatnonzero(np.diff(np.cumsum(lens[near]) // LOOKUP)) + 1) if len(near) else ():
+                flat = np.concatenate([items[right[i]] for i in some])
                 hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
                 both = np.add.reduceat(hit, np.cumsum(lens[some]) - lens[some], dtype=np.int64)
-                both += np.maximum(0, np.minimum(r["n"] - len(mine), size[some] - lens[some]))  # hashes that agree within a set
-                for i in some[100 * both >= percent * (size[some] + r["n"] - both)]:
-                    yield max(r["id"], int(ids[i])), min(r["id"], int(ids[i]))
+                both += np.maximum(0, np.minimum(size[x] - len(mine), size[right[some]] - lens[some]))  # hashes that agree within a set
+                for y in right[some[100 * both >= percent * (size[right[some]] + size[x] - both)]].tolist():
+                    yield (ids[x], ids[y], part[x], part[y]) if ids[x] > ids[y] else (ids[y], ids[x], part[y], part[x])
 
     def run(batches):
         key, held = None, []
 
         def flush():
-            found = list(pairs_of(key[0], key[1] == key[2], held)) if len(held) > 1 else []
+            if not held:
+                return
+            ids, part, size, side, keys = (np.concatenate([h[c] for h in held]) for c in range(5))
+            items = [np.frombuffer(b, np.uint32) for h in held for b in h[5]]
+            every = np.arange(len(ids))
+            left, right = (every, every) if key[2] == "twin" else (every[side == 0], every[side == 1])
+            found = list(pairs_of(key[0], ids, part, size, keys, items, left, right)) if len(left) and len(right) else []
             if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b", "pa", "pb"])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                here = (r["band"], r["i"], r["j"])
-                if here != key:
+            group = list(zip(*(batch.column(c).to_pylist() for c in ("band", "meets", "kind"))))
+            cuts = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1]), len(group)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if group[lo] != key:
                     yield from flush()
-                    key, held = here, []
-                held.append(r)
+                    key, held = group[lo], []
+                part = batch.slice(lo, hi - lo)
+                ids, parts, size, side = (np.asarray(part.column(c)) for c in ("id", "part", "n", "side"))
+                held.append((ids, parts, size, side, np.asarray(part.column("bands").flatten()).reshape(hi - lo, -1), part.column("items").to_pylist()))
         yield from flush()
+        release()
 
-    # blocks i <= j of a bucket meet in one piece; a row of block x takes side 0 as i, side 1 as j, 2 as both
-    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # a block: up to BLOCK members or so of one large part, or of several parts that are smaller each
+    sizes = members.groupBy("band", "part").agg(F.count(F.lit(1)).alias("m"))
+    large = F.col("m") > BLOCK
+    block = lambda part, k: F.concat_ws(":", F.coalesce(part.cast("string"), F.lit("")), k.cast("string"))
+    buckets = sizes.groupBy("band").agg(
+        F.ceil(F.sum(F.when(~large, F.col("m")).otherwise(0)) / BLOCK).cast("int").alias("small"),
+        F.collect_list(F.when(large, F.struct("part", F.ceil(F.col("m") / BLOCK).cast("int").alias("k")))).alias("large"))  # no more than members / BLOCK
+    of = F.when(F.size("mine") > 0, F.col("part"))
     rows = (
-        members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        .withColumn("side", F.when(F.col("i") == F.col("j"), 2).when(F.col("own") == F.col("i"), 0).otherwise(1))
-        .select("band", "i", "j", "side", "id", "part", "n", "bands", "items")
+        members.join(buckets, "band").withColumn("mine", F.filter("large", lambda x: x["part"] == F.col("part")))
+        .withColumn("own", F.when(F.size("mine") > 0, block(F.col("part"), F.pmod(F.xxhash64("id"), F.col("mine")[0]["k"]))).otherwise(
+            block(F.lit(None), F.pmod(F.xxhash64("part"), F.greatest("small", F.lit(1))))))
+        .withColumn("others", F.concat(
+            F.transform(F.sequence(F.lit(1), F.greatest("small", F.lit(1))), lambda k: block(F.lit(None), k - 1)),
+            F.flatten(F.transform(F.filter("large", lambda x: ~x["part"].eqNullSafe(of)), lambda x: F.transform(F.sequence(F.lit(1), x["k"]), lambda k: block(x["part"], k - 1))))))
+        .withColumn("other", F.explode("others"))
+        .withColumn("meets", F.concat_ws("|", F.least("own", "other"), F.greatest("own", "other")))
+        .withColumn("kind", F.when(F.col("own") == F.col("other"), "twin").otherwise("pair"))
+        .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+        .select("band", "meets", "kind", "side", "id", "part", "n", "bands", "items")
     )
-    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("band", "meets").sortWithinPartitions("band", "meets").mapInArrow(run, "a long, b long, pa long, pb long").distinct()
 
 
 def packed(sets: DataFrame) -> DataFrame:
@@ -228,30 +249,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: the id, n_shingles, component_id (smallest id reachable by links), kept."""
     rows = materialize(sketched(docs, id_col, text_col, k), "sketches")
     some = rows.where("n > 0 AND id IS NOT NULL")
-    classes = materialize(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "set-classes")
-    reps = some.join(classes.select(F.col("rep").alias("id"), "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["n", "d1", "d2"])
-    placed = reps.select("id", "n", F.explode("bands").alias("band"))
+    classes = materialize(some.groupBy("class").agg(F.min("id").alias("rep")), "set-classes")
+    reps = some.join(classes.select(F.col("rep").alias("id"), "class"), ["id", "class"], "left_semi").dropDuplicates(["class"]).select(
+        F.col("class").alias("id"), F.col("id").alias("rep"), "n", "bands")
+    placed = reps.select("id", "rep", "n", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band", "low")
     members = materialize(placed.join(shared, "band"), "band-members")
-    sets = materialize(full_sets(docs, members.select("id").distinct(), id_col, text_col, k), "full-sets")
+    sets = materialize(full_sets(docs, members.select(F.col("rep").alias("id")).distinct(), id_col, text_col, k), "full-sets")
 
     star = members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     links = materialize(verified(star, sets, percent), "links")
-    labels = components(links)
+    parts = components(links)
 
-    tagged = members.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+    tagged = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select(
         "band", "id", "n", F.coalesce("component", "id").alias("part"))
     mixed = tagged.groupBy("band").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("band")
     open_rows = materialize(tagged.join(mixed, "band", "left_semi"), "open-members")
-    detail = reps.select("id", "bands").join(packed(sets), "id").dropDuplicates(["id"])
-    found = verified(cross_links(open_rows.join(detail, "id"), percent), sets, percent)
-    more = materialize(found, "links")
-    labels = components(links.union(more))
-    discard(members, sets, open_rows, links, more)
-
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, ["n", "d1", "d2"], "left")
+    detail = reps.select("id", "bands").join(packed(sets), "id")
+    more = materialize(verified(cross_links(open_rows.join(detail, "id"), percent), sets, percent).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "links")
+    wider = components(more)  # of parts: what the first pass connected is not gone through again
+    light = materialize(rows.select("id", "n", "class"), "sketched")
+    discard(rows, members, sets, open_rows, links, more)
+
+    # the name of a component is the smallest doc_id of its classes
+    linked = parts.union(wider.select("node", F.col("node").alias("component"))).dropDuplicates(["node"]).alias("x").join(
+        wider.alias("y"), F.col("x.component") == F.col("y.node"), "left").select(
+        F.col("x.node").alias("class"), F.coalesce("y.component", "x.component").alias("whole"))
+    linked = classes.join(linked, "class")
+    named = linked.join(linked.groupBy("whole").agg(F.min("rep").alias("component")), "whole").select("class", "component")
+    known = materialize(classes.join(named, "class", "left").select("class", F.coalesce("component", "rep").alias("component")), "set-components")
+    discard(classes, parts, wider)
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
+    return light.join(known, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.col(id_col).eqNullSafe(F.col("component_id")))

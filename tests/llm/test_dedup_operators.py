@@ -120,7 +120,27 @@ def test_near_links_of_one_shared_band(spark, monkeypatch):
         (7, 3, 10, [7, 13], 3, items(20, 21, 22, 23, 24)), (7, 4, 10, [7, 14], 4, items(20, 21, 22, 23, 24)), (7, 5, 3, [7, 15], 5, items(1, 2, 3)),
     ]
     members = spark.createDataFrame(rows, "band long, id long, n long, bands array<long>, part long, items binary")
-    assert {(x["a"], x["b"]) for x in minhash_dedup.cross_links(members, 80).collect()} == {(2, 1), (4, 3)}
+    for block in (2_000, 1):
+        monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+        assert {(x["a"], x["b"], x["pa"], x["pb"]) for x in minhash_dedup.cross_links(members, 80).collect()} == {(2, 1, 2, 1), (4, 3, 4, 3)}
+
+
+def test_blocks_of_one_large_part_do_not_meet(spark, monkeypatch):
+    """Each member meets the blocks of other parts alone; every pair of different parts meets exactly once."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 10)
+    sets = [np.arange(i * 50, i * 50 + 20, dtype=np.uint32) for i in range(3)]
+    rows = [(7, i, 20, [7], 0 if i < 95 else i, sets[0 if i < 95 else 0 if i in (97, 98) else 1 + i % 2].tobytes()) for i in range(100)]
+    members = spark.createDataFrame(rows, "band long, id long, n long, bands array<long>, part long, items binary")
+    got = [(x["a"], x["b"]) for x in minhash_dedup.cross_links(members, 80).collect()]
+    want = {(a, b) for a in range(100) for b in range(a) if rows[a][4] != rows[b][4] and rows[a][5] == rows[b][5]}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_near_with_repeated_ids_of_different_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, b), (5, "else where")]
+    got = sorted((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in minhash_dedup.near_duplicates(frame(spark, rows), k=2).collect())
+    assert got == [(1, 29, 1, True), (1, 29, 1, True), (2, 30, 1, False), (3, 30, 1, False), (4, 29, 1, False), (5, 1, 5, True)]
 
 
 def test_near_edges(spark):
