@@ -22,7 +22,7 @@ class Handle:
 
 
 def trace_digest(result: Result, tuple_id: int) -> str:
-    rows = trace(result.derived.relations, tuple_id).orderBy("tuple_id").collect()
+    rows = trace(result.lineage(), tuple_id).orderBy("tuple_id").collect()
     return fingerprint({"trace": [r.asDict(recursive=True) for r in rows]})
 
 
@@ -66,7 +66,7 @@ class ExecutionStore:
         if token not in self.handles:
             raise EngineError("UnknownHandle", token)
         h = self.handles[token]
-        return trace(self.result(h.execution).derived.relations, h.tuple_id)
+        return trace(self.result(h.execution).lineage(), h.tuple_id)
 
     def verify(self, token: str) -> bool:
         """Evaluate the execution's program and view again and compare the trace."""

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def retained(executions: DataFrame, quota: int) -> DataFrame:
-    """Executions with `evicted`: the oldest by (created_at_ms, execution_id) beyond the quota leave tombstones."""
-    total = executions.count()
-    gone = executions.orderBy("created_at_ms", "execution_id").limit(max(0, total - quota)).select("execution_id", F.lit(True).alias("evicted"))
-    return executions.join(gone, "execution_id", "left").withColumn("evicted", F.coalesce("evicted", F.lit(False)))
+    """Executions with `evicted`: all but the newest `quota` by (created_at_ms, execution_id) leave tombstones."""
+    newest = executions.orderBy(F.desc("created_at_ms"), F.desc("execution_id")).limit(quota).select("execution_id", F.lit(False).alias("evicted"))
+    return executions.join(newest, "execution_id", "left").withColumn("evicted", F.coalesce("evicted", F.lit(True)))
 
 
 def drift(current: DataFrame, baseline: DataFrame, keys: list[str], value: str, warn: float, fail: float) -> DataFrame:
@@ -33,7 +32,13 @@ def trend(points: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     return rows.where("rank = 1").withColumn("change", F.col(value) - F.col("prior")).drop("rank")
 
 
-def nearest_rank(value: Column, fraction: float) -> Column:
-    """Aggregate: the value at position round((n - 1) * fraction) of the sorted group, halves rounded up."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.element_at(ordered, (F.floor((F.size(ordered) - 1) * fraction + 0.5) + 1).cast("int"))
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, fraction: float, name: str) -> DataFrame:
+    """Per keys the value at position round((n - 1) * fraction) of its sorted group, halves rounded up.
+
+    A group is sorted, not gathered: how many rows have smaller values is counted per distinct value first.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    placed = counts.withColumn("_until", F.sum("_n").over(group.orderBy(value))).withColumn("_all", F.sum("_n").over(group))
+    rank = F.floor((F.col("_all") - 1) * fraction + 0.5)
+    return placed.where((F.col("_until") > rank) & (F.col("_until") - F.col("_n") <= rank)).select(*keys, F.col(value).alias(name))

@@ -26,9 +26,8 @@ def lineage(relations: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def trace(relations: dict[str, DataFrame], target: int) -> DataFrame:
-    """The derivation of one tuple: itself and all tuples it was derived from.  A parent that is not there is an error."""
-    table = materialize(lineage(relations), "lineage")
+def trace(table: DataFrame, target: int) -> DataFrame:
+    """The derivation of one tuple within a lineage: itself and all it was derived from.  A parent that is not there is an error."""
     found = frontier = table.where(F.col("tuple_id") == target)
     if found.isEmpty():
         raise EngineError("UnknownTuple", str(target))

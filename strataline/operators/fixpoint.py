@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import Atom, EngineError, Rule, Var
-from ..plans.compiler import Component, Plan, delta_positions
-from ..storage import materialize
+from ..plans.compiler import PLAN_VERSION, Component, Plan, delta_positions
+from ..storage import counted, materialize, numbered
 from .relations import LINEAGE, META, body, columns, head, minus
 
 
@@ -47,7 +47,10 @@ def empty(spark: SparkSession, plan: Plan, predicate: str, full: bool) -> DataFr
 
 
 def closure(component: Component) -> tuple[Rule, int, int] | None:
-    """(base rule, source position, target position) if the component is p(..x..z..) <- p(..x..y..), e(..y..z..) over p <- e."""
+    """(base rule, source position, target position) of a plain transitive closure over p <- e.
+
+    Its step is p(..x..z..) <- p(..x..y..), e(..y..z..), or the same with p for e: both derive the same set.
+    """
     if len(component.predicates) != 1 or len(component.rules) != 2 or any(x.negated for r in component.rules for x in r.body):
         return None
     p = component.predicates[0]
@@ -58,22 +61,26 @@ def closure(component: Component) -> tuple[Rule, int, int] | None:
     if base.body[0].atom.terms != base.head.terms or len(set(base.head.variables())) != len(base.head.terms):
         return None
     e, h = base.body[0].atom.predicate, step.head.terms
-    atoms = {a.predicate: a for a in step.positives}
-    if set(atoms) != {p, e} or not all(isinstance(t, Var) for a in (*atoms.values(), step.head) for t in a.terms) or len(set(h)) != len(h):
-        return None
-    changed = {name: [i for i in range(len(h)) if atom.terms[i] != h[i]] for name, atom in atoms.items()}
-    if any(len(c) != 1 for c in changed.values()) or changed[p] == changed[e]:
-        return None
-    i, j = changed[p][0], changed[e][0]
-    middle = atoms[p].terms[i]
-    if middle != atoms[e].terms[j] or middle in h:
+    if not all(isinstance(t, Var) for a in (*step.positives, step.head) for t in a.terms) or len(set(h)) != len(h):
         return None
-    return base, j, i
+    for left, right in (step.positives, step.positives[::-1]):  # the path so far, and what makes it longer
+        if left.predicate != p or right.predicate not in (p, e):
+            continue
+        changed = [[i for i in range(len(h)) if atom.terms[i] != h[i]] for atom in (left, right)]
+        if any(len(c) != 1 for c in changed) or changed[0] == changed[1]:
+            continue
+        i, j = changed[0][0], changed[1][0]
+        middle = left.terms[i]
+        if middle == right.terms[j] and middle not in h:
+            return base, j, i
+    return None
 
 
 class Evaluation:
     def __init__(self, spark: SparkSession, plan: Plan, source, limits: Limits = Limits(), full: bool = False, iterations: bool = False):
         """source(predicate) gives an extensional relation; `iterations` asks for exact round numbers (no doubling)."""
+        if plan.version != PLAN_VERSION:
+            raise EngineError("PlanVersion", f"the plan has version {plan.version}, this engine evaluates {PLAN_VERSION}")
         if len(plan.program.rules) > limits.rules:
             raise EngineError("RuleLimit", f"{len(plan.program.rules)} rules; the limit is {limits.rules}")
         self.spark, self.plan, self.source, self.limits, self.full, self.exact = spark, plan, source, limits, full, iterations or full
@@ -113,8 +120,7 @@ class Evaluation:
         """Write a round's new rows and count them."""
         out = {}
         for p, rows in found.items():
-            table = materialize(rows, f"round-{p}")
-            out[p] = (table, table.count())
+            out[p] = rows if isinstance(rows, tuple) else counted(rows, f"round-{p}")
         total = sum(n for _, n in out.values())
         self.out.tuples += total
         if self.limits.tuples is not None and self.out.tuples > self.limits.tuples:
@@ -152,16 +158,17 @@ class Evaluation:
                 # the first derivation of a value wins: rule, anchor, then the places of the rows it joins
                 parts = [rows.select("*", F.struct(F.lit(r.id).alias("rule"), F.lit(k).alias("anchor"), F.col("_place").alias("place")).alias("_first")) for r, k, rows in mine]
                 rows = reduce(DataFrame.unionByName, parts)
-                first = Window.partitionBy(*columns(n)).orderBy("_first", *columns(n)) if n else Window.partitionBy(F.lit(0)).orderBy("_first")
+                first = Window.partitionBy(*columns(n)).orderBy("_first", *columns(n)) if n else Window.partitionBy(F.lit(0)).orderBy("_first")  # a predicate without fields has one tuple
                 rows = rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
             rows = minus(rows, self.out.relations[p], n)
             if self.full:
                 # ids follow the order of derivation over the whole round; only this mode pays for it
-                number = F.row_number().over(Window.partitionBy(F.lit(p)).orderBy("_first", *columns(n)))
-                base = self.out.tuples + sum(x.count() for x in found.values()) if found else self.out.tuples
-                rows = rows.withColumn("_tid", (number + F.lit(base)).cast("long")).select(
+                base = self.out.tuples + 1 + sum(count for _, count in found.values())
+                rows, count = numbered(rows.orderBy("_first", *columns(n)), f"round-{p}")
+                rows = rows.withColumn("_tid", F.col("_n") + F.lit(base)).select(
                     *columns(n), "_tid", "_src", "_cuts", "_caps", "_vis", F.col("_tid").alias("_ord"), F.col("_first.rule").cast("int").alias("_rule"),
                     F.lit(component.stratum).cast("int").alias("_stratum"), F.lit(component.number).cast("int").alias("_scc"), F.lit(self.round).cast("int").alias("_iter"), "_parents")
+                rows = (rows, count)
             found[p] = rows
         return found
 

@@ -38,9 +38,9 @@ def variable_types(query: Query, schema: Schema) -> dict:
 
 
 def ordered(rows: DataFrame, query: Query, schema: Schema) -> DataFrame:
-    """The documented order: typed keys of all columns, concatenated."""
+    """The documented order: typed keys of all columns, each ended by a bar."""
     types = variable_types(query, schema)
-    return rows.orderBy(F.concat_ws("|", *[typed_key(F.col(c), types[c]) for c in rows.columns if c in types]))
+    return rows.orderBy(F.concat(*[F.concat(typed_key(F.col(c), types[c]), F.lit("|")) for c in rows.columns if c in types]))
 
 
 def page(rows: DataFrame, offset: int = 0, limit: int = 100, most: int = 1000) -> DataFrame:

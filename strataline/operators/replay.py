@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.policy import visible
+from ..functions.policy import contains, visible
 from ..model import CLEARS, SETS, AttributeClass, EngineError, Schema, Scope
+from ..storage import numbered
 
 #: The tagged value of a journal row.
 VALUE = "struct<tag:string,b:boolean,i:long,f:double,s:string,x:binary,items:array<string>>"
@@ -30,9 +31,56 @@ def prefix(journal: DataFrame, as_of: int | None) -> DataFrame:
 
 
 def scoped(journal: DataFrame, as_of: int | None, scope: Scope) -> DataFrame:
-    """A prefix as the scope sees it.  A hidden target is an unknown element, and hidden rows are gone before any replay."""
-    seen = journal.where(visible(F.col("policy.capabilities"), F.col("policy.visibilities"), scope))
-    return prefix(seen, as_of)
+    """A prefix as the scope sees it: cut first, then certified, then without its hidden rows.
+
+    A hidden target is an unknown element.  A visible row that depends on what the scope cannot see, on nothing or on
+    something later, makes the whole replay fail; what hidden rows depend on does not matter.
+    """
+    seen = visible(F.col("policy.capabilities"), F.col("policy.visibilities"), scope)
+    rows = journal
+    if as_of is not None:
+        found = journal.where((F.col("element") == as_of) & seen).agg(F.min("seq")).first()[0]
+        if found is None:
+            raise EngineError("UnknownElement", f"element {as_of}")
+        rows = journal.where(F.col("seq") <= found)
+    bad = unavailable(rows, scope).agg(F.min(F.struct("seq", "place", "kind", "element")).alias("first")).first()["first"]
+    if bad is not None:
+        raise EngineError("UnavailableDependency", f"{bad['kind']} of element {bad['element']}")
+    return rows.where(seen)
+
+
+def visible_cut(journal: DataFrame, as_of: int | None, scope: Scope) -> int | None:
+    """The last element that a scoped replay keeps."""
+    return scoped(journal, as_of, scope).agg(F.max_by("element", "seq")).first()[0]
+
+
+def unavailable(rows: DataFrame, scope: Scope) -> DataFrame:
+    """(seq, element, kind, place) of dependencies of visible rows that are hidden, absent, later, more restricted or no anchor.
+
+    Parents of an insertion are its anchor: one earlier insertion of the same sequence, none for the first one only.
+    """
+    none = F.array().cast("array<long>")
+    inserts = F.col("op") == "InsertAfter"
+    has = {f.name for f in rows.schema["provenance"].dataType.fields} if "provenance" in rows.columns and hasattr(rows.schema["provenance"].dataType, "fields") else set()
+    parents = F.coalesce("provenance.parent_datom_ids", none) if "parent_datom_ids" in has else none
+    frontier = F.coalesce("frontier", none) if "frontier" in rows.columns else none
+    light = rows.select("seq", "element", "entity", "attribute", "policy", inserts.alias("inserts"), parents.alias("parents"), frontier.alias("frontier"))
+    seen = light.where(visible(F.col("policy.capabilities"), F.col("policy.visibilities"), scope))
+    part = lambda kind, place: F.struct(F.lit(kind).alias("kind"), F.lit(place).alias("place"))
+    edges = seen.where((F.size("parents") > 0) | (F.size("frontier") > 0)).select("*", F.explode(F.concat(
+        F.transform("parents", lambda d: F.struct(d.alias("dependency"), F.when(F.col("inserts"), part("sequence-anchor", 0)).otherwise(part("provenance-parent", 0)).alias("as"))),
+        F.transform("frontier", lambda d: F.struct(d.alias("dependency"), part("causal-frontier", 1).alias("as"))))).alias("edge")).select(
+        "*", "edge.dependency", "edge.as.kind", "edge.as.place").drop("edge")
+    known = light.select(F.col("element").alias("dependency"), F.col("seq").alias("d_seq"), F.col("entity").alias("d_entity"), F.col("attribute").alias("d_attribute"), F.col("policy").alias("d_policy"), F.col("inserts").alias("d_inserts"))
+    joined = edges.join(known, "dependency", "left")
+    open_to = contains(F.col("d_policy.capabilities"), F.col("policy.capabilities")) & contains(F.col("d_policy.visibilities"), F.col("policy.visibilities"))
+    elsewhere = (F.col("kind") == "sequence-anchor") & ((F.col("d_entity") != F.col("entity")) | (F.col("d_attribute") != F.col("attribute")) | ~F.col("d_inserts"))
+    # what is contained in a visible row's policy is visible itself
+    by_edge = joined.where(F.col("d_seq").isNull() | (F.col("d_seq") >= F.col("seq")) | ~open_to | elsewhere).select("seq", "element", "kind", "place")
+    anchors = seen.where("inserts AND size(parents) <> 1")
+    first = seen.where("inserts").groupBy("entity", "attribute").agg(F.min("seq").alias("first"))
+    alone = anchors.join(first, ["entity", "attribute"]).where("size(parents) > 1 OR seq > first").select("seq", "element", F.lit("sequence-anchor").alias("kind"), F.lit(0).alias("place"))
+    return by_edge.union(alone)
 
 
 def operation_errors(journal: DataFrame, schema: Schema) -> DataFrame:
@@ -131,7 +179,8 @@ def bound(current: DataFrame, touched: DataFrame | None, attribute: int, type, f
     if touched is not None:
         rows = rows.join(touched, "entity")
     none = F.array().cast("array<string>")
-    ordinal = F.col("first") * F.lit(1 << 20) + F.col("pos") % F.lit(1 << 20) if touched is not None else F.col("pos")
+    # places in the documented order, without gaps: entities by first touch, then their facts
+    rows, _ = numbered(rows.select(*out, "source", "policy", "entity", "pos", *(["first"] if touched is not None else [])).orderBy(*(["first"] if touched is not None else []), "entity", "pos", "source"), "bound")
     return rows.select(
-        *out, F.lit(None).cast("long").alias("_tid"), F.array("source").alias("_src"), F.array().cast("array<struct<partition:string,as_of:long>>").alias("_cuts"),
-        F.coalesce("policy.capabilities", none).alias("_caps"), F.coalesce("policy.visibilities", none).alias("_vis"), ordinal.alias("_ord"))
+        "c0", "c1", F.lit(None).cast("long").alias("_tid"), F.array("source").alias("_src"), F.array().cast("array<struct<partition:string,as_of:long>>").alias("_cuts"),
+        F.coalesce("policy.capabilities", none).alias("_caps"), F.coalesce("policy.visibilities", none).alias("_vis"), F.col("_n").alias("_ord"))

@@ -55,7 +55,13 @@ class Result:
         if atom.predicate not in self.plan.derived:
             raise EngineError("UnknownTuple", f"{atom.predicate} is not derived")
         types = self.plan.schema.predicates[atom.predicate].types
-        return explaining.trace(self.derived.relations, explaining.find(self.derived.relations[atom.predicate], atom, types))
+        return explaining.trace(self.lineage(), explaining.find(self.derived.relations[atom.predicate], atom, types))
+
+    def lineage(self) -> DataFrame:
+        """All derived tuples with their parents, written once however many traces read it."""
+        if "lineage" not in self.memo:
+            self.memo["lineage"] = materialize(explaining.lineage(self.derived.relations), "lineage")
+        return self.memo["lineage"]
 
 
 @dataclass

@@ -1,13 +1,17 @@
-"""The append-only journal: a directory of Parquet files with an explicit, monotone seq; admission and receipts.
+"""The append-only journal: a directory of Parquet files with an explicit, monotone seq; admission, receipts, schemas.
 
-Appends write one batch directory each, named by its first seq, and then a receipt: readers list receipts, so a batch that
-was written without one (a lost driver) is not part of the journal.
+An append writes its batch to a directory of its own and then its receipt, which names that directory: readers read the
+batches that receipts name.  A batch without receipt (a lost driver) is not part of the journal and in nobody's way.
+Receipt n is put in place by a rename that fails if there is one, so of two drivers that append at once one is refused.
+The cost of an append follows its batch: the cut comes from the last receipt, whose digest adds up over rows; of the
+history only elements within the range that the batch mentions, and the entities that it touches, are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +21,14 @@ from pyspark.sql import types as T
 from ..functions.policy import contains
 from ..model import CLEARS, SETS, Attribute, AttributeClass, EngineError, Schema, Type
 from ..operators.replay import VALUE, prefix, state
+from ..storage import numbered as placed
 
+# The fields of a stored row.
 PROVENANCE = "struct<author_principal:string,agent_id:string,tool_id:string,session_id:string,source_ref:struct<uri:string,digest:string>,parent_datom_ids:array<long>,confidence:float,trust_domain:string,schema_version:string>"
 POLICY = "struct<capabilities:array<string>,visibilities:array<string>>"
 DATOM = f"entity long, attribute long, value {VALUE}, op string, element long, replica long, frontier array<long>, provenance {PROVENANCE}, policy {POLICY}"
 JOURNAL = "seq long, " + DATOM
-RECEIPT = "batch long, first_seq long, rows long, entry_count long, last_element long, digest string, schema_ref string, idempotency_key string, request_digest string"
+RECEIPT = "batch long, path string, first_seq long, rows long, entry_count long, last_element long, marks string, digest string, schema_ref string, idempotency_key string, request_digest string"
 
 
 def value(tag: str, content) -> dict | None:
@@ -45,15 +51,29 @@ def datoms(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, first: int = 1) -> DataFrame:
-    """Rows with seq in input order."""
-    indexed = rows.rdd.zipWithIndex().map(lambda x: (x[1] + first, *x[0]))
-    return rows.sparkSession.createDataFrame(indexed, T._parse_datatype_string(JOURNAL))
+    """Rows with seq in input order, as a written table."""
+    names = [f.name for f in T._parse_datatype_string(DATOM).fields]
+    table, _ = placed(rows.select(*[c for c in names if c in rows.columns]), "batch")
+    return table.select((F.col("_n") + first).alias("seq"), *[c for c in names if c in rows.columns])
+
+
+def marks(rows: DataFrame, first: int = 0):
+    """A number per row that depends on all its columns (seq counted from `first`); whatever order lists of a policy are written in."""
+    policy = F.when(F.col("policy").isNotNull(), F.struct(*[F.array_sort(F.array_distinct(F.coalesce(f"policy.{c}", F.array().cast("array<string>")))).alias(c) for c in ("capabilities", "visibilities")]))
+    own = {"policy": policy.alias("policy"), "seq": (F.col("seq") - first).alias("seq")}
+    columns = [own.get(c, F.col(c)) for c in sorted(rows.columns) if c in {f.split()[0] for f in JOURNAL.split(", ")}]
+    return F.xxhash64(F.to_json(F.struct(*columns))).cast("decimal(38,0)")
+
+
+def _digest(total, count) -> str:
+    return hashlib.sha256(f"{total}|{count}".encode()).hexdigest()
 
 
 def cut(journal: DataFrame) -> DataFrame:
-    """Reference of a prefix: last element, row count and a digest that does not depend on partitioning."""
-    mark = F.xxhash64("seq", "element", "entity", "attribute", "op", F.to_json("value")).cast("decimal(38,0)")
-    return journal.agg(F.max_by("element", "seq").alias("last_element"), F.count(F.lit(1)).alias("entry_count"), F.sha2(F.coalesce(F.sum(mark), F.lit(0)).cast("string"), 256).alias("digest"))
+    """Reference of a prefix: last element, row count and a digest of all columns that does not depend on partitioning."""
+    total = F.coalesce(F.sum(marks(journal)), F.lit(0)).cast("string")
+    return journal.agg(F.max_by("element", "seq").alias("last_element"), F.count(F.lit(1)).alias("entry_count"), total.alias("marks")).select(
+        "last_element", "entry_count", F.sha2(F.concat_ws("|", "marks", F.col("entry_count").cast("string")), 256).alias("digest"))
 
 
 def append_errors(rows: DataFrame, history: DataFrame, schema: Schema, schema_ref: str | None = None) -> DataFrame:
@@ -77,12 +97,15 @@ def append_errors(rows: DataFrame, history: DataFrame, schema: Schema, schema_re
     return own.union(twice).union(known).distinct()
 
 
-def dependency_errors(journal: DataFrame, schema: Schema) -> DataFrame:
-    """(element, dependency, code): parents, frontiers and anchors must exist, come before and be no more restricted."""
+def dependency_errors(journal: DataFrame, schema: Schema, children: DataFrame | None = None) -> DataFrame:
+    """(element, dependency, code): parents, frontiers and anchors must exist, come before and be no more restricted.
+
+    Of all rows, or of `children` among them; `journal` then needs to hold only what they may depend on.
+    """
     sequences = [a.id for a in schema.attributes.values() if a.cls == AttributeClass.SEQUENCE] or [-1]
     insert = F.col("attribute").isin(sequences) & (F.col("op") == "InsertAfter")
     parents = F.coalesce("provenance.parent_datom_ids", F.array().cast("array<long>"))
-    rows = journal.select("seq", "element", "entity", "attribute", "policy", insert.alias("insert"), parents.alias("parents"), F.coalesce("frontier", F.array().cast("array<long>")).alias("frontier"))
+    rows = (journal if children is None else children).select("seq", "element", "entity", "attribute", "policy", insert.alias("insert"), parents.alias("parents"), F.coalesce("frontier", F.array().cast("array<long>")).alias("frontier"))
     edges = rows.select("*", F.explode(F.array_distinct(F.concat("parents", "frontier"))).alias("dependency"))
     known = journal.select(F.col("element").alias("dependency"), F.col("seq").alias("d_seq"), F.col("entity").alias("d_entity"), F.col("attribute").alias("d_attribute"), F.col("policy").alias("d_policy"),
                            (F.col("attribute").isin(sequences) & (F.col("op") == "InsertAfter")).alias("d_insert"))
@@ -92,7 +115,7 @@ def dependency_errors(journal: DataFrame, schema: Schema) -> DataFrame:
         ~(contains(F.col("d_policy.capabilities"), F.col("policy.capabilities")) & contains(F.col("d_policy.visibilities"), F.col("policy.visibilities"))), "PolicyNotClosed").when(
         anchor & ((F.col("d_entity") != F.col("entity")) | (F.col("d_attribute") != F.col("attribute")) | ~F.col("d_insert")), "InvalidSequenceAnchor")
     by_edge = found.select("element", "dependency", code.alias("code")).where("code IS NOT NULL")
-    first = rows.where("insert").groupBy("entity", "attribute").agg(F.min("seq").alias("first"))
+    first = journal.select("seq", "entity", "attribute", insert.alias("insert")).where("insert").groupBy("entity", "attribute").agg(F.min("seq").alias("first"))
     single = rows.where("insert").join(first, ["entity", "attribute"]).select("element", F.lit(None).cast("long").alias("dependency"), F.when(
         F.size("parents") > 1, "MalformedSequenceAnchor").when((F.size("parents") == 0) & (F.col("seq") > F.col("first")), "MissingSequenceAnchor").alias("code")).where("code IS NOT NULL")
     return by_edge.union(single).distinct().orderBy("element", "dependency", "code")
@@ -114,26 +137,80 @@ def extended(schema: Schema, journal: DataFrame) -> Schema:
     return out
 
 
+def type_of(text: str) -> Type:
+    return Type("List", type_of(text[5:-1])) if text.startswith("List<") else Type(text)
+
+
+def written(schema: Schema) -> dict:
+    """A schema as plain data."""
+    return {"version": schema.version, "attributes": [[a.id, a.name, a.cls.value, str(a.type)] for a in schema.attributes.values()],
+            "predicates": [[p.name, [str(t) for t in p.types]] for p in schema.predicates.values()]}
+
+
+def read_schema(data: dict) -> Schema:
+    schema = Schema(data["version"])
+    for id, name, cls, type in data["attributes"]:
+        schema.attribute(name, AttributeClass(cls), type_of(type), id)
+    for name, types in data["predicates"]:
+        schema.predicate(name, *map(type_of, types))
+    return schema
+
+
 class Journal:
     """One namespace's journal under a directory that Spark can reach."""
 
     def __init__(self, spark: SparkSession, path: str, schema: Schema | None = None):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        types = T._parse_datatype_string(schema)
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs):
-            return self.spark.createDataFrame([], types)
-        return self.spark.read.schema(types).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
+        self.spark, self.path = spark, path.rstrip("/")
+        active = self.active()
+        self.schema = read_schema(active["schema"]) if active and schema is None else schema
+
+    # --- small files -------------------------------------------------------------------------------------------------
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _documents(self, folder: str) -> list[dict]:
+        """The JSON documents of a folder by name (receipts and schema records: metadata, not rows)."""
+        path, fs = self._path(folder)
+        if not fs.exists(path):
+            return []
+        files = [f"{self.path}/{folder}/{s.getPath().getName()}" for s in fs.listStatus(path) if s.getPath().getName().endswith(".json")]
+        lines = self.spark.read.text(files, wholetext=True).select("value", F.input_file_name().alias("name")).collect() if files else []
+        return [json.loads(r["value"]) for r in sorted(lines, key=lambda r: r["name"])]
+
+    def _put(self, folder: str, name: str, document: dict) -> bool:
+        """Put a document in place under a name that is free; False if it is taken."""
+        draft, fs = self._path(f"{folder}/.draft-{uuid.uuid4().hex}")
+        final, _ = self._path(f"{folder}/{name}.json")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(document).encode()))
+        out.close()
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            context.rename(draft, final, none)  # fails where the name is taken
+        except Exception as error:
+            fs.delete(draft, False)
+            if fs.exists(final):
+                return False
+            raise error
+        return True
+
+    # --- reading -----------------------------------------------------------------------------------------------------
+
+    def _receipts(self) -> list[dict]:
+        return self._documents("receipts")
 
     def receipts(self) -> DataFrame:
-        return self._read("receipts", RECEIPT).orderBy("batch")
+        names = [f.name for f in T._parse_datatype_string(RECEIPT).fields]
+        return self.spark.createDataFrame([tuple(r[n] for n in names) for r in self._receipts()], T._parse_datatype_string(RECEIPT)).orderBy("batch")
 
     def scan(self) -> DataFrame:
         """All committed rows, in no particular order (seq tells it)."""
-        last = self.receipts().agg(F.max(F.col("first_seq") + F.col("rows"))).first()[0]
-        return self._read("batches", JOURNAL).where(F.col("seq") < F.lit(last if last is not None else 0))
+        paths = [f"{self.path}/{r['path']}" for r in self._receipts()]
+        types = T._parse_datatype_string(JOURNAL)
+        return self.spark.read.schema(types).parquet(*paths) if paths else self.spark.createDataFrame([], types)
 
     def history(self) -> DataFrame:
         return self.scan().orderBy("seq")
@@ -142,17 +219,65 @@ class Journal:
         return prefix(self.scan(), as_of)
 
     def cut(self) -> dict:
-        return cut(self.scan()).first().asDict()
-
-    def activate(self, schema: Schema) -> str:
-        """Make a schema the active one; the whole history must satisfy it, else it stays out."""
-        kind = "Exact" if self.schema is None else schema.extends(self.schema)
-        rows = self.scan()
-        faults = append_errors(rows, rows.limit(0), schema)
-        if not faults.isEmpty():
-            raise EngineError("SchemaQuarantined", str(faults.first().asDict()))
+        """Where the journal ends, from its last receipt."""
+        last = (self._receipts() or [None])[-1]
+        if last is None:
+            return {"last_element": None, "entry_count": 0, "digest": _digest(0, 0)}
+        return {k: last[k] for k in ("last_element", "entry_count", "digest")}
+
+    # --- schemas -----------------------------------------------------------------------------------------------------
+
+    def register(self, schema: Schema, predecessor: str | None = None, compatibility: str = "Exact") -> str:
+        """Store a revision and return its reference; an Additive one must keep its predecessor's attributes."""
+        data = written(schema)
+        ref = fingerprint(data)
+        if compatibility not in ("Exact", "Additive"):
+            raise EngineError("UnknownCompatibility", compatibility)
+        if predecessor is None and compatibility == "Additive":
+            raise EngineError("IncompatibleSchema", "an additive revision needs a predecessor")
+        if predecessor is not None:
+            older = read_schema(self._revision(predecessor)["schema"])
+            kind = schema.extends(older)
+            if compatibility == "Exact" and (kind != "Exact" or data != written(older)):
+                raise EngineError("IncompatibleSchema", "an exact revision equals its predecessor")
+        self._put("schemas", ref, {"ref": ref, "schema": data, "predecessor": predecessor, "compatibility": compatibility})
+        return ref
+
+    def _revision(self, ref: str) -> dict:
+        found = next((r for r in self._documents("schemas") if r["ref"] == ref), None)
+        if found is None:
+            raise EngineError("UnknownSchema", ref)
+        return found
+
+    def active(self) -> dict | None:
+        """The revision that was activated last."""
+        done = self._documents("activations")
+        return self._revision(done[-1]["ref"]) if done else None
+
+    def activate(self, ref: str) -> str:
+        """Make a revision the active one, if it follows that and the whole history replays under it; else quarantine it."""
+        revision, before = self._revision(ref), self.active()
+        if before is not None and ref != before["ref"] and revision["predecessor"] != before["ref"]:
+            raise EngineError("SchemaPrecondition", f"the active schema is {before['ref']}")
+        schema, rows = read_schema(revision["schema"]), self.scan()
+        faults = [r.asDict() for r in append_errors(rows, rows.limit(0), schema).take(20)] or [r.asDict() for r in dependency_errors(rows, schema).take(20)]
+        status = "Quarantined" if faults else "Certified"
+        self._put("certifications", f"{len(self._documents('certifications')):08d}-{uuid.uuid4().hex}", {"ref": ref, "status": status, "cut": self.cut(), "diagnostics": faults})
+        if faults:
+            raise EngineError("SchemaQuarantined", str(faults))
+        state(rows, schema).agg(F.count(F.lit(1))).first()  # a trial replay
+        if not self._put("activations", f"{len(self._documents('activations')):08d}", {"ref": ref, "cut": self.cut()}):
+            raise EngineError("SchemaPrecondition", "another schema was activated meanwhile")
         self.schema = schema
-        return kind
+        return revision["compatibility"]
+
+    def schemas(self) -> list[dict]:
+        """All revisions with their status: Registered, Active or Quarantined."""
+        active = self.active()
+        refused = {c["ref"] for c in self._documents("certifications") if c["status"] == "Quarantined"}
+        return [{**r, "status": "Quarantined" if r["ref"] in refused else "Active" if active and r["ref"] == active["ref"] else "Registered"} for r in self._documents("schemas")]
+
+    # --- appending ---------------------------------------------------------------------------------------------------
 
     def dry_run(self, rows: DataFrame, schema_ref: str | None = None) -> DataFrame:
         """What append would refuse."""
@@ -164,40 +289,62 @@ class Journal:
         With `expected`, only if the current cut is that one; with an idempotency key, a repeated request returns the
         stored receipt and a different request under the same key is refused.
         """
-        receipts = self.receipts()
-        request = cut(numbered(rows)).first()["digest"]
+        receipts = self._receipts()
+        last = receipts[-1] if receipts else {"batch": 0, "entry_count": 0, "last_element": None, "marks": "0", "digest": _digest(0, 0)}
+        first = last["entry_count"] + 1
+        batch = numbered(rows, first)
+        size = batch.agg(
+            F.coalesce(F.sum(marks(batch)), F.lit(0)).cast("string"), F.coalesce(F.sum(marks(batch, first)), F.lit(0)).cast("string"),
+            F.count(F.lit(1)), F.max_by("element", "seq"), F.min("element"), F.max("element")).first()
+        total, own, count, end, low, high = size
+        request = _digest(own, count)
         if idempotency_key is not None:
-            old = receipts.where(F.col("idempotency_key") == idempotency_key).first()
+            old = next((r for r in receipts if r["idempotency_key"] == idempotency_key), None)
             if old is not None:
-                if old["request_digest"] != request:
+                if old["request_digest"] != request or old["schema_ref"] != schema_ref:
                     raise EngineError("IdempotencyConflict", idempotency_key)
-                return old.asDict()
-        now = self.cut()
-        if expected is not None and any(now[k] != expected[k] for k in ("last_element", "entry_count", "digest")):
-            raise EngineError("CutMismatch", f"the journal is at {now}")
-        schema = self.schema or extended(Schema(), numbered(rows).unionByName(self.scan()))
-        faults = append_errors(rows, self.scan(), schema, schema_ref)
-        if not faults.isEmpty():
-            raise EngineError("AppendRefused", str([r.asDict() for r in faults.take(20)]))
-        first = now["entry_count"] + 1
-        batch = numbered(rows, first)
-        trial = self.scan().unionByName(batch)
-        bad = dependency_errors(trial, schema)
-        if not bad.isEmpty():
-            raise EngineError("DependencyRefused", str([r.asDict() for r in bad.take(20)]))
-        state(trial, schema).agg(F.count(F.lit(1))).first()  # a full trial replay
-        batch.write.parquet(f"{self.path}/batches/first={first:020d}")
-        done = cut(trial).first()
-        receipt = {"batch": receipts.count() + 1, "first_seq": first, "rows": done["entry_count"] - now["entry_count"], "entry_count": done["entry_count"], "last_element": done["last_element"],
-                   "digest": done["digest"], "schema_ref": schema_ref, "idempotency_key": idempotency_key, "request_digest": request}
-        self.spark.createDataFrame([tuple(receipt.values())], T._parse_datatype_string(RECEIPT)).coalesce(1).write.parquet(f"{self.path}/receipts/batch={receipt['batch']:020d}")
+                return old
+        if expected is not None and any(last[k] != expected[k] for k in ("last_element", "entry_count", "digest")):
+            raise EngineError("CutMismatch", f"the journal is at {self.cut()}")
+        history = self.scan()
+        schema = self.schema or extended(Schema(), batch.unionByName(history))
+        faults = append_errors(batch, history.where(F.col("element").between(low, high)), schema, schema_ref).take(20)
+        if faults:
+            raise EngineError("AppendRefused", str([r.asDict() for r in faults]))
+        bad = dependency_errors(self._reachable(history, batch).unionByName(batch), schema, batch).take(20)
+        if bad:
+            raise EngineError("DependencyRefused", str([r.asDict() for r in bad]))
+        touched = history.join(batch.select("entity").distinct(), "entity", "left_semi").select(*batch.columns)
+        state(touched.unionByName(batch), schema).agg(F.count(F.lit(1))).first()  # a trial replay of what the batch touches
+        path = f"batches/first={first:020d}-{uuid.uuid4().hex}"
+        batch.write.parquet(f"{self.path}/{path}")
+        marked, entries = str(int(last["marks"]) + int(total)), last["entry_count"] + count
+        receipt = {"batch": last["batch"] + 1, "path": path, "first_seq": first, "rows": count, "entry_count": entries, "last_element": end if count else last["last_element"],
+                   "marks": marked, "digest": _digest(marked, entries), "schema_ref": schema_ref, "idempotency_key": idempotency_key, "request_digest": request}
+        if not self._put("receipts", f"batch={receipt['batch']:020d}", receipt):
+            folder, fs = self._path(path)
+            fs.delete(folder, True)
+            raise EngineError("CutMismatch", "another append came first")
         return receipt
 
+    def _reachable(self, history: DataFrame, batch: DataFrame) -> DataFrame:
+        """The rows of the history that a batch's dependencies can name: elements that it mentions, insertions of its sequences."""
+        none = F.array().cast("array<long>")
+        named = batch.select(F.explode(F.array_distinct(F.concat(F.coalesce("provenance.parent_datom_ids", none), F.coalesce("frontier", none)))).alias("element")).distinct()
+        low, high = named.agg(F.min("element"), F.max("element")).first()
+        rows = history.where(F.col("op") == "InsertAfter").join(
+            batch.where(F.col("op") == "InsertAfter").select("entity", "attribute").distinct(), ["entity", "attribute"], "left_semi")
+        if low is not None:
+            mentioned = history.where(F.col("element").between(low, high)).join(named, "element", "left_semi")
+            rows = rows.select(*batch.columns).unionByName(mentioned.select(*batch.columns)).dropDuplicates(["seq"])
+        return rows.select(*batch.columns)
+
 
 def prefix_divergence(leader: DataFrame, follower: DataFrame) -> DataFrame:
-    """Replication check: (seq, leader, follower) where a follower's rows are not the leader's prefix."""
-    return follower.select("seq", F.col("element").alias("follower")).join(leader.select("seq", F.col("element").alias("leader")), "seq", "left").where(
-        ~F.col("leader").eqNullSafe(F.col("follower"))).select("seq", "leader", "follower")
+    """Replication check: (seq, leader, follower) where a follower's rows, in any column, are not the leader's prefix."""
+    mine = follower.select("seq", F.col("element").alias("follower"), marks(follower).alias("follower_mark"))
+    theirs = leader.select("seq", F.col("element").alias("leader"), marks(leader).alias("leader_mark"))
+    return mine.join(theirs, "seq", "left").where(~F.col("leader_mark").eqNullSafe(F.col("follower_mark"))).select("seq", "leader", "follower")
 
 
 def lag(leader: DataFrame, follower: DataFrame) -> DataFrame:

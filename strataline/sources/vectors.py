@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.policy import visible
@@ -19,6 +19,8 @@ def register_errors(records: DataFrame, catalog: DataFrame, tail: int, id_col: s
     out = rows.where(F.col("registered_at") != tail).select("id", F.lit("NotAtTail").alias("code"))
     out = out.union(rows.join(catalog.select("registered_at"), "registered_at", "left_semi").select("id", F.lit("AnchorUsed").alias("code")))
     out = out.union(rows.join(catalog.select(id_col), id_col, "left_semi").select("id", F.lit("DuplicateId").alias("code")))
+    out = out.union(rows.groupBy("id").count().where("count > 1").select("id", F.lit("DuplicateId").alias("code")))
+    out = out.union(rows.groupBy("registered_at").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).where("n > 1").select("id", F.lit("AnchorUsed").alias("code")))
     if "dimensions" in records.columns:
         out = out.union(rows.where(F.size("embedding") != F.col("dimensions")).select("id", F.lit("Dimensions").alias("code")))
     if artifacts is not None:
@@ -28,6 +30,42 @@ def register_errors(records: DataFrame, catalog: DataFrame, tail: int, id_col: s
     return out.distinct()
 
 
+class Sidecar:
+    """The artifact and vector catalogs of one sidecar, as tables under a folder; records are appended or refused as a whole."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    @property
+    def artifacts(self) -> DataFrame:
+        return self._table("artifacts", ARTIFACT)
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self._table("vectors", VECTOR)
+
+    def _append(self, records: DataFrame, name: str, schema: str, faults: DataFrame) -> None:
+        bad = faults.take(20)
+        if bad:
+            raise EngineError("RegistrationRefused", str([r.asDict() for r in bad]))
+        names = [c.split()[0] for c in schema.split(", ")]
+        records.select(*names).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def register_artifacts(self, records: DataFrame, tail: int) -> None:
+        used = self.artifacts.select("artifact_id", "registered_at").unionByName(self.vectors.select(F.lit(None).cast("string").alias("artifact_id"), "registered_at"))
+        self._append(records, "artifacts", ARTIFACT, register_errors(records, used, tail, "artifact_id"))
+
+    def register_vectors(self, records: DataFrame, tail: int) -> None:
+        used = self.vectors.select("vector_id", "registered_at").unionByName(self.artifacts.select(F.lit(None).cast("string").alias("vector_id"), "registered_at"))
+        self._append(records, "vectors", VECTOR, register_errors(records, used, tail, "vector_id", self.artifacts))
+
+
 def artifact(catalog: DataFrame, artifact_id: str, scope: Scope) -> dict:
     """One artifact; a hidden one is unknown."""
     row = catalog.where(F.col("artifact_id") == artifact_id).where(visible(F.col("policy.capabilities"), F.col("policy.visibilities"), scope)).first()
@@ -57,8 +95,8 @@ def search(vectors: DataFrame, artifacts: DataFrame | None, query: list[float],
     measure = {"cosine": cosine, "dot": dot}[metric]
     asked = F.array(*[F.lit(float(x)) for x in query])
     if artifacts is not None:
-        mine = seen(artifacts).where(F.col("sidecar_id") == sidecar).select(F.col("artifact_id").alias("source_artifact_id"), "uri", F.col("registered_at").alias("artifact_at"), F.col("policy").alias("artifact_policy"))
-        rows = rows.join(mine, "source_artifact_id", "left").where(F.col("source_artifact_id").isNull() | F.col("uri").isNotNull())
+        mine = seen(artifacts).where(F.col("sidecar_id") == sidecar).select(F.col("artifact_id").alias("source_artifact_id"), "uri", F.col("registered_at").alias("artifact_at"), F.col("policy").alias("artifact_policy"), F.lit(True).alias("_there"))
+        rows = rows.join(mine, "source_artifact_id", "left").where(F.col("source_artifact_id").isNull() | F.col("_there")).drop("_there")
     return rows.withColumn("score", measure(F.col("embedding"), asked)).orderBy(F.desc("score"), "vector_id").limit(max(top_k, 1))
 
 

@@ -2,32 +2,72 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from .model import EngineError
+
+#: Spark setting: shuffle files of an execution go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir of the session.  Only a single local process, as in tests, gets a folder of its own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise EngineError("SharedFolder", "set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "/tmp/strataline-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Spark setting: shuffle files of an execution go when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again; the shuffles behind it are removed."""
+    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The shuffles behind it are of no use afterwards; Spark removes them when the write ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataline/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._strataline_path = path
+    return table
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """materialize, with the number of rows as the write saw them."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return table, seen.get.get("n", 0)
+
+
+def numbered(rows: DataFrame, name: str, column: str = "_n") -> tuple[DataFrame, int]:
+    """(a written table with the place of each row in df's order as `column`, from 0; the number of rows).
+
+    Places are row numbers within the partitions as written, plus the sizes of the partitions before: no row moves.
+    """
+    table = materialize(rows.withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    before, total = [], 0
+    for p, n in sorted(tuple(r) for r in table.groupBy(part.alias("p")).count().collect()):  # one row per partition
+        before.append((p, total))
+        total += n
+    places = rows.sparkSession.createDataFrame(before, "_part long, _before long")
+    at = table.withColumn("_part", part.cast("long")).join(F.broadcast(places), "_part")
+    return at.withColumn(column, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before"), total
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._strataline_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

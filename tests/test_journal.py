@@ -63,8 +63,11 @@ def test_policy_closure_and_scoped_replay(spark):
     hidden = {"capabilities": ["ops"], "visibilities": []}
     j = journal(spark, [datom(1, 1, "String", "open", "Assert", 1), datom(1, 1, "String", "secret", "Assert", 2, policy=hidden), datom(2, 1, "String", "x", "Assert", 3, parents=[2])])
     assert [r["code"] for r in js.dependency_errors(j, schema()).collect()] == ["PolicyNotClosed"]
-    assert strings(replay.state(replay.scoped(j, None, Scope()), schema()), 1) == ["open", "x"]
-    assert strings(replay.state(replay.scoped(j, None, Scope(("ops",))), schema()), 1) == ["secret", "x"]
+    with pytest.raises(EngineError) as e:  # a visible row cites a hidden one
+        replay.scoped(j, None, Scope())
+    assert e.value.code == "UnavailableDependency" and "provenance-parent of element 3" in str(e.value)
+    assert strings(replay.state(replay.scoped(j.where("seq < 3"), None, Scope()), schema()), 1) == ["open"]
+    assert strings(replay.state(replay.scoped(j.where("seq < 3"), None, Scope(("ops",))), schema()), 1) == ["secret"]
     with pytest.raises(EngineError):
         replay.scoped(j, 2, Scope())
 
@@ -90,7 +93,119 @@ def test_append_receipts_and_conditions(spark, tmp_path):
     assert {r["element"]: r["code"] for r in book.dry_run(bad).collect()} == {5: "ValueType", 6: "UnknownAttribute", 7: "NullValue", 8: "InvalidOperation"}
     additive = schema()
     additive.attribute("task.more", AttributeClass.SCALAR, STRING)
-    assert book.activate(additive) == "Additive"
+    first = book.register(schema())
+    assert book.activate(first) == "Exact"
+    assert book.activate(book.register(additive, first, "Additive")) == "Additive"
+    assert Journal(spark, book.path).schema == additive and [r["status"] for r in book.schemas()].count("Active") == 1
+    narrow = Schema()
+    narrow.attribute("task.status", AttributeClass.SET, STRING)
+    other = Journal(spark, str(tmp_path / "other"), schema())
+    other.append(datoms(spark, [datom(1, 1, "String", "queued", "Assert", 1)]))
+    with pytest.raises(EngineError) as e:
+        other.activate(other.register(narrow))
+    assert e.value.code == "SchemaQuarantined" and [r["status"] for r in other.schemas()] == ["Quarantined"] and other.active() is None
+    with pytest.raises(EngineError):
+        book.register(narrow, first, "Additive")
+
+
+def test_append_after_a_lost_driver(spark, tmp_path, monkeypatch):
+    book = Journal(spark, str(tmp_path / "j"), schema())
+    book.append(datoms(spark, [datom(1, 1, "String", "queued", "Assert", 1)]))
+    with monkeypatch.context() as m:
+        m.setattr(Journal, "_put", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):  # the batch is written, its receipt is not
+            book.append(datoms(spark, [datom(1, 1, "String", "lost", "Assert", 2)]))
+    again = Journal(spark, book.path, schema())
+    assert again.scan().count() == 1
+    receipt = again.append(datoms(spark, [datom(1, 1, "String", "done", "Assert", 2)]))
+    assert receipt["first_seq"] == 2 and strings(replay.state(again.scan(), schema()), 1) == ["done"]
+    assert again.cut() == js.cut(again.scan()).first().asDict()  # digests add up
+    assert (tmp_path / "j" / "batches").is_dir() and len(list((tmp_path / "j" / "batches").glob("first=*2-*"))) == 2
+
+
+def test_two_writers_are_fenced(spark, tmp_path, monkeypatch):
+    a, b = Journal(spark, str(tmp_path / "j"), schema()), Journal(spark, str(tmp_path / "j"), schema())
+    a.append(datoms(spark, [datom(1, 1, "String", "queued", "Assert", 1)]))
+    seen = b._receipts()
+    a.append(datoms(spark, [datom(1, 1, "String", "a", "Assert", 2)]))
+    monkeypatch.setattr(b, "_receipts", lambda: seen)  # b has read the journal before a's second append
+    with pytest.raises(EngineError) as e:
+        b.append(datoms(spark, [datom(1, 1, "String", "b", "Assert", 3)]))
+    assert e.value.code == "CutMismatch" and [r["element"] for r in a.history().collect()] == [1, 2]
+
+
+def test_digest_covers_every_column(spark, tmp_path):
+    base = datom(1, 1, "String", "x", "Assert", 1, author_principal="p")
+    hidden = {"capabilities": ["b", "a"], "visibilities": []}
+    other = [{**base, "policy": hidden}, {**base, "replica": 2}, {**base, "frontier": [7]}, datom(1, 1, "String", "x", "Assert", 1, author_principal="q"), datom(1, 1, "String", "y", "Assert", 1, author_principal="p")]
+    digests = [js.cut(journal(spark, [r])).first()["digest"] for r in [base, *other]]
+    assert len(set(digests)) == len(digests)
+    same = {**base, "policy": {"capabilities": ["a", "b", "a"], "visibilities": []}}
+    assert js.cut(journal(spark, [same])).first()["digest"] == digests[1]  # lists of a policy have no order
+    book = Journal(spark, str(tmp_path / "j"), schema())
+    book.append(datoms(spark, [base]), idempotency_key="k")
+    for changed in other[:1] + other[3:]:
+        with pytest.raises(EngineError) as e:
+            book.append(datoms(spark, [changed]), idempotency_key="k")
+        assert e.value.code == "IdempotencyConflict"
+    diverged = js.prefix_divergence(journal(spark, [base]), journal(spark, [other[4]])).collect()
+    assert [(r["seq"], r["leader"], r["follower"]) for r in diverged] == [(1, 1, 1)]
+
+
+def test_numbering_follows_input_order(spark):
+    rows = datoms(spark, [datom(i, 1, "String", "x", "Assert", 1000 - i) for i in range(300)]).repartition(7)
+    order = [r["element"] for r in rows.collect()]
+    got = numbered(rows, 5).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == list(range(5, 305)) and sorted(r["element"] for r in got) == sorted(order)
+    ranged = numbered(rows.orderBy("element")).orderBy("seq").collect()
+    assert [r["element"] for r in ranged] == sorted(order)
+
+
+OPS = {"capabilities": ["ops"], "visibilities": []}
+
+
+@pytest.mark.parametrize("rows,public,privileged", [
+    # a row's: element, parents, frontier, policy, attribute 1 (scalar) or 3 (sequence); outcomes: visible cut, or the error's text
+    ([(1, [], [], None, 1), (2, [], [], OPS, 1)], 1, 2),
+    ([(1, [], [], OPS, 1), (2, [1], [], None, 1)], "provenance-parent of element 2", "provenance-parent of element 2"),
+    ([(2, [1], [], None, 1)], "provenance-parent of element 2", "provenance-parent of element 2"),
+    ([(1, [], [], None, 1), (2, [1], [], OPS, 1)], 1, 2),
+    ([(1, [], [], None, 1), (2, [99], [], OPS, 1)], 1, "provenance-parent of element 2"),
+    ([(1, [2], [3], None, 1), (2, [], [], None, 1), (3, [], [], None, 1)], "provenance-parent of element 1", "provenance-parent of element 1"),
+    ([(1, [], [], OPS, 1), (2, [], [1], None, 1)], "causal-frontier of element 2", "causal-frontier of element 2"),
+    ([(1, [2], [], None, 3), (2, [], [], None, 3)], "sequence-anchor of element 1", "sequence-anchor of element 1"),
+    ([(1, [99], [], None, 3)], "sequence-anchor of element 1", "sequence-anchor of element 1"),
+    ([(1, [], [], None, 1), (2, [1], [], None, 3)], "sequence-anchor of element 2", "sequence-anchor of element 2"),
+    ([(1, [], [], None, 3), (2, [1], [], OPS, 3)], 1, 2),
+    ([(1, [], [], OPS, 3), (2, [1], [], None, 3)], "sequence-anchor of element 2", "sequence-anchor of element 2"),
+    ([(1, [], [], None, 3), (2, [], [], None, 3)], "sequence-anchor of element 2", "sequence-anchor of element 2"),
+    ([(1, [], [], OPS, 3), (2, [], [], None, 3)], 2, "sequence-anchor of element 2"),
+    ([(1, [], [], None, 3), (2, [1], [], None, 3), (3, [1, 2], [], None, 3)], "sequence-anchor of element 3", "sequence-anchor of element 3"),
+])
+def test_scoped_replay_certifies_dependencies(spark, rows, public, privileged):
+    made = [{**datom(1, a, "String", f"v{e}", "Assert" if a == 1 else "InsertAfter", e, parents=parents, policy=policy), "frontier": frontier} for e, parents, frontier, policy, a in rows]
+    j = journal(spark, made)
+    for scope, want in ((Scope(), public), (Scope(("ops",)), privileged)):
+        if isinstance(want, int):
+            assert replay.visible_cut(j, None, scope) == want
+        else:
+            with pytest.raises(EngineError) as e:
+                replay.visible_cut(j, None, scope)
+            assert e.value.code == "UnavailableDependency" and want in str(e.value)
+
+
+def test_hidden_and_absent_targets_look_the_same(spark):
+    j = journal(spark, [datom(1, 1, "String", "a", "Assert", 1), datom(1, 1, "String", "b", "Assert", 2, policy=OPS), datom(1, 1, "String", "c", "Assert", 3)])
+    texts = []
+    for target in (2, 7):
+        with pytest.raises(EngineError) as e:
+            replay.scoped(j, target, Scope())
+        texts.append(str(e.value).replace(str(target), "n"))
+    assert texts[0] == texts[1] and replay.visible_cut(j, 2, Scope(("ops",))) == 2 and replay.visible_cut(j, 1, Scope()) == 1
+    f = Federation(spark, {"p": j})
+    assert f.history([Cut("p")]).count() == 2 and f.history([Cut("p")], Scope(("ops",))).count() == 3 and strings(f.state(Cut("p"), schema(), Scope(("ops",))), 1) == ["c"]
+    with pytest.raises(EngineError):
+        f.history([Cut("p", 2)])
 
 
 def test_delta_and_page(spark):
