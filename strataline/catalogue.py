@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import coordination
+from . import fulfilment
 from .functions import reports
 from .functions.policy import merged
 from .functions.similarity import cosine, dot
-from .model import PUBLIC, AttributeClass, Query, Schema, Scope, Type
+from .model import PUBLIC, AttributeClass, EngineError, Query, Schema, Scope, Type
 from .operators import query as querying
 from .operators import replay
-from .operators.relations import META  # noqa: F401  (re-exported for callers that build relations)
+from .operators.fixpoint import Limits
 from .session import ENTITY, I64, STRING, U64, Engine
 from .sources import journal as journals
 from .sources import vectors
 from .sources.tuplespace import matching
+from .storage import numbered, shared_dir
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -296,6 +299,125 @@ def journal_cut(spark, sf):
     return journals.cut(status_journal(spark, sf)).select("last_element", "entry_count")
 
 
+@query("SELECT * FROM (VALUES ('dealt anew', true), ('other policy', false), ('other replica', false), ('other value', false), ('other order', false)) v(variant, same)")
+def cut_digest(spark, sf):
+    """The digest of a cut depends on every column of every row, and on nothing else."""
+    journal = status_journal(spark, sf)
+    digest = lambda rows: journals.cut(rows).first()["digest"]
+    last = F.col("seq") == F.lit(journal.agg(F.max("seq")).first()[0])
+    policy = F.struct(F.array(F.lit("ops")).alias("capabilities"), F.array().cast("array<string>").alias("visibilities")).cast(journals.POLICY)
+    variants = {
+        "dealt anew": journal.repartition(7, "entity"), "other policy": journal.withColumn("policy", F.when(last, policy)), "other replica": journal.withColumn("replica", F.when(last, 2).otherwise(F.col("replica")).cast("long")),
+        "other value": journal.withColumn("value", F.when(last, F.col("value").withField("s", F.lit("else"))).otherwise(F.col("value"))), "other order": journal.withColumn("seq", F.when(last, F.col("seq") + 1).otherwise(F.col("seq")))}
+    base = digest(journal)
+    return spark.createDataFrame([(k, digest(v) == base) for k, v in variants.items()], "variant string, same boolean")
+
+
+def appended(spark, sf):
+    """events appended in two batches, the second one twice under its key."""
+    rows = status_journal(spark, sf).drop("seq").withColumn("provenance", F.struct(F.lit(1.0).alias("confidence")))
+    names = [f.name for f in journals.T._parse_datatype_string(journals.DATOM).fields]
+    full = rows.withColumn("provenance", F.from_json(F.to_json("provenance"), journals.PROVENANCE)).select(*names)
+    book = journals.Journal(spark, f"{shared_dir(spark)}/strataline/journal-{uuid.uuid4().hex}", event_schema())
+    half = middle(status_journal(spark, sf))
+    book.append(full.where(F.col("element") <= half).orderBy("element"))
+    for _ in range(2):
+        book.append(full.where(F.col("element") > half).orderBy("element"), idempotency_key="rest")
+    return book, full
+
+
+@query(f"SELECT 1 AS batch, 1 AS first_seq, count(*) AS rows, count(*) AS entry_count, max(event_id) AS last_element FROM events WHERE event_id <= {_HALF} UNION ALL SELECT 2, (SELECT count(*) FROM events WHERE event_id <= {_HALF}) + 1, count(*), (SELECT count(*) FROM events), max(event_id) FROM events WHERE event_id > {_HALF}")
+def append_receipts(spark, sf):
+    """A repeated request leaves no second receipt."""
+    return appended(spark, sf)[0].receipts().select(F.col("batch").cast("int").alias("batch"), "first_seq", "rows", "entry_count", "last_element")
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) AS seq, event_id AS element, user_id AS entity, event_type AS value FROM events")
+def append_history(spark, sf):
+    return appended(spark, sf)[0].scan().select("seq", "element", "entity", F.col("value.s").alias("value"))
+
+
+@query("SELECT * FROM (VALUES ('same key, other rows', 'IdempotencyConflict'), ('stale cut', 'CutMismatch'), ('known elements', 'AppendRefused'), ('unknown parent', 'DependencyRefused')) v(request, code)")
+def append_refusals(spark, sf):
+    book, full = appended(spark, sf)
+    fresh = full.limit(1).withColumn("element", F.col("element") + F.lit(1 << 40))
+    parent = fresh.withColumn("provenance", F.col("provenance").withField("parent_datom_ids", F.array(F.lit(-5).cast("long"))))
+    stale = {"last_element": None, "entry_count": 0, "digest": ""}
+    requests = {"same key, other rows": (fresh, {"idempotency_key": "rest"}), "stale cut": (fresh, {"expected": stale}), "known elements": (full, {}), "unknown parent": (parent, {})}
+    out = []
+    for name, (rows, conditions) in requests.items():
+        try:
+            book.append(rows, **conditions)
+        except EngineError as e:
+            out.append((name, e.code))
+    return spark.createDataFrame(out, "request string, code string")
+
+
+def guarded_journal(spark, sf):
+    """Errors need a capability, so the public never sees a retraction."""
+    hidden = F.struct(F.array(F.lit("ops")).alias("capabilities"), F.array().cast("array<string>").alias("visibilities")).cast(journals.POLICY)
+    return status_journal(spark, sf).withColumn("policy", F.when(F.col("op") == "Retract", hidden))
+
+
+@query("SELECT user_id AS entity, max_by(event_type, event_id) AS value FROM events WHERE event_type <> 'error' GROUP BY 1")
+def scoped_replay_public(spark, sf):
+    """Hidden retractions change nothing that the public sees."""
+    return replay.scalars(replay.scoped(guarded_journal(spark, sf), None, PUBLIC), event_schema()).select("entity", F.col("value.s").alias("value"))
+
+
+@query(f"SELECT entity, value FROM ({_LWW.format(where='true')})")
+def scoped_replay_privileged(spark, sf):
+    return replay.scalars(replay.scoped(guarded_journal(spark, sf), None, Scope(("ops",))), event_schema()).select("entity", F.col("value.s").alias("value"))
+
+
+@query(f"SELECT max(event_id) AS public, (SELECT max(event_id) FROM events) AS privileged, (SELECT max(event_id) FROM events WHERE event_type <> 'error' AND event_id <= (SELECT min(event_id) FROM events WHERE event_type <> 'error' AND event_id >= {_HALF})) AS halfway FROM events WHERE event_type <> 'error'")
+def scoped_cuts(spark, sf):
+    """The last element of a scope's view."""
+    journal = guarded_journal(spark, sf)
+    target = journal.where("policy IS NULL").where(F.col("element") >= middle(journal)).agg(F.min("element")).first()[0]
+    cuts = [replay.visible_cut(journal, at, scope) for at, scope in ((None, PUBLIC), (None, Scope(("ops",))), (target, PUBLIC))]
+    return spark.createDataFrame([tuple(cuts)], "public long, privileged long, halfway long")
+
+
+@query("SELECT min(event_id) AS element, 'UnavailableDependency' AS code FROM events WHERE event_type <> 'error' AND event_id - 1 IN (SELECT event_id FROM events WHERE event_type = 'error')")
+def scoped_replay_refusal(spark, sf):
+    """The first visible row whose parent is hidden makes the replay fail."""
+    rows = guarded_journal(spark, sf)
+    parents = F.when(F.col("seq") > F.lit(journal_start(rows)), F.array(F.col("seq") - 1)).otherwise(F.array().cast("array<long>"))
+    try:
+        replay.scoped(rows.withColumn("provenance", F.struct(parents.alias("parent_datom_ids"))), None, PUBLIC)
+    except EngineError as e:
+        return spark.createDataFrame([(int(str(e).split()[-1]), e.code)], "element long, code string")
+    return spark.createDataFrame([], "element long, code string")
+
+
+def journal_start(rows: DataFrame) -> int:
+    return rows.agg(F.min("seq")).first()[0]
+
+
+@query("SELECT event_id AS element, event_id - 1 AS dependency, 'PolicyNotClosed' AS code FROM events WHERE event_type <> 'error' AND event_id - 1 IN (SELECT event_id FROM events WHERE event_type = 'error')")
+def policy_closure_violations(spark, sf):
+    """Public rows whose parents are restricted."""
+    rows = guarded_journal(spark, sf)
+    parents = F.when(F.col("seq") > F.lit(journal_start(rows)), F.array(F.col("seq") - 1)).otherwise(F.array().cast("array<long>"))
+    return journals.dependency_errors(rows.withColumn("provenance", F.struct(parents.alias("parent_datom_ids"))), event_schema())
+
+
+@query("SELECT conv_id AS entity, turn AS value, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role <> 'user')")
+def sequence_removals(spark, sf):
+    """Every turn is inserted after the one before it; then the user's turns are removed, and keep what follows them in place."""
+    turns = t(spark, sf, "conversations").select("conv_id", "turn", "role").distinct()
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = turns.withColumn("before", before).withColumn("element", F.col("conv_id") * 1000 + F.col("turn") + 1)
+    none = lambda k: F.lit(None).cast(k)
+    value = F.struct(F.lit("U64").alias("tag"), none("boolean").alias("b"), F.col("turn").alias("i"), none("double").alias("f"), none("string").alias("s"), none("binary").alias("x"), none("array<string>").alias("items"))
+    parents = F.when(F.col("before").isNull(), F.array().cast("array<long>")).otherwise(F.array(F.col("conv_id") * 1000 + F.col("before") + 1))
+    columns = lambda at, op, linked: [at.alias("seq"), F.col("conv_id").alias("entity"), F.lit(3).cast("long").alias("attribute"), value.alias("value"), F.lit(op).alias("op"), at.alias("element"), F.struct(linked.alias("parent_datom_ids")).alias("provenance"), none(journals.POLICY).alias("policy")]
+    journal = rows.select(*columns(F.col("element"), "InsertAfter", parents)).union(
+        rows.where("role = 'user'").select(*columns(F.col("element") + F.lit(1 << 40), "Remove", F.array().cast("array<long>"))))
+    return replay.sequences(journal, event_schema()).select("entity", F.col("value.i").alias("value"), "pos")
+
+
 @query("SELECT event_id AS element FROM events WHERE event_type IN ('signup', 'purchase')")
 def op_validity(spark, sf):
     """Set operations on a scalar attribute are refused."""
@@ -413,12 +535,12 @@ def vector_topk_dot(spark, sf):
     return rows.select(F.col("entity").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
-@query(f"{_SIM} WHERE vec_id <= 200 ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"{_SIM} WHERE vec_id <= (SELECT min(vec_id) FROM embeddings WHERE vec_id + 1 >= (SELECT max(vec_id + 1) // 2 FROM embeddings)) ORDER BY score DESC, vec_id LIMIT 10")
 def vector_topk_as_of(spark, sf):
     """Only vectors registered by the cut."""
     rows = catalog(spark, sf)
     journal = rows.select(F.col("registered_at").alias("element"), (F.col("registered_at") + 1).alias("seq"))
-    found = vectors.search(rows, None, first_vector(spark, sf), sidecar="main", top_k=10, journal=journal, as_of=200)
+    found = vectors.search(rows, None, first_vector(spark, sf), sidecar="main", top_k=10, journal=journal, as_of=middle(journal))
     return found.select(F.col("entity").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
@@ -465,6 +587,28 @@ def federated_join(spark, sf):
     return run.primary
 
 
+@query(f"SELECT user_id AS entity, max_by(event_type, event_id) AS value FROM events WHERE event_type <> 'error' AND user_id % 2 = 0 GROUP BY 1")
+def partition_state_public(spark, sf):
+    """A partition's state as the public sees it."""
+    from .sources.federation import Cut, Federation
+
+    journal = guarded_journal(spark, sf)
+    state = Federation(spark, {str(i): journal.where(F.col("entity") % 2 == i) for i in range(2)}).state(Cut("0"), event_schema())
+    return state.select("entity", F.col("value.s").alias("value"))
+
+
+@query(f"{_SIM} WHERE vec_id % 3 <> 0 OR vec_id IN (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) ORDER BY score DESC, vec_id LIMIT 10")
+def vector_topk_artifacts(spark, sf):
+    """Every third vector comes from a document; where that is hidden or missing, so is the vector."""
+    rows = catalog(spark, sf).withColumn("source_artifact_id", F.when(F.col("entity") % 3 == 0, F.col("entity").cast("string")))
+    toxic = t(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(True))
+    hidden = F.struct(F.array(F.lit("moderation")).alias("capabilities"), F.array().cast("array<string>").alias("visibilities")).cast(journals.POLICY)
+    artifacts = t(spark, sf, "documents").select("doc_id").join(toxic, "doc_id", "left").select(
+        F.lit("main").alias("sidecar_id"), F.col("doc_id").cast("string").alias("artifact_id"), F.lit(None).cast("string").alias("uri"), F.lit(0).cast("long").alias("registered_at"), F.when(F.col("toxic"), hidden).alias("policy"))
+    found = vectors.search(rows, artifacts, first_vector(spark, sf), sidecar="main", top_k=10)
+    return found.select(F.col("entity").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 # --- results ---------------------------------------------------------------------------------------------------------
 
 
@@ -480,22 +624,23 @@ def cut_delta(spark, sf):
     SELECT m.conv_id AS c, a.turn AS x, b.turn AS y FROM m, (SELECT DISTINCT conv_id, turn FROM conversations) a, (SELECT DISTINCT conv_id, turn FROM conversations) b
     WHERE a.conv_id = m.conv_id AND b.conv_id = m.conv_id AND a.turn = (SELECT min(turn) FROM conversations c WHERE c.conv_id = m.conv_id) AND b.turn > a.turn""")
 def explain_lineage(spark, sf):
-    """The derivation of the longest conversation's full span: one tuple per step."""
+    """The derivation of the longest conversation's full span, among the lineage of all: one tuple per step."""
     size = t(spark, sf, "conversations").groupBy("conv_id").agg(F.countDistinct("turn").alias("n"), F.min("turn").alias("lo"), F.max("turn").alias("hi")).orderBy(F.desc("n"), "conv_id").first()
-    engine = Engine(spark).bind("reply", replies(spark, sf).where(F.col("conv_id") == size["conv_id"]))
+    engine = Engine(spark).bind("reply", replies(spark, sf))
     program = engine.parse("schema v1 {\n}\npredicates {\nreply(U64, U64, U64)\nchain(U64, U64, U64)\n}\nrules {\nchain(c, x, y) <- reply(c, x, y)\nchain(c, x, z) <- chain(c, x, y), reply(c, y, z)\n}\n")
     found = engine.evaluate(program, full=True).trace(f"chain({size['conv_id']}, {size['lo']}, {size['hi']})")
     values = F.from_json("values", "array<string>")
     return found.select(*[values[i].cast("long").alias(c) for i, c in enumerate(("c", "x", "y"))])
 
 
-@query("WITH n AS (SELECT unnest(range(1, 513)) AS t) SELECT t, w FROM n, (VALUES ('worker-a'), ('worker-b')) v(w) WHERE t % 4 <> 0 AND t % 7 <> 0")
+@query("""SELECT DISTINCT o_orderkey AS o, l_suppkey AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+    WHERE o_orderstatus <> 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')""")
 def claimability(spark, sf):
-    """Who may claim which task: negation over derived and stored facts."""
-    tasks = spark.range(1, 513)
-    return rules(spark, "task(U64); status(U64, String); lease(U64, String); worker(String); done(U64); active(U64); ready(U64); can(U64, String)",
-                 'done(t) <- status(t, "done"); active(t) <- lease(t, "active"); ready(t) <- task(t), not done(t), not active(t); can(t, w) <- ready(t), worker(w)', "can(t, w)",
-                 {"task": tasks, "status": tasks.where("id % 4 = 0").withColumn("s", F.lit("done")), "lease": tasks.where("id % 7 = 0").withColumn("s", F.lit("active"))}, 'worker("worker-a"); worker("worker-b")')
+    """Which supplier may claim which order: negation over derived and stored facts."""
+    lines = t(spark, sf, "lineitem")
+    return rules(spark, "placed(U64, String); line(U64, U64); flag(U64, String); done(U64); active(U64); ready(U64); can(U64, U64)",
+                 'done(o) <- placed(o, "F"); active(o) <- flag(o, "A"); ready(o) <- placed(o, s), not done(o), not active(o); can(o, w) <- ready(o), line(o, w)', "can(o, w)",
+                 {"placed": t(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "line": lines.select("l_orderkey", "l_suppkey"), "flag": lines.select("l_orderkey", "l_returnflag")})
 
 
 @query("""WITH o AS (SELECT l_orderkey AS t, l_suppkey AS w, l_linenumber AS e FROM lineitem), cur AS (SELECT t, max(e) AS e FROM o GROUP BY 1)
@@ -507,21 +652,113 @@ def lease_fencing(spark, sf):
         "t", "w", F.col("e").cast("int").alias("e"))
 
 
-@query("SELECT * FROM (VALUES ('handover', 1, 'worker-a', 1), ('now', 1, 'worker-b', 2)) v(view, task, worker, epoch)")
-def coordination_views(spark, sf):
-    """Who is authorized before the lease, at the hand-over and now, on the sample board."""
-    from functools import reduce
+_TURNS = "turns AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_suppkey) AS s, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY 1, 2)"
+_HOLDER = "(SELECT o, max_by(s, n) AS s, max(n) AS n FROM turns WHERE n <= {turn} GROUP BY 1)"
+
+
+def fulfilment_report(spark, sf):
+    return fulfilment.report(spark, fulfilment.board(t(spark, sf, "lineitem")), 1, 3)
+
+
+@query(f"WITH {_TURNS} " + " UNION ALL ".join(f"SELECT '{view}' AS view, o, s, CAST(n AS BIGINT) AS n FROM {_HOLDER.format(turn=turn)}" for view, turn in (("first", 1), ("later", 3), ("now", 7))))
+def fulfilment_views(spark, sf):
+    """Who holds every order after the first turn, after the third, and now."""
+    found = fulfilment_report(spark, sf)
+    parts = [found[v].select(F.lit(v).alias("view"), "o", "s", "n") for v in ("first", "later", "now")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"""WITH {_TURNS}, h AS {_HOLDER.format(turn=7)}, d AS (SELECT turns.*, h.n = turns.n AS counts FROM turns JOIN h USING (o)), p AS (SELECT o FROM d WHERE counts AND r)
+    SELECT 'honoured' AS what, count(*) AS rows, CAST(sum(s) AS BIGINT) AS total FROM d WHERE counts UNION ALL SELECT 'superseded', count(*), CAST(sum(s) AS BIGINT) FROM d WHERE NOT counts
+    UNION ALL SELECT 'load', count(DISTINCT h.s), count(*) FROM h JOIN p USING (o) UNION ALL SELECT 'may_take', count(*), CAST(sum(s) AS BIGINT) FROM (SELECT DISTINCT o, s FROM d JOIN p USING (o) WHERE NOT counts)""")
+def fulfilment_outcomes(spark, sf):
+    """What counts, what was superseded, the load of suppliers and who may take over: their sizes and sums."""
+    found = fulfilment_report(spark, sf)
+    parts = [found[k].agg(F.count(F.lit(1)).alias("rows"), F.sum("n" if k == "load" else "s").alias("total")).select(F.lit(k).alias("what"), "rows", "total") for k in ("honoured", "superseded", "load", "may_take")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH {_TURNS}, a AS {_HOLDER.format(turn=3)}, b AS {_HOLDER.format(turn=7)} SELECT CASE WHEN a.o IS NULL THEN 'added' ELSE 'changed' END AS change, b.o AS key, b.s AS s, CAST(b.n AS BIGINT) AS n FROM a RIGHT JOIN b ON a.o = b.o WHERE a.n IS DISTINCT FROM b.n")
+def fulfilment_handovers(spark, sf):
+    return fulfilment.handovers(fulfilment_report(spark, sf)).select("change", "key", F.col("after.s").alias("s"), F.col("after.n").alias("n"))
+
+
+@query("SELECT o_orderkey AS o, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'")
+def two_goals(spark, sf):
+    """A query of two goals is a join and keeps duplicates; only the kept variables come out."""
+    engine = Engine(spark).bind("placed", t(spark, sf, "orders").select("o_orderkey", "o_orderstatus")).bind("line", t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber"))
+    run = engine.run('schema v1 {\n}\npredicates {\nplaced(U64, String)\nline(U64, U64, U64)\n}\nrules {\n}\nquery both {\ngoal placed(o, "F")\ngoal line(o, s, n)\nkeep o, s, nowhere\n}\n')
+    return run.queries["both"]
+
+
+@query("SELECT row_number() OVER (ORDER BY 'string:' || strlen(k) || ':' || k || '|u64:' || n || '|') AS place, k, n FROM (SELECT lang || repeat('x', CAST(doc_id % 11 AS INTEGER)) AS k, doc_id AS n FROM documents)")
+def result_order(spark, sf):
+    """The documented order: strings by their byte length as text, numbers as text."""
+    rows = t(spark, sf, "documents").select(F.expr("concat(lang, repeat('x', cast(doc_id % 11 as int)))").alias("k"), "doc_id")
+    engine = Engine(spark).bind("doc", rows)
+    program = engine.parse("schema v1 {\n}\npredicates {\ndoc(String, U64)\n}\nrules {\n}\nquery {\ngoal doc(k, n)\n}\n")
+    placed, _ = numbered(engine.evaluate(program).query(program.primary, ordered=True), "order")
+    return placed.select((F.col("_n") + 1).alias("place"), "k", "n")
+
+
+CHAIN = "schema v1 {\n}\npredicates {\nreply(U64, U64, U64)\nchain(U64, U64, U64)\n}\nrules {\nchain(c, x, y) <- reply(c, x, y)\nchain(c, x, z) <- chain(c, x, y), reply(c, y, z)\n}\nmaterialize {\nchain\n}\nquery long {\ngoal chain(c, 0, y)\nkeep c, y\n}\n"
+_CHAIN = f"WITH RECURSIVE {_REPLIES}, chain(c, x, y) AS (SELECT c, a, b FROM reply UNION SELECT chain.c, chain.x, reply.b FROM chain JOIN reply ON chain.c = reply.c AND chain.y = reply.a)"
+
+
+@query(f"{_CHAIN} SELECT c, x, y, CAST(y - x AS INTEGER) AS iteration FROM chain")
+def closure_iterations(spark, sf):
+    """With lineage every tuple has the round that found it: paths grow by one step a round."""
+    engine = Engine(spark).bind("reply", replies(spark, sf))
+    return engine.evaluate(engine.parse(CHAIN), full=True).relation("chain").select(F.col("c0").alias("c"), F.col("c1").alias("x"), F.col("c2").alias("y"), F.col("_iter").alias("iteration"))
+
+
+@query(f"{_CHAIN} SELECT count(*) AS n, 1 AS low, count(*) AS high, count(*) AS ids FROM chain")
+def tuple_ids(spark, sf):
+    """Ids count from one without gaps."""
+    engine = Engine(spark).bind("reply", replies(spark, sf))
+    found = engine.evaluate(engine.parse(CHAIN), full=True).relation("chain")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.min("_tid").cast("int").alias("low"), F.max("_tid").alias("high"), F.countDistinct("_tid").alias("ids"))
+
+
+@query("SELECT * FROM (VALUES ('iterations', 'IterationLimit'), ('tuples', 'TupleLimit'), ('rules', 'RuleLimit'), ('document', 'DocumentSize')) v(what, code)")
+def limits(spark, sf):
+    """Every limit ends a run with its own error."""
+    out = []
+    for what, limit in (("iterations", Limits(iterations=2)), ("tuples", Limits(tuples=5)), ("rules", Limits(rules=1)), ("document", Limits(document_bytes=20))):
+        try:
+            engine = Engine(spark, limits=limit).bind("reply", replies(spark, sf))
+            engine.evaluate(engine.parse(CHAIN), iterations=True)
+        except EngineError as e:
+            out.append((what, e.code))
+    return spark.createDataFrame(out, "what string, code string")
+
+
+@query(f"{_CHAIN} SELECT c, x, y FROM chain")
+def materialized(spark, sf):
+    return Engine(spark).bind("reply", replies(spark, sf)).run(CHAIN).materialized["chain"].toDF("c", "x", "y")
+
+
+@query(f"{_CHAIN} SELECT c, y FROM chain WHERE x = 0")
+def named_query(spark, sf):
+    return Engine(spark).bind("reply", replies(spark, sf)).run(CHAIN).queries["long"]
+
 
-    found = coordination.report(spark, coordination.sample_history(spark), coordination.sample_facts(), 5, 9)
-    rows = [found[v].select(F.lit(v).alias("view"), F.col("v0").cast("int").alias("task"), F.col("v1").alias("worker"), F.col("v2").cast("int").alias("epoch")) for v in ("before", "handover", "now")]
-    return reduce(DataFrame.union, rows)
+@query("SELECT l_returnflag AS f, count(DISTINCT l_orderkey) AS n, CAST(sum(DISTINCT l_orderkey) AS BIGINT) AS sources FROM lineitem GROUP BY 1")
+def agg_provenance(spark, sf):
+    """A group's sources are the union of its rows' sources."""
+    lines = t(spark, sf, "lineitem").select("l_orderkey", "l_returnflag").distinct().withColumn("_src", F.array("l_orderkey"))
+    engine = Engine(spark).bind("line", lines)
+    program = engine.parse("schema v1 {\n}\npredicates {\nline(U64, String)\nn(String, U64)\n}\nrules {\nn(f, count(o)) <- line(o, f)\n}\n")
+    found = engine.evaluate(program, full=True).relation("n")
+    return found.select(F.col("c0").alias("f"), F.col("c1").alias("n"), F.aggregate("_src", F.lit(0).cast("long"), lambda s, x: s + x).alias("sources"))
 
 
-@query("SELECT * FROM (VALUES ('accepted', 'current-worker-b'), ('stale', 'stale-worker-a'), ('claimable', '3 worker-a'), ('claimable', '3 worker-b')) v(what, detail)")
-def coordination_outcomes(spark, sf):
-    found = coordination.report(spark, coordination.sample_history(spark), coordination.sample_facts(), 5, 9)
-    return found["accepted"].select(F.lit("accepted").alias("what"), F.col("v4").alias("detail")).union(found["stale"].select(F.lit("stale"), "v4")).union(
-        found["claimable"].select(F.lit("claimable"), F.concat_ws(" ", F.col("v0").cast("string"), "v1")))
+@query("SELECT DISTINCT a.l_orderkey AS o FROM lineitem a WHERE a.l_suppkey = a.l_orderkey % 100 AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = a.l_orderkey AND o_custkey % 100 = a.l_suppkey)")
+def underscore(spark, sf):
+    """An underscore is a variable like any other: where it stands twice, values must be equal."""
+    lines, orders = t(spark, sf, "lineitem"), t(spark, sf, "orders")
+    return rules(spark, "line(U64, U64, U64); placed(U64, U64); hit(U64)", "hit(o) <- line(o, _, _), placed(o, _)", "hit(o)", {
+        "line": lines.select("l_orderkey", "l_suppkey", (F.col("l_orderkey") % 100).alias("m")), "placed": orders.select("o_orderkey", (F.col("o_custkey") % 100).alias("m"))})
 
 
 @query("SELECT event_id AS tuple_id FROM events WHERE event_type = 'purchase' AND user_id % 3 = 0 AND event_id % 5 <> 0")
@@ -556,7 +793,7 @@ def trend_report(spark, sf):
 
 @query("SELECT user_id AS u, list_sort(list(event_id))[CAST(floor((count(*) - 1) * 0.9 + 0.5) AS BIGINT) + 1] AS p90 FROM events GROUP BY 1")
 def nearest_rank(spark, sf):
-    return t(spark, sf, "events").groupBy(F.col("user_id").alias("u")).agg(reports.nearest_rank(F.col("event_id"), 0.9).alias("p90"))
+    return reports.nearest_rank(t(spark, sf, "events").select(F.col("user_id").alias("u"), "event_id"), ["u"], "event_id", 0.9, "p90")
 
 
 @query("SELECT event_id AS execution_id, row_number() OVER (ORDER BY event_id) <= (SELECT count(*) FROM events) - 100 AS evicted FROM events")
@@ -572,4 +809,4 @@ def replica_divergence(spark, sf):
     return journals.prefix_divergence(leader, follower)
 
 
-__all__ = ["ORACLE", "QUERIES", "Query", "ENTITY", "U64"]
+__all__ = ["ORACLE", "QUERIES", "Query"]

@@ -5,7 +5,7 @@ import importlib.util
 import duckdb
 import pytest
 
-from strataline import catalogue, coordination
+from strataline import catalogue, fulfilment
 from strataline.executions import ExecutionStore
 from strataline.model import EngineError
 from strataline.session import Engine
@@ -15,7 +15,10 @@ from strataline.sources.replication import Replicated
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHOSEN = ["reply_closure", "same_generation", "even_odd_path", "unreturned_orders", "two_level_negation", "constant_facts_join", "agg_multi", "agg_empty", "lww_as_of", "set_first_add_source",
-          "sequence_order", "dependency_violations", "append_violations", "policy_negation", "vector_topk_as_of", "cut_delta", "page", "nearest_rank"]
+          "sequence_order", "dependency_violations", "append_violations", "policy_negation", "vector_topk_as_of", "cut_delta", "page", "nearest_rank",
+          "claimability", "fulfilment_views", "fulfilment_outcomes", "fulfilment_handovers", "explain_lineage", "cut_digest", "append_receipts", "append_history", "append_refusals", "scoped_replay_public", "scoped_replay_privileged",
+          "scoped_cuts", "scoped_replay_refusal", "policy_closure_violations", "sequence_removals", "partition_state_public", "vector_topk_artifacts", "two_goals", "result_order", "closure_iterations", "tuple_ids", "limits",
+          "materialized", "named_query", "agg_provenance", "underscore", "federated_join", "trade_reachability", "retention"]
 
 
 @pytest.fixture(scope="module")
@@ -52,11 +55,15 @@ def test_entry_survives_without_llm(monkeypatch):
     assert set(__spark_entry__.queries()) == set(catalogue.QUERIES) and set(__spark_entry__.oracle_sql()) == set(catalogue.ORACLE)
 
 
-def test_coordination_report(spark):
-    found = coordination.report(spark, coordination.sample_history(spark), coordination.sample_facts(), 5, 9)
-    text = coordination.markdown({k: found[k] for k in ("handover", "now")})
-    assert "worker-a" in text and "## now (1)" in text
-    assert [(r["change"], r["after"]["v1"]) for r in coordination.changes(found).collect()] == [("changed", "worker-b")]
+def test_fulfilment_report(spark):
+    lines = spark.createDataFrame([(1, 1, 7, "N"), (1, 2, 8, "R"), (2, 1, 7, "N"), (3, 1, 9, "R"), (3, 2, 7, "N")], "l_orderkey long, l_linenumber int, l_suppkey long, l_returnflag string")
+    found = fulfilment.report(spark, fulfilment.board(lines), 1, 1)
+    rows = {k: sorted(tuple(r) for r in df.collect()) for k, df in found.items()}
+    assert rows["first"] == [(1, 7, 1), (2, 7, 1), (3, 9, 1)] and rows["now"] == [(1, 8, 2), (2, 7, 1), (3, 7, 2)]
+    assert rows["honoured"] == [(1, 8, 2), (2, 7, 1), (3, 7, 2)] and rows["superseded"] == [(1, 7, 1), (3, 9, 1)]
+    assert rows["load"] == [(8, 1)] and rows["may_take"] == [(1, 7)]  # order 1's delivery came back
+    assert sorted((r["change"], r["key"], r["after"]["s"]) for r in fulfilment.handovers(found).collect()) == [("changed", 1, 8), ("changed", 3, 7)]
+    assert "## now (3)" in fulfilment.markdown(found)
 
 
 def test_handles_verify(spark):

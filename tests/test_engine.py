@@ -7,6 +7,7 @@ from strataline.model import EngineError
 from strataline.operators.fixpoint import Limits
 from strataline.sources.journal import datom, datoms, numbered
 
+# The documented closure program; a chain of n entities must give n (n - 1) / 2 pairs.
 CLOSURE = """
 schema v1 {
   attr task.depends_on: RefSet<Entity>
@@ -113,6 +114,7 @@ def test_missing_source(spark):
     assert e.value.code == "MissingSource"
 
 
+# A documented program and the outcomes it must have.
 POLICY = document(
     "edge(U64, U64)\ncandidate(U64)\nblocked(U64)\nscore(U64)\npath(U64, U64)\nready(U64)\nsummary(U64, U64, U64, U64)",
     "path(x, y) <- edge(x, y)\npath(x, z) <- path(x, y), edge(y, z)\nready(x) <- candidate(x), not blocked(x)\nsummary(count(s), sum(s), min(s), max(s)) <- score(s)",
@@ -132,50 +134,36 @@ def test_policy_noninterference(spark):
     assert rows(public.relation("summary").select("c0", "c1", "c2", "c3")) == [(2, 9, 2, 7)]
 
 
-COORDINATION = """
-schema v1 {
-  attr task.depends_on: RefSet<Entity>
-  attr task.status: ScalarLWW<String>
-  attr task.claimed_by: ScalarLWW<String>
-  attr task.lease_epoch: ScalarLWW<U64>
-  attr task.lease_state: ScalarLWW<String>
-  attr heartbeat.task: RefScalar<Entity>
-  attr heartbeat.worker: ScalarLWW<String>
-  attr heartbeat.epoch: ScalarLWW<U64>
-  attr heartbeat.at: ScalarLWW<U64>
-}
-predicates {
-  task_claimed_by(Entity, String)
-  task_lease_epoch(Entity, U64)
-  task_lease_state(Entity, String)
-  heartbeat_task(Entity, Entity)
-  heartbeat_worker(Entity, String)
-  heartbeat_epoch(Entity, U64)
-  heartbeat_at(Entity, U64)
-  authorized(Entity, String, U64)
-}
-rules {
-  authorized(t, w, n) <- task_claimed_by(t, w), task_lease_epoch(t, n), task_lease_state(t, "active"), heartbeat_task(h, t), heartbeat_worker(h, w), heartbeat_epoch(h, n), heartbeat_at(h, at)
-}
-query now {
-  goal authorized(t, w, n)
-}
-query early {
-  as_of e5
-  goal authorized(t, w, n)
-}
-query first {
-  as_of e9
-  goal authorized(t, w, n)
-}
-"""
+def test_views_of_one_journal(spark):
+    """A scalar read by name at three cuts; equal runs have one identity, other histories another."""
+    rows_ = [(e, 1, "String", v, op, i) for i, (e, v, op) in enumerate([(1, "new", "Assert"), (2, "new", "Assert"), (1, "paid", "Assert"), (2, "", "Retract"), (1, "sent", "Claim")], 1)]
+    journal = numbered(datoms(spark, [datom(*r) for r in rows_]))
+    text = "schema v1 {\nattr order.state: ScalarLww<String>\n}\npredicates {\norder_state(Entity, String)\nbusy(Entity)\n}\nrules {\nbusy(o) <- order_state(o, s)\n}\nquery now {\ngoal order_state(o, s)\n}\nquery early {\nas_of e3\ngoal order_state(o, s)\n}\nquery who {\nas_of e2\ngoal busy(o)\n}\n"
+    run = Engine(spark, journal).run(text)
+    assert rows(run.queries["now"]) == [(1, "sent")] and rows(run.queries["early"]) == [(1, "paid"), (2, "new")] and rows(run.queries["who"]) == [(1,), (2,)]
+    assert run.identity == Engine(spark, journal).run(text).identity != Engine(spark, journal.where("seq < 5")).run(text).identity
+
+
+def test_plan_of_another_version_is_refused(spark):
+    engine = Engine(spark)
+    from strataline.operators.fixpoint import Evaluation
+    from strataline.plans.compiler import compile_program
+
+    plan = compile_program(engine.parse(document("a(U64)\nb(U64)", "b(x) <- a(x)", "a(1)")))
+    plan.version += 1
+    with pytest.raises(EngineError) as e:
+        Evaluation(spark, plan, lambda p: None)
+    assert e.value.code == "PlanVersion"
+
+
+def test_float_and_bytes_keys_follow_their_format(spark):
+    import struct
 
+    from strataline.functions.ordering import typed_key
+    from strataline.model import Type
 
-def test_lease_handoff_over_views(spark):
-    plan = [(1, 1, "Entity", 2, "Add"), (2, 2, "String", "done", "Assert"), (1, 3, "String", "a", "Claim"), (1, 4, "U64", 1, "LeaseOpen"), (1, 5, "String", "active", "LeaseOpen"),
-            (1001, 6, "Entity", 1, "LeaseRenew"), (1001, 7, "String", "a", "LeaseRenew"), (1001, 8, "U64", 1, "LeaseRenew"), (1001, 9, "U64", 100, "LeaseRenew"),
-            (1, 3, "String", "b", "Claim"), (1, 4, "U64", 2, "LeaseRenew"), (1002, 6, "Entity", 1, "LeaseRenew"), (1002, 7, "String", "b", "LeaseRenew"), (1002, 8, "U64", 2, "LeaseRenew"), (1002, 9, "U64", 200, "LeaseRenew")]
-    journal = numbered(datoms(spark, [datom(*p, element=i) for i, p in enumerate(plan, 1)]))
-    run = Engine(spark, journal).run(COORDINATION)
-    assert rows(run.queries["early"]) == [] and rows(run.queries["first"]) == [(1, "a", 1)] and rows(run.queries["now"]) == [(1, "b", 2)]
-    assert run.identity == Engine(spark, journal).run(COORDINATION).identity
+    numbers = [0.0, -0.0, 1.0, -1.5, 0.1, 1e300, -1e-300, 5e-324, 2.2250738585072014e-308, 3.141592653589793, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(x, bytearray(b"\x00\xff7"), [1, 2]) for x in numbers], "x double, b binary, l array<long>")
+    got = df.select(typed_key(df.x, Type("F64")).alias("x"), typed_key(df.b, Type("Bytes")).alias("b"), typed_key(df.l, Type("List", Type("U64"))).alias("l")).collect()
+    assert [r["x"] for r in got] == ["f64:" + struct.pack(">d", x).hex() for x in numbers]
+    assert got[0]["b"] == "bytes:[0, 255, 55]" and got[0]["l"] == "list:[u64:1,u64:2,]"
