@@ -2,56 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import discard, materialize, shared_dir  # noqa: F401  (one way to shared tables for all operators)
+
 #: Text handled at once by a Python worker; bounds its memory whatever the row sizes are.
 SLICE_BYTES = 2 << 20
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables of up to this many rows (some 20 MB at most) may be sent to all tasks; beyond, rows meet by a shuffled join.
 SMALL_TABLE = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where that is unset, as in tests, a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/strataline-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage, survives lost executors.
-
-    The shuffles behind it are of no use afterwards; Spark removes them when the write ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strataline/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._strataline_path = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._strataline_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks, and idle ones would keep it."""
     import ctypes

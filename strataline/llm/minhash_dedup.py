@@ -103,7 +103,7 @@ def _longs(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, n_shingles, the class (a 64-bit digest of the whole set), band keys."""
+    """id, hash of the text, n_shingles, the class (a 64-bit digest of the whole set), band keys."""
 
     def run(batches):
         for whole in batches:
@@ -114,11 +114,11 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 some = n > 0
                 at = np.concatenate(([0], np.cumsum(np.where(some, BANDS, 0))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n), pa.array(class_of(offsets, sets)), _longs(at, keys[some].ravel())], names=["id", "n", "class", "bands"])
+                    [batch.column("id"), batch.column("text_hash"), pa.array(n), pa.array(class_of(offsets, sets)), _longs(at, keys[some].ravel())], names=["id", "text_hash", "n", "class", "bands"])
         release()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "id long, n long, class long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(
+        run, "id long, text_hash long, n long, class long, bands array<long>")
 
 
 def class_of(offsets: np.ndarray, sets: np.ndarray) -> np.ndarray:
@@ -246,7 +246,7 @@ def packed(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: the id, n_shingles, component_id (smallest id reachable by links), kept."""
+    """One row per input row: the id, n_shingles, component_id (smallest id reachable by links), kept, text_hash (xxhash64 of the text)."""
     rows = materialize(sketched(docs, id_col, text_col, k), "sketches")
     some = rows.where("n > 0 AND id IS NOT NULL")
     classes = materialize(some.groupBy("class").agg(F.min("id").alias("rep")), "set-classes")
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     detail = reps.select("id", "bands").join(packed(sets), "id")
     more = materialize(verified(cross_links(open_rows.join(detail, "id"), percent), sets, percent).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "links")
     wider = components(more)  # of parts: what the first pass connected is not gone through again
-    light = materialize(rows.select("id", "n", "class"), "sketched")
+    light = materialize(rows.select("id", "text_hash", "n", "class"), "sketched")
     discard(rows, members, sets, open_rows, links, more)
 
     # the name of a component is the smallest doc_id of its classes
@@ -280,5 +280,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = materialize(classes.join(named, "class", "left").select("class", F.coalesce("component", "rep").alias("component")), "set-components")
     discard(classes, parts, wider)
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return light.join(known, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return light.join(known, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.col("id").eqNullSafe(component).alias("kept"), "text_hash")

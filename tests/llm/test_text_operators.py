@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strataline.llm import html_extract, quality, secret_scan, sentencepiece_codec, source_mixing
 from strataline.llm.queries import tokenizer
 
+LONG = "".join("añ x" if i % 7 else "\n▁ zq" for i in range(400_000))  # 1.6 million characters
 EDGE = ["", None, " ", "  ", "a ", " a", "a  b", "\n", "▁a", "▁▁ ▁", "é́", "😀 x\x00y", "<s> </s>", "�", "x" * 5000, " " * 300 + "b", "　", "a\r\nb"]
 
 
@@ -27,7 +28,7 @@ def test_codec_equals_library():
     codec = sentencepiece_codec.Codec(tokenizer())
     assert codec.splits
     r = random.Random(1)
-    texts = EDGE + ["".join(r.choice("ab ▁é\n😀\t<s>") for _ in range(r.randrange(40))) for _ in range(500)]
+    texts = [*EDGE, LONG, "w" * 50_000] + ["".join(r.choice("ab ▁é\n😀\t<s>") for _ in range(r.randrange(40))) for _ in range(500)]
     for lo in range(0, len(texts), 40):
         part = texts[lo: lo + 40]
         ids, decoded = codec.run(part)
@@ -254,6 +255,63 @@ def test_quality_threshold_of_few_labels_is_held_out(spark):
     assert parts[0] == parts[2] and len({parts[1], parts[5]}) == 2 and len({parts[0], parts[3], parts[4]}) == 3
 
 
+def brute_quality(rows, labels, site_weight=0.5, max_loss=0.002):
+    """rows: (id, text, host, path); labels: {id: good}.  Everything after the fit in plain Python, the threshold by sorting."""
+    x = quality.features(pa.array([t for _, t, _, _ in rows])).astype(np.float32).astype(np.float64)
+    ids = [i for i, *_ in rows]
+    sample = sorted((n for n, i in enumerate(ids) if i in labels), key=lambda n: ids[n] * 0x9E3779B97F4A7C15 % 2**64)
+    xs, ys = x[sample], np.array([float(labels[ids[n]]) for n in sample])
+    logit = lambda w, z: np.clip(z @ w[:-1] + w[-1], -30, 30)
+    own = logit(quality.fit_logistic(xs, ys), x)
+    p = 1 / (1 + np.exp(-own))
+    groups = lambda key: {k: [n for n, r in enumerate(rows) if key(r) == k] for k in {key(r) for r in rows}}
+    hosts, paths = groups(lambda r: r[2]), groups(lambda r: r[2:4])
+
+    def strength(parts):
+        mean, n, k = p.mean(), len(p), len(parts)
+        spread = sum(len(g) * (p[g].mean() - mean) ** 2 for g in parts.values())
+        between = (spread - (k - 1) * mean * (1 - mean)) / (n - sum(len(g) ** 2 for g in parts.values()) / n)
+        return min(1e6, max(1.0, mean * (1 - mean) / between - 1)) if between > 1e-9 else 1e6
+
+    log_odds = lambda q: np.log(np.clip(q, 1e-6, 1 - 1e-6) / (1 - np.clip(q, 1e-6, 1 - 1e-6)))
+    host_k, path_k, out = strength(hosts), strength(paths), {}
+    fold = dict(zip(sample, quality.folds([ids[n] for n in sample], ys)))
+    fits = [quality.fit_logistic(xs[[fold[n] != k for n in sample]], ys[[fold[n] != k for n in sample]]) for k in range(quality.FOLDS)]
+    held = []
+    for n, (i, _, host, path) in enumerate(rows):
+        h = (host_k * p.mean() + p[hosts[host]].sum()) / (host_k + len(hosts[host]))
+        others = [m for m in paths[host, path] if m != n]
+        q = (path_k * h + p[others].sum()) / (path_k + len(others))
+        site = site_weight * (log_odds(q) - log_odds(p.mean()))
+        out[i] = (own[n], h, q, own[n] + site)
+        if n in fold:
+            held.append((logit(fits[fold[n]], x[n: n + 1])[0] + site, labels[i]))
+    good = sorted(s for s, g in held if g)
+    floor = good[int(max_loss * len(good))]
+    below = [s for s, g in held if not g and s < floor]
+    threshold = (floor + max(below)) / 2 if below else floor - 1
+    return {i: (a, b, c, s - threshold) for i, (a, b, c, s) in out.items()}
+
+
+def test_quality_against_brute_force(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9)))
+    rows, labels = [], {}
+    for i in range(600):
+        host, path = f"src{r.randrange(4) if r.random() < 0.7 else 9}", r.choice(["en", "de"])
+        good = r.random() < {"src0": 0.95, "src1": 0.3}.get(host, 0.7)
+        rows.append((i, " ".join(word() + ("!" if r.random() < (0.1 if good else 0.45) else "") for _ in range(r.randrange(1, 50))), host, path))
+        if i % 2:
+            labels[i] = int(good)
+    want = brute_quality(rows, labels, max_loss=0.05)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    got = quality.classify(df, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), max_loss=0.05).collect()
+    assert len(got) == len(rows) and 0 < sum(x["accepted"] for x in got) < len(rows)
+    for x in got:
+        assert (x["doc_logit"], x["host_posterior"], x["path_posterior"], x["score"]) == pytest.approx(want[x["doc_id"]], abs=1e-6)
+        assert x["accepted"] == (x["score"] >= 0)
+
+
 def test_quality_calibration_is_exact(spark):
     r = np.random.default_rng(3)
     for score, good in [(r.normal(size=3000), r.random(3000) < 0.8), (np.round(r.normal(size=2000), 1), r.random(2000) < 0.5), (np.full(50, 2.5), r.random(50) < 0.5),
