@@ -19,15 +19,28 @@ from strataline.llm.common import discard, materialize
 from strataline.llm.queries import DOMAINS, MIX, tokenizer
 
 
+#: The columns of documents that operators read; others travel under names that clash with nothing.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    """docs with its other columns renamed."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in READ else f"_other_{i}") for i, c in enumerate(docs.columns)])
+
+
+def back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, under their names and in their order."""
+    return rows.select(*[F.col(c if c in READ else f"_other_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; all of them where labels do not hold both kinds.  Null sources and languages are sites of their own."""
-    scored = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("accepted").select(*docs.columns)
+    return back(quality.classify(aside(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("accepted"), docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased), the row with the largest doc_id; rows tied on it all stay, null ids come last."""
-    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+    return back(exact_dedup.exact_dedup(aside(docs)).where("kept"), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +55,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf's prefix of one seeded epoch, by hierarchical budgets over nine tenths of the tokens; null levels are leaves of their own."""
-    return source_mixing.mix(docs, MIX, domains=DOMAINS, budget_share=0.9, max_epochs=1).where("copies > 0").select(*docs.columns)
+    return back(source_mixing.mix(aside(docs), MIX, domains=DOMAINS, budget_share=0.9, max_epochs=1).where("copies > 0"), docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
