@@ -37,7 +37,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SMALL_TABLE, discard, materialize, release
+from .common import SMALL_TABLE, discard, materialize, release, small_batches
 
 SHARD, DEGREE, BEAM, BLOCK, SEED = 4096, 24, 128, 256, 7
 #: Cells at most, sample nodes per cell that centroids are fitted on, share of neighbours that the probed cells must hold.
@@ -256,7 +256,7 @@ GRAPH_SCHEMA = pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("wide", p
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, shard: int = SHARD) -> Index:
     """The written index: per shard its vectors, id lists and the flat neighbour arrays of each level; and its routing."""
-    nodes = materialize(nodes_of(valid(vectors, vec_col, id_col), k), "ann-nodes")
+    nodes = materialize(nodes_of(valid(small_batches(vectors), vec_col, id_col), k), "ann-nodes")
     squares = F.aggregate(F.transform("v", lambda a: a.cast("double") * a.cast("double")), F.lit(0.0), lambda s, a: s + a)
     n, most, dim = nodes.agg(F.count(F.lit(1)), F.coalesce(F.max(squares), F.lit(0.0)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     cells = max(1, min(MAX_CELLS, math.ceil(n / shard)))
@@ -315,7 +315,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
 
 def query(index: Index, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, beam: int = BEAM, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every query row (its own id excepted)."""
-    asked = valid(queries, vec_col, id_col, index.dim).dropDuplicates(["id", "v"]).withColumn("key", F.xxhash64("v"))
+    asked = valid(small_batches(queries), vec_col, id_col, index.dim).dropDuplicates(["id", "v"]).withColumn("key", F.xxhash64("v"))
     dim, c, first, shards = index.dim, index.centroids, index.first, index.shards
     probes = min(len(c), index.probes if probes is None else probes)
 

@@ -16,6 +16,20 @@ SLICE_BYTES = 2 << 20
 SMALL_TABLE = 100_000
 
 
+#: Bytes of an Arrow batch on its way to a Python worker; rows are bounded by Spark's own setting.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the bytes of the session's Arrow batches: rows hold whole texts, so a number of rows bounds nothing."""
+    conf = df.sparkSession.conf
+    now = conf.get(BATCH, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return df
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks, and idle ones would keep it."""
     import ctypes
@@ -58,7 +72,7 @@ def arrow_append(df: DataFrame, fields: list[T.StructField], text_col: str, fn,
             done()
         release()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hash_bytes, materialize, mix64, release, slices, word_arrays
+from .common import discard, hash_bytes, materialize, mix64, release, slices, small_batches, word_arrays
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -247,7 +247,7 @@ def packed(sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: the id, n_shingles, component_id (smallest id reachable by links), kept, text_hash (xxhash64 of the text)."""
-    rows = materialize(sketched(docs, id_col, text_col, k), "sketches")
+    rows = materialize(sketched(small_batches(docs), id_col, text_col, k), "sketches")
     some = rows.where("n > 0 AND id IS NOT NULL")
     classes = materialize(some.groupBy("class").agg(F.min("id").alias("rep")), "set-classes")
     reps = some.join(classes.select(F.col("rep").alias("id"), "class"), ["id", "class"], "left_semi").dropDuplicates(["class"]).select(

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SMALL_TABLE, discard, hash_bytes, materialize, mix64, release, slices, spread
+from .common import SMALL_TABLE, discard, hash_bytes, materialize, mix64, release, slices, small_batches, spread
 
 #: Runs that a task gathers before it sends them to their owners.
 MESSAGE_RUNS = 500_000
@@ -528,7 +528,7 @@ class Removals:
 def find(docs: DataFrame, id_col: str, text_col: str, symbols: Symbols, rule: Rule, length: int, k: int, match: Callable) -> Removals:
     """All three steps.  Null texts count as empty; null ids come before all others."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), text.alias("text")).withColumn("rid", F.xxhash64("id", "text"))
+    keyed = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), text.alias("text")).withColumn("rid", F.xxhash64("id", "text"))
     found = shared_runs(keyed, symbols, rule, length, k)
     light = materialize(found.where("sha IS NOT NULL").select("id", "rid", "n", "sha"), "whole-texts")
     # at most SMALL_TABLE of them: the largest, should there be more
