@@ -1,14 +1,23 @@
-"""Executions and trace handles: what a run derived, checked again later by evaluating once more."""
+"""Executions and trace handles in a folder: what a run derived, resolved and checked again later, by any driver.
+
+An execution is its document, view and scope, and the written lineage of all its derived tuples.  A handle is an opaque
+name for one tuple's derivation, kept with a digest of it.  Of more than `retained` executions the oldest go and leave a
+tombstone; so do of these the oldest beyond TOMBSTONES.
+"""
 
 from __future__ import annotations
 
 import secrets
-from dataclasses import dataclass, field
+import time
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 
-from .model import EngineError
+from .model import PUBLIC, EngineError, Scope
 from .operators.explain import trace
-from .session import Result
+from .session import Engine
 from .sources.journal import fingerprint
+from .storage import Documents
 
 RETAINED, TOMBSTONES = 1024, 65536
 
@@ -21,56 +30,72 @@ class Handle:
     digest: str
 
 
-def trace_digest(result: Result, tuple_id: int) -> str:
-    rows = trace(result.lineage(), tuple_id).orderBy("tuple_id").collect()
-    return fingerprint({"trace": [r.asDict(recursive=True) for r in rows]})
+def trace_digest(rows: DataFrame) -> str:
+    """A digest of one derivation (a trace is as long as a proof, not as a relation)."""
+    return fingerprint({"trace": [r.asDict(recursive=True) for r in rows.orderBy("tuple_id").collect()]})
 
 
-@dataclass
 class ExecutionStore:
-    """Results by execution; the oldest go beyond `retained` and leave a tombstone."""
-
-    retained: int = RETAINED
-    results: dict[str, Result] = field(default_factory=dict)
-    handles: dict[str, Handle] = field(default_factory=dict)
-    gone: dict[str, None] = field(default_factory=dict)
-
-    def add(self, result: Result) -> str:
-        if not result.full:
-            raise EngineError("NoLineage", "evaluate with full=True")
-        name = secrets.token_hex(16)
-        self.results[name] = result
-        while len(self.results) > self.retained:
-            old = next(iter(self.results))
-            del self.results[old]
-            self.gone[old] = None
-            self.handles = {k: h for k, h in self.handles.items() if h.execution != old}
-        while len(self.gone) > TOMBSTONES:
-            del self.gone[next(iter(self.gone))]
+    def __init__(self, spark: SparkSession, path: str, retained: int = RETAINED):
+        self.spark, self.path, self.retained = spark, path.rstrip("/"), retained
+        self.documents = Documents(spark, self.path)
+
+    def run(self, engine: Engine, document: str, as_of: int | None = None, scope: Scope = PUBLIC) -> str:
+        """Evaluate a document's program with lineage and keep it; returns the execution's name."""
+        program = engine.parse(document)
+        result = engine.evaluate(program, as_of, scope, full=True)
+        name, at = secrets.token_hex(16), time.time_ns()
+        result.lineage().write.parquet(f"{self.path}/lineage/{name}")
+        record = {"execution": name, "at": at, "document": document, "as_of": as_of, "scope": [scope.capabilities, scope.visibilities], "identity": engine.identity(program, as_of, scope)}
+        self.documents.put("executions", f"{at:020d}-{name}", record)
+        self._retain()
         return name
 
-    def result(self, execution: str) -> Result:
-        if execution in self.gone:
-            raise EngineError("ExecutionExpired", execution)
-        if execution not in self.results:
-            raise EngineError("UnknownExecution", execution)
-        return self.results[execution]
+    def _retain(self) -> None:
+        kept = self.documents.all("executions")
+        for old in kept[: max(0, len(kept) - self.retained)]:
+            self.documents.put("tombstones", f"{old['at']:020d}-{old['execution']}", {"execution": old["execution"], "at": old["at"]})
+            for gone in (f"executions/{old['at']:020d}-{old['execution']}.json", f"lineage/{old['execution']}", f"handles/{old['execution']}"):
+                self.documents.delete(gone)
+        stones = self.documents.all("tombstones")
+        for old in stones[: max(0, len(stones) - TOMBSTONES)]:
+            self.documents.delete(f"tombstones/{old['at']:020d}-{old['execution']}.json")
+
+    def record(self, execution: str) -> dict:
+        found = next((r for r in self.documents.all("executions") if r["execution"] == execution), None)
+        if found is None:
+            gone = any(r["execution"] == execution for r in self.documents.all("tombstones"))
+            raise EngineError("ExecutionExpired" if gone else "UnknownExecution", execution)
+        return found
+
+    def lineage(self, execution: str) -> DataFrame:
+        self.record(execution)
+        return self.spark.read.parquet(f"{self.path}/lineage/{execution}")
 
     def handle(self, execution: str, tuple_id: int) -> Handle:
         """An opaque handle to one derived tuple's trace."""
-        made = Handle(execution, tuple_id, secrets.token_urlsafe(24), trace_digest(self.result(execution), tuple_id))
-        self.handles[made.token] = made
+        made = Handle(execution, tuple_id, f"{execution}.{secrets.token_urlsafe(24)}", trace_digest(trace(self.lineage(execution), tuple_id)))
+        self.documents.put(f"handles/{execution}", fingerprint({"token": made.token}), made.__dict__)
         return made
 
-    def resolve(self, token: str):
-        if token not in self.handles:
+    def find(self, token: str) -> Handle:
+        execution = token.split(".")[0]
+        if len(execution) != 32 or set(execution) - set("0123456789abcdef"):
+            raise EngineError("UnknownHandle", token)
+        self.record(execution)
+        found = next((h for h in self.documents.all(f"handles/{execution}") if h["token"] == token), None)
+        if found is None:
             raise EngineError("UnknownHandle", token)
-        h = self.handles[token]
-        return trace(self.result(h.execution).lineage(), h.tuple_id)
-
-    def verify(self, token: str) -> bool:
-        """Evaluate the execution's program and view again and compare the trace."""
-        h = self.handles[token]
-        old = self.result(h.execution)
-        again = old.engine.evaluate(old.plan.program, old.as_of, old.scope, full=True)
-        return trace_digest(again, h.tuple_id) == h.digest
+        return Handle(**found)
+
+    def resolve(self, token: str) -> DataFrame:
+        """The derivation that a handle names, from the lineage as it was written."""
+        h = self.find(token)
+        return trace(self.lineage(h.execution), h.tuple_id)
+
+    def verify(self, token: str, engine: Engine) -> bool:
+        """Evaluate the execution's document and view again and compare the derivation with the handle's digest."""
+        h = self.find(token)
+        old = self.record(h.execution)
+        again = engine.evaluate(engine.parse(old["document"]), old["as_of"], Scope(*map(tuple, old["scope"])), full=True)
+        return trace_digest(trace(again.lineage(), h.tuple_id)) == h.digest

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..functions.policy import contains
 from ..model import CLEARS, SETS, Attribute, AttributeClass, EngineError, Schema, Type
 from ..operators.replay import VALUE, prefix, state
+from ..storage import Documents
 from ..storage import numbered as placed
 
 # The fields of a stored row.
@@ -161,46 +162,14 @@ class Journal:
 
     def __init__(self, spark: SparkSession, path: str, schema: Schema | None = None):
         self.spark, self.path = spark, path.rstrip("/")
+        self.documents = Documents(spark, self.path)
         active = self.active()
         self.schema = read_schema(active["schema"]) if active and schema is None else schema
 
-    # --- small files -------------------------------------------------------------------------------------------------
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _documents(self, folder: str) -> list[dict]:
-        """The JSON documents of a folder by name (receipts and schema records: metadata, not rows)."""
-        path, fs = self._path(folder)
-        if not fs.exists(path):
-            return []
-        files = [f"{self.path}/{folder}/{s.getPath().getName()}" for s in fs.listStatus(path) if s.getPath().getName().endswith(".json")]
-        lines = self.spark.read.text(files, wholetext=True).select("value", F.input_file_name().alias("name")).collect() if files else []
-        return [json.loads(r["value"]) for r in sorted(lines, key=lambda r: r["name"])]
-
-    def _put(self, folder: str, name: str, document: dict) -> bool:
-        """Put a document in place under a name that is free; False if it is taken."""
-        draft, fs = self._path(f"{folder}/.draft-{uuid.uuid4().hex}")
-        final, _ = self._path(f"{folder}/{name}.json")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(document).encode()))
-        out.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
-        try:
-            context.rename(draft, final, none)  # fails where the name is taken
-        except Exception as error:
-            fs.delete(draft, False)
-            if fs.exists(final):
-                return False
-            raise error
-        return True
-
     # --- reading -----------------------------------------------------------------------------------------------------
 
     def _receipts(self) -> list[dict]:
-        return self._documents("receipts")
+        return self.documents.all("receipts")
 
     def receipts(self) -> DataFrame:
         names = [f.name for f in T._parse_datatype_string(RECEIPT).fields]
@@ -240,18 +209,18 @@ class Journal:
             kind = schema.extends(older)
             if compatibility == "Exact" and (kind != "Exact" or data != written(older)):
                 raise EngineError("IncompatibleSchema", "an exact revision equals its predecessor")
-        self._put("schemas", ref, {"ref": ref, "schema": data, "predecessor": predecessor, "compatibility": compatibility})
+        self.documents.put("schemas", ref, {"ref": ref, "schema": data, "predecessor": predecessor, "compatibility": compatibility})
         return ref
 
     def _revision(self, ref: str) -> dict:
-        found = next((r for r in self._documents("schemas") if r["ref"] == ref), None)
+        found = next((r for r in self.documents.all("schemas") if r["ref"] == ref), None)
         if found is None:
             raise EngineError("UnknownSchema", ref)
         return found
 
     def active(self) -> dict | None:
         """The revision that was activated last."""
-        done = self._documents("activations")
+        done = self.documents.all("activations")
         return self._revision(done[-1]["ref"]) if done else None
 
     def activate(self, ref: str) -> str:
@@ -262,11 +231,11 @@ class Journal:
         schema, rows = read_schema(revision["schema"]), self.scan()
         faults = [r.asDict() for r in append_errors(rows, rows.limit(0), schema).take(20)] or [r.asDict() for r in dependency_errors(rows, schema).take(20)]
         status = "Quarantined" if faults else "Certified"
-        self._put("certifications", f"{len(self._documents('certifications')):08d}-{uuid.uuid4().hex}", {"ref": ref, "status": status, "cut": self.cut(), "diagnostics": faults})
+        self.documents.put("certifications", f"{len(self.documents.all('certifications')):08d}-{uuid.uuid4().hex}", {"ref": ref, "status": status, "cut": self.cut(), "diagnostics": faults})
         if faults:
             raise EngineError("SchemaQuarantined", str(faults))
         state(rows, schema).agg(F.count(F.lit(1))).first()  # a trial replay
-        if not self._put("activations", f"{len(self._documents('activations')):08d}", {"ref": ref, "cut": self.cut()}):
+        if not self.documents.put("activations", f"{len(self.documents.all('activations')):08d}", {"ref": ref, "cut": self.cut()}):
             raise EngineError("SchemaPrecondition", "another schema was activated meanwhile")
         self.schema = schema
         return revision["compatibility"]
@@ -274,8 +243,8 @@ class Journal:
     def schemas(self) -> list[dict]:
         """All revisions with their status: Registered, Active or Quarantined."""
         active = self.active()
-        refused = {c["ref"] for c in self._documents("certifications") if c["status"] == "Quarantined"}
-        return [{**r, "status": "Quarantined" if r["ref"] in refused else "Active" if active and r["ref"] == active["ref"] else "Registered"} for r in self._documents("schemas")]
+        refused = {c["ref"] for c in self.documents.all("certifications") if c["status"] == "Quarantined"}
+        return [{**r, "status": "Quarantined" if r["ref"] in refused else "Active" if active and r["ref"] == active["ref"] else "Registered"} for r in self.documents.all("schemas")]
 
     # --- appending ---------------------------------------------------------------------------------------------------
 
@@ -321,9 +290,8 @@ class Journal:
         marked, entries = str(int(last["marks"]) + int(total)), last["entry_count"] + count
         receipt = {"batch": last["batch"] + 1, "path": path, "first_seq": first, "rows": count, "entry_count": entries, "last_element": end if count else last["last_element"],
                    "marks": marked, "digest": _digest(marked, entries), "schema_ref": schema_ref, "idempotency_key": idempotency_key, "request_digest": request}
-        if not self._put("receipts", f"batch={receipt['batch']:020d}", receipt):
-            folder, fs = self._path(path)
-            fs.delete(folder, True)
+        if not self.documents.put("receipts", f"batch={receipt['batch']:020d}", receipt):
+            self.documents.delete(path)
             raise EngineError("CutMismatch", "another append came first")
         return receipt
 

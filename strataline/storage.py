@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
@@ -71,3 +72,45 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._strataline_path)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Documents:
+    """Small JSON documents by folder and name under a path that Spark can reach: receipts and records, never rows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def all(self, folder: str) -> list[dict]:
+        """The documents of a folder, by name."""
+        path, fs = self._at(folder)
+        if not fs.exists(path):
+            return []
+        files = [f"{self.path}/{folder}/{s.getPath().getName()}" for s in fs.listStatus(path) if s.getPath().getName().endswith(".json")]
+        lines = self.spark.read.text(files, wholetext=True).select("value", F.input_file_name().alias("name")).collect() if files else []
+        return [json.loads(r["value"]) for r in sorted(lines, key=lambda r: r["name"])]
+
+    def put(self, folder: str, name: str, document: dict) -> bool:
+        """Put a document in place under a name that is free; False if it is taken.  A rename makes it whole at once."""
+        draft, fs = self._at(f"{folder}/.draft-{uuid.uuid4().hex}")
+        final, _ = self._at(f"{folder}/{name}.json")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(document).encode()))
+        out.close()
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(self.spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            context.rename(draft, final, none)  # fails where the name is taken
+        except Exception as error:
+            fs.delete(draft, False)
+            if fs.exists(final):
+                return False
+            raise error
+        return True
+
+    def delete(self, name: str) -> None:
+        path, fs = self._at(name)
+        fs.delete(path, True)

@@ -66,17 +66,23 @@ def test_fulfilment_report(spark):
     assert "## now (3)" in fulfilment.markdown(found)
 
 
-def test_handles_verify(spark):
+def test_handles_survive_the_driver(spark, tmp_path):
+    document = "schema v1 {\n}\npredicates {\ne(U64, U64)\np(U64, U64)\n}\nfacts {\ne(1, 2)\ne(2, 3)\n%s}\nrules {\np(x, y) <- e(x, y)\np(x, z) <- p(x, y), e(y, z)\n}\n"
     engine = Engine(spark)
-    program = engine.parse("schema v1 {\n}\npredicates {\ne(U64, U64)\np(U64, U64)\n}\nfacts {\ne(1, 2)\ne(2, 3)\n}\nrules {\np(x, y) <- e(x, y)\np(x, z) <- p(x, y), e(y, z)\n}\n")
-    store = ExecutionStore(retained=1)
-    first = store.add(engine.evaluate(program, full=True))
+    store = ExecutionStore(spark, str(tmp_path / "x"), retained=1)
+    first = store.run(engine, document % "")
     h = store.handle(first, 3)
-    assert store.resolve(h.token).count() == 2 and store.verify(h.token)
-    store.add(engine.evaluate(program, full=True))
-    with pytest.raises(EngineError) as e:
-        store.result(first)
-    assert e.value.code == "ExecutionExpired"
+    later = ExecutionStore(spark, store.path, retained=1)  # nothing lives in the first store alone
+    assert later.resolve(h.token).count() == 2 and later.verify(h.token, Engine(spark))
+    other = Engine(spark).bind("e", spark.createDataFrame([(3, 1)], "x long, y long"))
+    assert not later.verify(h.token, other)  # other rows, another derivation
+    second = later.run(engine, document % "e(3, 4)\n")
+    for call, code in ((lambda: later.resolve(h.token), "ExecutionExpired"), (lambda: later.handle(first, 1), "ExecutionExpired"), (lambda: later.record("f" * 32), "UnknownExecution"),
+                       (lambda: later.find(f"{second}.no"), "UnknownHandle"), (lambda: later.find("../x"), "UnknownHandle")):
+        with pytest.raises(EngineError) as e:
+            call()
+        assert e.value.code == code
+    assert not (tmp_path / "x" / "lineage" / first).exists()
 
 
 def test_replication(spark, tmp_path):

@@ -11,6 +11,7 @@ from strataline.sources import vectors
 from strataline.sources.federation import Cut, Federation, Import
 from strataline.sources.journal import Journal, datom, datoms, numbered
 from strataline.sources.tuplespace import TupleSpace
+from strataline.storage import Documents
 
 STRING, ENTITY = Type("String"), Type("Entity")
 
@@ -112,7 +113,7 @@ def test_append_after_a_lost_driver(spark, tmp_path, monkeypatch):
     book = Journal(spark, str(tmp_path / "j"), schema())
     book.append(datoms(spark, [datom(1, 1, "String", "queued", "Assert", 1)]))
     with monkeypatch.context() as m:
-        m.setattr(Journal, "_put", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        m.setattr(Documents, "put", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError):  # the batch is written, its receipt is not
             book.append(datoms(spark, [datom(1, 1, "String", "lost", "Assert", 2)]))
     again = Journal(spark, book.path, schema())
@@ -282,3 +283,43 @@ def test_inference(spark):
 def test_replica_lag(spark):
     j = journal(spark, [datom(1, 1, "String", "a", "Assert", i) for i in range(1, 6)])
     assert js.prefix_divergence(j, j.where("seq <= 3")).isEmpty() and js.lag(j, j.where("seq <= 3")).first()["lag"] == 2
+
+
+def test_sidecar_registers_at_the_tail(spark, tmp_path):
+    side = vectors.Sidecar(spark, str(tmp_path / "s"))
+    art = lambda name, at: spark.createDataFrame([("s", name, 1, None, "text", 3, "d", None, at, None)], vectors.ARTIFACT)
+    vec = lambda name, source, at, dims=2: spark.createDataFrame([("s", name, 1, source, None, dims, "dot", [1.0, 2.0], None, at, None)], vectors.VECTOR)
+    side.register_artifacts(art("doc", 1), 1)
+    side.register_vectors(vec("v", "doc", 2), 2)
+    refused = [(side.register_artifacts, art("doc", 3), 3, "DuplicateId"), (side.register_artifacts, art("new", 2), 2, "AnchorUsed"), (side.register_vectors, vec("w", "doc", 3), 4, "NotAtTail"),
+               (side.register_vectors, vec("w", "nowhere", 3), 3, "ArtifactOrder"), (side.register_vectors, vec("w", None, 3, 5), 3, "Dimensions")]
+    for register, rows, tail, code in refused:
+        with pytest.raises(EngineError) as e:
+            register(rows, tail)
+        assert e.value.code == "RegistrationRefused" and code in str(e.value)
+    assert side.artifacts.count() == side.vectors.count() == 1
+    found = vectors.search(side.vectors, side.artifacts, [1.0, 1.0], sidecar="s", metric="dot").first()
+    assert found["vector_id"] == "v" and found["uri"] is None and found["score"] == 3.0  # an artifact without uri is there
+
+
+def test_federated_report_merges_cuts(spark):
+    text = "schema v1 {{\nattr task.{0}: ScalarLww<String>\n}}\npredicates {{\ntask_{0}(Entity, String)\nout(Entity, String)\n}}\nrules {{\nout(t, v) <- task_{0}(t, v)\n}}\nquery {{\ngoal out(t, v)\n}}\n"
+    f = Federation(spark, {"a": journal(spark, [datom(1, 1, "String", "ready", "Assert", 1)]), "b": journal(spark, [datom(1, 1, "String", "me", "Assert", 3)])})
+    doc = "schema v1 {\n}\npredicates {\nready(Entity, String)\nowner(Entity, String)\nact(Entity, String)\n}\nrules {\nact(t, w) <- ready(t, s), owner(t, w)\n}\nquery {\ngoal act(t, w)\n}\nexplain why {\ntuple act(entity(1), \"me\")\n}\n"
+    found = f.explained(doc, [Import(Cut("a"), text.format("status"), "ready"), Import(Cut("b"), text.format("owner"), "owner")])
+    assert found["summaries"]["why"]["tuples"] == 1 and [c["partition"] for c in found["summaries"]["why"]["cuts"]] == ["a", "b"] and found["primary"].count() == 1
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from strataline import storage
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(EngineError) as e:
+        storage.shared_dir(Session)
+    assert e.value.code == "SharedFolder"
