@@ -70,9 +70,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     limit = F.lit(max(hot_rows, (counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // SMALL_TABLE))
     buckets = directory(counts.select("key", F.when(F.col("n") > limit, F.lit(SALTS)).otherwise(F.col("n")).alias("weight")), bucket_rows)
     deepest = max(d for _, d in buckets)
-    cells = [(c, i) for i, (p, d) in enumerate(buckets) for c in range(p << (deepest - d), (p + 1) << (deepest - d))]
-    table = F.broadcast(docs.sparkSession.createDataFrame(cells, "cell long, bucket int"))  # 2 ** MAX_DEPTH rows at most
+    # the directory: the bucket of every combination of leading bits, in order; a constant of 2 ** MAX_DEPTH numbers at most
+    cells = [str(i) for i, (_, d) in enumerate(buckets) for _ in range(1 << (deepest - d))]
     cell = F.shiftrightunsigned("key", 64 - deepest) if deepest else F.lit(0).cast("long")
+    bucket = F.element_at(F.split(F.lit(",".join(cells)), ","), (cell + 1).cast("int")).cast("int")
 
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("key", key(F.col("norm")))
     hot = counts.where(F.col("n") > limit).select(F.col("key").alias("hot_key"))
@@ -85,7 +86,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sent = rows.join(hot, F.col("key") == F.col("hot_key"), "left_anti").select(
             "key", "norm", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).union(many.select("key", "norm", "keep_id", "group_size"))
     # to the owners: whole buckets meet in one task, and everything below stays within it
-    owned = sent.withColumn("cell", cell).join(table, "cell").drop("cell").repartition("bucket")
+    owned = sent.withColumn("bucket", bucket).repartition("bucket")
     entries = owned.groupBy("bucket", "key", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     chains = entries.groupBy("bucket", "key").agg(F.sort_array(F.collect_list(F.struct("norm", "keep_id", "group_size"))).alias("chain"))
     found = chains.select("bucket", "key", F.size("chain").alias("texts"), F.posexplode("chain").alias("chain", "entry"))
