@@ -37,7 +37,7 @@ MESSAGE_RUNS = 500_000
 #: Distinct contexts that a task gathers before it sends them.
 MESSAGE_CONTEXTS = 150_000
 #: Different contexts (added up over messages) from which an anchor's windows are dealt one by one.
-HOT_CONTEXTS = 20_000
+HOT_CONTEXTS = 5_000
 #: Runs, and windows of contexts, that an owner unpacks at a time.
 PASS_RUNS, PASS_WINDOWS = 4_000_000, 1_500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
