@@ -58,13 +58,13 @@ def numbered(rows: DataFrame, name: str, column: str = "_n") -> tuple[DataFrame,
     """
     table = materialize(rows.withColumn("_at", F.monotonically_increasing_id()), name)
     part = F.shiftright("_at", 33)
+    sizes = dict(tuple(r) for r in table.groupBy(part.alias("p")).count().collect())  # one row per partition
     before, total = [], 0
-    for p, n in sorted(tuple(r) for r in table.groupBy(part.alias("p")).count().collect()):  # one row per partition
-        before.append((p, total))
-        total += n
-    places = rows.sparkSession.createDataFrame(before, "_part long, _before long")
-    at = table.withColumn("_part", part.cast("long")).join(F.broadcast(places), "_part")
-    return at.withColumn(column, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before"), total
+    for p in range(max(sizes, default=-1) + 1):
+        before.append(str(total))
+        total += sizes.get(p, 0)
+    start = F.element_at(F.split(F.lit(",".join(before)), ","), (part + 1).cast("int")).cast("long")
+    return table.withColumn(column, start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"), total
 
 
 def discard(*tables: DataFrame) -> None:
