@@ -84,6 +84,8 @@ class Engine:
         self.spark, self.limits = spark, limits
         self.journal = journal.scan() if isinstance(journal, Journal) else journal
         self.bound: dict[str, DataFrame] = {}
+        #: What else an execution's identity depends on: the journal's place, the cuts of imported facts.
+        self.context: dict = {"journal": journal.path} if isinstance(journal, Journal) else {}
 
     def bind(self, predicate: str, df: DataFrame) -> "Engine":
         """Make df's columns, in order, the rows of a predicate; columns _caps and _vis, if any, are its policy."""
@@ -189,7 +191,7 @@ class Engine:
     def identity(self, program: Program, as_of: int | None, scope: Scope) -> str:
         """What an evaluation depends on, as one digest."""
         seen = None if self.journal is None else cut(scoped(self.journal, as_of, scope)).first().asDict()
-        return fingerprint({"engine": ENGINE_VERSION, "scope": [scope.capabilities, scope.visibilities], "as_of": as_of, "history": seen, "schema": repr(program.schema), "rules": repr(program.rules), "facts": repr(program.facts)})
+        return fingerprint({"engine": ENGINE_VERSION, "context": self.context, "scope": [scope.capabilities, scope.visibilities], "as_of": as_of, "history": seen, "schema": repr(program.schema), "rules": repr(program.rules), "facts": repr(program.facts)})
 
 
 U64, I64, F64, STRING, BOOL, ENTITY = (Type(n) for n in ("U64", "I64", "F64", "String", "Bool", "Entity"))

@@ -88,6 +88,7 @@ class Federation:
         """A document over imported facts only; it reads the current view."""
         normalised([i.cut for i in imports])
         engine = Engine(self.spark)
+        engine.context = {"imports": [[i.cut.partition, i.cut.as_of, i.predicate, i.document] for i in imports]}
         program: Program = engine.parse(document)
         if any(q.as_of is not None for q in program.queries):
             raise EngineError("FederatedView", "a federated document reads the current view")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from functools import reduce
 
@@ -308,6 +309,18 @@ class Journal:
         return rows.select(*batch.columns)
 
 
+class Namespaces:
+    """Journals by namespace under one root; none sees another's rows, receipts or schemas."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def journal(self, name: str, schema: Schema | None = None) -> Journal:
+        if not re.fullmatch(r"[a-z0-9][a-z0-9_-]{0,62}", name):
+            raise EngineError("InvalidNamespace", name)
+        return Journal(self.spark, f"{self.root}/{name}", schema)
+
+
 def prefix_divergence(leader: DataFrame, follower: DataFrame) -> DataFrame:
     """Replication check: (seq, leader, follower) where a follower's rows, in any column, are not the leader's prefix."""
     mine = follower.select("seq", F.col("element").alias("follower"), marks(follower).alias("follower_mark"))

@@ -323,3 +323,19 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
     with pytest.raises(EngineError) as e:
         storage.shared_dir(Session)
     assert e.value.code == "SharedFolder"
+
+
+def test_namespaces_are_apart(spark, tmp_path):
+    from strataline.session import Engine
+
+    spaces = js.Namespaces(spark, str(tmp_path))
+    a, b = spaces.journal("a", schema()), spaces.journal("b", schema())
+    rows = datoms(spark, [datom(1, 1, "String", "x", "Assert", 1)])
+    a.append(rows)
+    assert b.cut()["entry_count"] == 0 and spaces.journal("a").scan().count() == 1
+    b.append(rows)
+    text = "schema v1 {\nattr task.status: ScalarLww<String>\n}\npredicates {\ntask_status(Entity, String)\n}\nrules {\n}\nquery {\ngoal task_status(t, s)\n}\n"
+    assert a.cut() == b.cut() and Engine(spark, a).run(text).identity != Engine(spark, b).run(text).identity
+    for name in ("", "../a", "A", "x" * 64):
+        with pytest.raises(EngineError):
+            spaces.journal(name)
