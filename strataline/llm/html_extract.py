@@ -297,6 +297,8 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, frozenset[str]]]:
             if mute:
                 return f'<div class="c{r.randint(1, 99)}">{inside}</div>'
             own = r.choice(WORDS[part])
+            if r.random() < 0.25:  # a part's name beside that of the whole
+                own = f"{r.choice(WORDS['main text'])}-{own}"
             attr = r.choice([f'class="{own}"', f'id="{own}"', f'class="x-{own} {word()}"', f'class="{own}-{r.choice(["box", "wrap", "area", word()])}"'])
             name = r.choice([name, name, "div"])
             return f"<{name} {attr}>{inside}</{name}>" if name in ("div", "section") or r.random() < 0.4 else f"<{name}>{inside}</{name}>"
@@ -323,7 +325,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, frozenset[str]]]:
                 if r.random() < 0.15:
                     head, tail = text.split(" ", 1)
                     return f"<p>{link(head)} {tail}</p>"
-                return f"<p>{text}</p>"
+                return f"<{wrap}>{text}</{wrap}>"
             if kind < 0.74:
                 return f"<p>{said(r.choice([phrase(0, 4), word().capitalize(), word().capitalize() + ' ' + word()]) + r.choice(['', '.', '.', '!']))}</p>"
             if kind < 0.82:
@@ -339,14 +341,15 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, frozenset[str]]]:
         def comment() -> str:
             return f"<p>{prose(r.randint(1, 3))}</p>" if mute else tag("div", "comments", f"<p>{prose(r.randint(1, 3))}</p>")
 
+        wrap = r.choice(["p", "p", "p", "p", "p", "div"])  # some pages write paragraphs so
         title = f"<h1>{said(phrase(2, 7))}</h1>"
         if r.random() < 0.15:
             title = f"<header>{title}</header>" if not mute else title
         inner = [title] + [paragraph() for _ in range(r.randint(2, 12))]
         if r.random() < 0.25:
             inner.insert(r.randint(1, len(inner)), tag("aside", r.choice(["advert", "sidebar"]), r.choice([f"<p>{prose(1)}</p>", links(3)]) if not mute else links(2)))
-        if r.random() < 0.15:
-            inner.append(tag("footer", "form", links(3)))
+        if r.random() < 0.25:
+            inner.append(tag("footer", r.choice(["form", "menu", "footer"]), r.choice([links(3), f"<p>{phrase(1, 5)}</p>"])))
         if r.random() < 0.2 and not mute:
             inner.append(tag("section", "comments", "".join(comment() for _ in range(r.randint(1, 4)))))
         if r.random() < 0.3:
@@ -365,6 +368,8 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, frozenset[str]]]:
             """What a part of the page holds: as usual, or any prose where its name tells."""
             return r.choice(usual) if mute or r.random() < 0.6 else r.choice([f"<p>{prose(r.randint(1, 4))}</p>", prose(1), f"<p>{phrase(1, 6)}</p>"])
 
+        for _ in range(r.choice([0, 0, 1, 2]) if not mute else 0):  # wrappers that name the main text again
+            body = f'<div class="{r.choice(WORDS["main text"])}">{body}</div>'
         before = [tag("header", "header", filled(f"<h2>{phrase(0, 2)}</h2>", f"<p>{phrase(0, 3)}</p>", link(phrase(0, 1)))) for _ in range(r.random() < 0.6)]
         before += [tag("nav", "menu", filled(links(r.randint(3, 8)))) for _ in range(r.random() < 0.8)]
         before += [tag("div", "notice", filled(f"<p>{prose(r.randint(1, 2))}</p>")) for _ in range(not mute and r.random() < 0.4)]
@@ -493,7 +498,9 @@ def _source_side(nodes: list[int], left: list[float], near: list[dict[int, float
 
 
 def label(model: Model, found: list[Block], evidence: list[frozenset[str]]) -> list[bool]:
-    """Whether each block is content."""
+    """Whether each block is content; all are where there is no element at all."""
+    if len(evidence) == 1:
+        return [True] * len(found)
     return minimum_cut(model.costs(found, evidence), model.edges(found))
 
 

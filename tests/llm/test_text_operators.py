@@ -70,6 +70,23 @@ def test_main_text_of_broken_pages():
     assert html_extract.main_text('<article><h1>Title</h1><p data-x="<b>no</b> > 1">Some text here, enough of it.</p></article>') == want
 
 
+def test_main_text_of_common_layouts():
+    text = "<p>The river rose in the night and carried the old bridge away. Nobody was hurt, but the village is cut off.</p><p>Engineers arrive today.</p>"
+    want = ["The river rose in the night and carried the old bridge away. Nobody was hurt, but the village is cut off.", "Engineers arrive today."]
+    blog = f"""<body class="home blog has-sidebar"><div id="page" class="site"><header id="masthead" class="site-header"><h1 class="site-title">My Blog</h1><p class="site-description">Just another site. Really.</p></header>
+    <div id="content" class="site-content"><div class="content-area"><main id="main"><article class="post-1 post hentry"><header class="entry-header"><h1 class="entry-title">The flood</h1></header><div class="entry-content">{text}</div>
+    <footer class="entry-footer"><span>Tagged <a href=#>flood</a>, <a href=#>river</a></span></footer></article><div id="comments" class="comments-area"><h2>2 thoughts</h2><ol class="comment-list"><li class="comment"><article class="comment-body"><p>So sad. I remember
+    that bridge well.</p></article></li></ol></div></main></div><aside class="widget-area"><section class="widget"><h2>Recent posts</h2><ul><li><a href=#>Older</a></li></ul></section></aside></div><footer class="site-footer"><p>Proudly powered by nothing.</p></footer></div></body>"""
+    mute = f'<div class="a1"><div class="b2"><a href=#>Home</a> <a href=#>News</a> <a href=#>Sport</a></div><div class="c3"><h1>The flood</h1>{text}</div><div class="d4"><h3>Most read</h3><ul><li><a href=#>One thing</a></li><li><a href=#>Other</a></li></ul></div><div class="e5">© 2024 The Paper. All rights reserved.</div></div>'
+    for page in (blog, mute):
+        assert html_extract.main_text(page).split("\n") == ["The flood", *want]
+    banner = f'<div class="cookie-banner" role="dialog"><p>We use cookies to improve. Accept all?</p><button>OK</button></div><div class="main-content">{text}</div><div class="newsletter-signup"><p>Get our letters. Every week.</p><form><input></form></div>'
+    talk = f'<article>{text}</article><section class="comments"><div class="comment"><p>I was there. It was loud, and dark, and wet. We all ran.</p></div><div class="comment"><p>Me too.</p></div></section>'
+    for page in (text, banner, talk, f"<header><p>Welcome to our site. We write about rivers. Enjoy.</p></header><article>{text}</article><footer><p>Write to us at any time. We like letters.</p></footer>"):
+        assert html_extract.main_text(page).split("\n") == want
+    assert html_extract.main_text("Just a line of text") == "Just a line of text"
+
+
 def test_deep_pages_take_linear_time():
     n = 40_000
     for page in ("<div>" * n + "<p>one text of a page.</p>" * n, "<div>" * n + "</span>" * n + "<p>one text of a page.</p>", "<ul><li>" * n + "x" + "</b>" * n, "<p>a b</p>" * n, "<p class='" * n):
