@@ -41,7 +41,9 @@ from .common import SMALL_TABLE, discard, materialize, release, small_batches
 
 SHARD, DEGREE, BEAM, BLOCK, SEED = 4096, 24, 128, 256, 7
 #: Cells at most, sample nodes per cell that centroids are fitted on, share of neighbours that the probed cells must hold.
-MAX_CELLS, SAMPLE, ROUTED = 2048, 64, 0.95
+MAX_CELLS, SAMPLE, ROUTED = 2048, 32, 0.95
+#: Tasks at most that shards are dealt to; beyond, a task takes several, one after the other.
+TASKS = 20_000
 #: Queries that one copy of a shard answers.
 ASKED = 8192
 
@@ -263,8 +265,8 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     wide = isinstance(nodes.schema["v"].dataType.elementType, T.DoubleType)
     if cells > 1:
         share = min(1.0, 1.1 * SAMPLE * cells / n)
-        drawn = nodes.where(F.pmod(F.xxhash64("h", F.lit(SEED + 2)), F.lit(1 << 30)) < int((1 << 30) * share)).select("h", "v").limit(2 * SAMPLE * cells).collect()
-        x = np.array([r["v"] for r in sorted(drawn, key=lambda r: (r["h"], r["v"]))], np.float32)
+        drawn = nodes.where(F.pmod(F.xxhash64("h", F.lit(SEED + 2)), F.lit(1 << 30)) < int((1 << 30) * share)).select("h", F.col("v").cast("array<float>").alias("v")).limit(2 * SAMPLE * cells).toArrow()
+        x = _matrix(drawn.column("v").combine_chunks(), dim)[np.argsort(np.asarray(drawn.column("h")), kind="stable")]  # whatever the tasks' order was
         y = _extended(x, most)
         c = centroids_of(y, min(cells, len(y)))
         probes = probes_of(x, y, c, k)
@@ -285,8 +287,8 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     def deal(batches):
         for batch in batches:
             own = (_extended(_matrix(batch.column("v"), dim), most) @ c.T).argmax(1)
-            place = first[own] + np.asarray(batch.column("h")).view(np.uint64).astype(object) % np.maximum(shards[own], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), batch.column("v"), batch.column("ids")], names=["shard", "v", "ids"])
+            place = first[own] + (np.asarray(batch.column("h")).view(np.uint64) % np.maximum(shards[own], 1).astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place), batch.column("v"), batch.column("ids")], names=["shard", "v", "ids"])
 
     def run(batches):
         held: dict[int, list] = {}
@@ -308,7 +310,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
             release()
 
     placed = nodes.select(F.xxhash64("h", F.lit(SEED)).alias("h"), "v", "ids").mapInArrow(deal, T.StructType([T.StructField("shard", T.LongType()), nodes.schema["v"], nodes.schema["ids"]]))
-    graphs = materialize(placed.repartition(max(1, int(shards.sum())), "shard").mapInArrow(run, GRAPH), "ann-index")
+    graphs = materialize(placed.repartition(max(1, min(TASKS, int(shards.sum()))), "shard").mapInArrow(run, GRAPH), "ann-index")
     discard(nodes)
     return Index(graphs, c, first, shards, probes, dim)
 
@@ -387,6 +389,6 @@ def query(index: Index, queries: DataFrame, id_col: str = "vec_id", vec_col: str
                     yield from answers(graph, np.asarray(part.column("qid")), np.asarray(part.column("qkey")), _matrix(part.column("q"), dim))
         release()
 
-    found = both.repartition(max(1, 2 * tasks), "shard", "copy").sortWithinPartitions("shard", "copy", "after").mapInArrow(run, "query_id long, query_key long, vec_id long, score double")
+    found = both.repartition(max(1, min(TASKS, 2 * tasks)), "shard", "copy").sortWithinPartitions("shard", "copy", "after").mapInArrow(run, "query_id long, query_key long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return found.select("*", rank.alias("rank")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
