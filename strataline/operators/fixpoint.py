@@ -21,6 +21,14 @@ from ..storage import counted, materialize, numbered
 from .relations import LINEAGE, META, body, columns, head, minus
 
 
+#: A relation of up to this many rows stays in one partition: joins among such need no shuffle, a round is one task.
+TINY = 10_000
+
+
+def tiny(rows: DataFrame, count: int) -> DataFrame:
+    return rows.coalesce(1) if count <= TINY else rows
+
+
 @dataclass(frozen=True)
 class Limits:
     iterations: int = 4096
@@ -177,14 +185,16 @@ class Evaluation:
             self.out.relations[p] = empty(self.spark, self.plan, p, self.full)
         self._start()
         held: dict[str, list[DataFrame]] = {}
+        size = dict.fromkeys(component.predicates, 0)
         kept = self._keep(self._new(component, list(self._variants(component, None))))
         while True:
-            deltas = {p: rows for p, (rows, n) in kept.items() if n}
+            deltas = {p: tiny(rows, n) for p, (rows, n) in kept.items() if n}
             for p, rows in deltas.items():
                 parts = held[p] = [*held.get(p, []), rows]
+                size[p] += kept[p][1]
                 if len(parts) > 8:  # keep plans short: the accumulated rounds become one table
                     parts = held[p] = [materialize(reduce(DataFrame.unionByName, parts), f"relation-{p}")]
-                self.out.relations[p] = reduce(DataFrame.unionByName, parts)
+                self.out.relations[p] = tiny(reduce(DataFrame.unionByName, parts), size[p])
             if not deltas or not component.recursive:
                 return
             self._start()
@@ -197,12 +207,14 @@ class Evaluation:
         self._start()
         kept = self._keep({p: self.read(base.body[0].atom.predicate).select(*columns(n)).distinct()})
         known, (delta, new) = kept[p][0], kept[p]
+        total = new
         while new:
             self._start()
+            known, delta = tiny(known, total), tiny(delta, new)
             left = known.select(*[F.col(c).alias(f"l{i}") for i, c in enumerate(columns(n))])
             right = delta.select(*[F.col(c).alias(f"r{i}") for i, c in enumerate(columns(n))])
             on = [F.col(f"l{target}").eqNullSafe(F.col(f"r{source}"))] + [F.col(f"l{i}").eqNullSafe(F.col(f"r{i}")) for i in range(n) if i not in (source, target)]
             longer = left.join(right, on).select(*[F.col(f"r{i}" if i == target else f"l{i}").alias(f"c{i}") for i in range(n)]).distinct()
             delta, new = self._keep({p: minus(longer, known, n)})[p]
-            known = known.union(delta)
+            known, total = known.union(delta), total + new
         self.out.relations[p] = known

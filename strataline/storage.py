@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .model import EngineError
 
+#: Tables that this driver has written and not deleted.
+_WRITTEN: dict[str, SparkSession] = {}
+
 #: Spark setting: shuffle files of an execution go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -39,6 +42,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
+    _WRITTEN[path] = spark
     table = spark.read.schema(df.schema).parquet(path)
     table._strataline_path = path
     return table
@@ -67,11 +71,24 @@ def numbered(rows: DataFrame, name: str, column: str = "_n") -> tuple[DataFrame,
     return table.withColumn(column, start + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"), total
 
 
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.pop(name, None)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._strataline_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(t.sparkSession, t._strataline_path)
+
+
+def sweep() -> int:
+    """Delete every table that this driver has written: for callers whose results are consumed.  Returns how many."""
+    left = list(_WRITTEN.items())
+    for name, spark in left:
+        _remove(spark, name)
+    return len(left)
 
 
 class Documents:

@@ -167,3 +167,18 @@ def test_float_and_bytes_keys_follow_their_format(spark):
     got = df.select(typed_key(df.x, Type("F64")).alias("x"), typed_key(df.b, Type("Bytes")).alias("b"), typed_key(df.l, Type("List", Type("U64"))).alias("l")).collect()
     assert [r["x"] for r in got] == ["f64:" + struct.pack(">d", x).hex() for x in numbers]
     assert got[0]["b"] == "bytes:[0, 255, 55]" and got[0]["l"] == "list:[u64:1,u64:2,]"
+
+
+def test_sweep_deletes_what_was_written(spark):
+    import os
+
+    from strataline import storage
+
+    kept = dict(storage._WRITTEN)  # of other tests, whose results may still be read
+    storage._WRITTEN.clear()
+    table, n = storage.counted(spark.range(7).toDF("x"), "sweep")
+    placed, m = storage.numbered(spark.range(20).repartition(5).orderBy("id"), "sweep")
+    assert n == table.count() == 7 and m == 20 and [r["_n"] for r in placed.orderBy("id").collect()] == list(range(20))
+    path = table._strataline_path
+    assert os.path.isdir(path) and storage.sweep() == 2 and not os.path.exists(path) and storage.sweep() == 0
+    storage._WRITTEN.update(kept)
