@@ -15,6 +15,7 @@ from .model import PUBLIC, AttributeClass, EngineError, Query, Schema, Scope, Ty
 from .operators import query as querying
 from .operators import replay
 from .operators.fixpoint import Limits
+from .plans.compiler import compile_program
 from .session import ENTITY, I64, STRING, U64, Engine
 from .sources import journal as journals
 from .sources import vectors
@@ -733,6 +734,68 @@ def limits(spark, sf):
     return spark.createDataFrame(out, "what string, code string")
 
 
+FAULTS = {
+    "unbound head": ("a(U64); b(U64, U64)", "b(x, y) <- a(x)"), "unbound negation": ("a(U64); b(U64); c(U64)", "c(x) <- a(x), not b(y)"), "two types": ("a(U64); b(String); c(U64)", "c(x) <- a(x), b(x)"),
+    "through negation": ("a(U64); b(U64); c(U64)", "b(x) <- a(x), not c(x); c(x) <- b(x)"), "recursive count": ("a(U64, U64); b(U64, U64)", "b(x, count(y)) <- a(x, y), b(y, z)"),
+    "group key": ("a(U64, U64); b(U64, U64)", "b(x, sum(x)) <- a(x, y)"), "sum of text": ("a(U64, String); b(U64, String)", "b(x, sum(y)) <- a(x, y)"), "head type": ("a(U64); b(String)", "b(count(x)) <- a(x)"),
+    "fact type": ("a(U64); b(U64)", 'b(x) <- a(x); a("text") <-'), "no source": ("a(U64); b(U64)", "b(x) <- a(x)"),
+}
+
+
+@query("""SELECT * FROM (VALUES ('unbound head', 'UnsafeVariable'), ('unbound negation', 'UnsafeVariable'), ('two types', 'TypeMismatch'), ('through negation', 'UnstratifiedNegation'), ('recursive count', 'RecursiveAggregate'),
+    ('group key', 'AggregateKey'), ('sum of text', 'AggregateType'), ('head type', 'TypeMismatch'), ('fact type', 'TypeMismatch'), ('no source', 'MissingSource')) v(fault, code)""")
+def compile_errors(spark, sf):
+    """Every check of the compiler, by a program that fails it."""
+    out = []
+    for name, (predicates, text) in FAULTS.items():
+        goal = predicates.split(";")[-1].strip().split("(")[0]
+        try:
+            rules(spark, predicates, text, f"{goal}({', '.join('v' + str(i) for i in range(predicates.split(';')[-1].count(',') + 1))})", {})
+        except EngineError as e:
+            out.append((name, e.code))
+    return spark.createDataFrame(out, "fault string, code string")
+
+
+@query("SELECT * FROM (VALUES (0, false, 'root'), (0, true, 'even,odd'), (1, false, 'leaf'), (2, false, 'total')) v(stratum, recursive, provides)")
+def plan_phases(spark, sf):
+    """Components, their strata and recursion, dependencies first."""
+    engine = Engine(spark)
+    program = engine.parse("schema v1 {\n}\npredicates {\ne(U64, U64)\nroot(U64)\neven(U64)\nodd(U64)\nleaf(U64)\ntotal(U64)\n}\nrules {\nroot(x) <- e(x, x)\neven(x) <- root(x)\nodd(y) <- even(x), e(x, y)\neven(y) <- odd(x), e(x, y)\nleaf(x) <- e(y, x), not odd(x)\ntotal(count(x)) <- leaf(x)\n}\n")
+    nodes = compile_program(program).phases()["nodes"]
+    return spark.createDataFrame([(n["stratum"], n["recursive"], ",".join(sorted(n["provides"]))) for n in nodes], "stratum int, recursive boolean, provides string")
+
+
+@query("SELECT * FROM (VALUES ('again', true), ('other scope', false), ('other view', false), ('other rules', false), ('longer history', false)) v(change, same)")
+def execution_identity(spark, sf):
+    """What an execution depends on changes its identity, nothing else does."""
+    journal = status_journal(spark, sf)
+    last = journal.agg(F.max("seq")).first()[0]
+    text = "schema v1 {\nattr user.status: ScalarLww<String>\n}\npredicates {\nuser_status(Entity, String)\nhit(Entity)\n}\nrules {\nhit(u) <- user_status(u, \"view\")\n}\n"
+    name = lambda rows, text=text, as_of=None, scope=PUBLIC: Engine(spark, rows).identity(Engine(spark).parse(text), as_of, scope)
+    base = name(journal)
+    made = {"again": name(journal.repartition(5)), "other scope": name(journal, scope=Scope(("ops",))), "other view": name(journal, as_of=middle(journal)),
+            "other rules": name(journal, text.replace("view", "click")), "longer history": name(journal.where(F.col("seq") < last))}
+    return spark.createDataFrame([(k, v == base) for k, v in made.items()], "change string, same boolean")
+
+
+@query("SELECT (SELECT count(*) FROM events) AS before, (SELECT count(*) FROM events) AS copied, 0 AS after, 'StaleEpoch' AS deposed")
+def replica_catch_up(spark, sf):
+    """A follower copies the leader's batches, takes over, and the old leader's writes are fenced off."""
+    from .sources.replication import Replicated
+
+    leader, full = appended(spark, sf)
+    follower = journals.Journal(spark, f"{shared_dir(spark)}/strataline/journal-{uuid.uuid4().hex}", event_schema())
+    pair = Replicated("a", {"a": leader, "b": follower})
+    before, copied, after = pair.lag("b"), pair.catch_up("b"), pair.lag("b")
+    pair.promote("b")
+    try:
+        pair.append(full.limit(1), 1)
+        deposed = ""
+    except EngineError as e:
+        deposed = e.code
+    return spark.createDataFrame([(before, copied, after, deposed)], "before long, copied long, after int, deposed string")
+
+
 @query(f"{_CHAIN} SELECT c, x, y FROM chain")
 def materialized(spark, sf):
     return Engine(spark).bind("reply", replies(spark, sf)).run(CHAIN).materialized["chain"].toDF("c", "x", "y")
@@ -768,6 +831,15 @@ def tuple_match(spark, sf):
     return matching(records, ["purchase", 0, None], completions=records.where("tuple_id % 5 = 0")).select("tuple_id")
 
 
+@query("SELECT event_id AS tuple_id FROM events WHERE event_type = 'purchase' AND event_id % 5 <> 0 AND NOT (event_id % 4 = 0 AND value > 50)")
+def tuple_claims(spark, sf):
+    """Records under a live claim are out of reach; claims that have run out are not."""
+    events = t(spark, sf, "events")
+    records = events.select(F.col("event_id").alias("tuple_id"), F.array("event_type").alias("fields"))
+    claims = events.where("event_id % 4 = 0").select(F.col("event_id").alias("tuple_id"), F.col("value").alias("expires_at"))
+    return matching(records, ["purchase"], claims, records.where("tuple_id % 5 = 0"), now=50.0).select("tuple_id")
+
+
 @query("SELECT event_id, CASE WHEN (SELECT count(*) FROM events) > 150 THEN CAST(150 AS BIGINT) END AS next_offset FROM events ORDER BY event_id LIMIT 50 OFFSET 100")
 def page(spark, sf):
     return querying.page(t(spark, sf, "events").select("event_id").orderBy("event_id"), 100, 50)

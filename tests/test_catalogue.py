@@ -18,7 +18,8 @@ CHOSEN = ["reply_closure", "same_generation", "even_odd_path", "unreturned_order
           "sequence_order", "dependency_violations", "append_violations", "policy_negation", "vector_topk_as_of", "cut_delta", "page", "nearest_rank",
           "claimability", "fulfilment_views", "fulfilment_outcomes", "fulfilment_handovers", "explain_lineage", "cut_digest", "append_receipts", "append_history", "append_refusals", "scoped_replay_public", "scoped_replay_privileged",
           "scoped_cuts", "scoped_replay_refusal", "policy_closure_violations", "sequence_removals", "partition_state_public", "vector_topk_artifacts", "two_goals", "result_order", "closure_iterations", "tuple_ids", "limits",
-          "materialized", "named_query", "agg_provenance", "underscore", "federated_join", "trade_reachability", "retention"]
+          "materialized", "named_query", "agg_provenance", "underscore", "federated_join", "trade_reachability", "retention",
+          "tuple_claims", "compile_errors", "plan_phases", "execution_identity", "replica_catch_up"]
 
 
 @pytest.fixture(scope="module")
