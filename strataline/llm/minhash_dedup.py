@@ -156,8 +156,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def cross_links(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different parts (pa, pb) within a bucket whose sets look similar enough; counted on 32-bit shingle hashes."""
+def cross_links(members: DataFrame, detail: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different parts (pa, pb) within a bucket whose sets look similar enough; counted on 32-bit shingle hashes.
+
+    members: band, id, part, n; detail: id, bands, items, one row per id, which travels to the blocks alone.
+    """
 
     def pairs_of(band: int, ids, part, size, keys, items, left, right):
         lens = np.array([len(items[i]) for i in right])
@@ -227,6 +230,7 @@ def cross_links(members: DataFrame, percent: int) -> DataFrame:
         .withColumn("meets", F.concat_ws("|", F.least("own", "other"), F.greatest("own", "other")))
         .withColumn("kind", F.when(F.col("own") == F.col("other"), "twin").otherwise("pair"))
         .withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+        .select("band", "meets", "kind", "side", "id", "part", "n").join(detail, "id")
         .select("band", "meets", "kind", "side", "id", "part", "n", "bands", "items")
     )
     return rows.repartition("band", "meets").sortWithinPartitions("band", "meets").mapInArrow(run, "a long, b long, pa long, pb long").distinct()
@@ -266,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = tagged.groupBy("band").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("band")
     open_rows = materialize(tagged.join(mixed, "band", "left_semi"), "open-members")
     detail = reps.select("id", "bands").join(packed(sets), "id")
-    more = materialize(verified(cross_links(open_rows.join(detail, "id"), percent), sets, percent).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "links")
+    more = materialize(verified(cross_links(open_rows, detail, percent), sets, percent).select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "links")
     wider = components(more)  # of parts: what the first pass connected is not gone through again
     light = materialize(rows.select("id", "text_hash", "n", "class"), "sketched")
     discard(rows, members, sets, open_rows, links, more)

@@ -122,7 +122,7 @@ def test_near_links_of_one_shared_band(spark, monkeypatch):
     members = spark.createDataFrame(rows, "band long, id long, n long, bands array<long>, part long, items binary")
     for block in (2_000, 1):
         monkeypatch.setattr(minhash_dedup, "BLOCK", block)
-        assert {(x["a"], x["b"], x["pa"], x["pb"]) for x in minhash_dedup.cross_links(members, 80).collect()} == {(2, 1, 2, 1), (4, 3, 4, 3)}
+        assert {(x["a"], x["b"], x["pa"], x["pb"]) for x in minhash_dedup.cross_links(members.select("band", "id", "part", "n"), members.select("id", "bands", "items"), 80).collect()} == {(2, 1, 2, 1), (4, 3, 4, 3)}
 
 
 def test_blocks_of_one_large_part_do_not_meet(spark, monkeypatch):
@@ -131,7 +131,7 @@ def test_blocks_of_one_large_part_do_not_meet(spark, monkeypatch):
     sets = [np.arange(i * 50, i * 50 + 20, dtype=np.uint32) for i in range(3)]
     rows = [(7, i, 20, [7], 0 if i < 95 else i, sets[0 if i < 95 else 0 if i in (97, 98) else 1 + i % 2].tobytes()) for i in range(100)]
     members = spark.createDataFrame(rows, "band long, id long, n long, bands array<long>, part long, items binary")
-    got = [(x["a"], x["b"]) for x in minhash_dedup.cross_links(members, 80).collect()]
+    got = [(x["a"], x["b"]) for x in minhash_dedup.cross_links(members.select("band", "id", "part", "n"), members.select("id", "bands", "items"), 80).collect()]
     want = {(a, b) for a in range(100) for b in range(a) if rows[a][4] != rows[b][4] and rows[a][5] == rows[b][5]}
     assert set(got) == want and len(got) == len(want)
 
