@@ -75,6 +75,12 @@ def test_owners_chain_and_compare_bytes(spark, rows):
         assert all((x["keep_id"], x["group_size"], x["kept"], x["text_sha256"]) == want[x["doc_id"], x["text"]] for x in got)
 
 
+def test_plan_goes_through_the_directory(spark, rows):
+    found = exact_dedup.exact_dedup(frame(spark, rows), bucket_rows=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan and "Python" not in plan
+
+
 def test_owners_hold_whole_buckets(spark, rows):
     parts = exact_dedup.build_index(frame(spark, rows), bucket_rows=3).withColumn("file", F.input_file_name()).groupBy("bucket").agg(F.countDistinct("file").alias("n"))
     assert parts.agg(F.max("n")).first()[0] == 1
