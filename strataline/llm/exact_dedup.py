@@ -72,7 +72,8 @@ class Directory:
     def bucket(self, key: Column) -> Column:
         """The bucket of a key: a look-up in a constant of 2 ** MAX_DEPTH numbers at most."""
         cell = F.shiftrightunsigned(key, 64 - self.depth) if self.depth else F.lit(0).cast("long")
-        return F.element_at(F.split(F.lit(",".join(map(str, self.buckets))), ","), (cell + 1).cast("int")).cast("int")
+        found = F.element_at(F.split(F.lit(",".join(map(str, self.buckets))), ","), (cell + 1).cast("int")).cast("int")
+        return F.coalesce(found, F.lit(0))  # never null, so that joins on it need no filter that would hash texts again
 
 
 def plan_directory(docs: DataFrame, text_col: str = "text", bucket_rows: int = BUCKET_ROWS, key: Callable[[Column], Column] = F.xxhash64, hot_rows: int = HOT_ROWS) -> Directory:
