@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.policy import contains
 from ..model import CLEARS, SETS, Attribute, AttributeClass, EngineError, Schema, Type
-from ..operators.replay import VALUE, prefix, state
+from ..operators.replay import VALUE, prefix, sequences, state
 from ..storage import Documents
 from ..storage import numbered as placed
 
@@ -284,8 +284,11 @@ class Journal:
         bad = dependency_errors(self._reachable(history, batch).unionByName(batch), schema, batch).take(20)
         if bad:
             raise EngineError("DependencyRefused", str([r.asDict() for r in bad]))
-        touched = history.join(batch.select("entity").distinct(), "entity", "left_semi").select(*batch.columns)
-        state(touched.unionByName(batch), schema).agg(F.count(F.lit(1))).first()  # a trial replay of what the batch touches
+        ordered = [a.id for a in schema.attributes.values() if a.cls == AttributeClass.SEQUENCE]
+        grown = batch.where(F.col("attribute").isin(ordered)) if ordered else None
+        if grown is not None and not grown.isEmpty():  # of valid operations only sequences can fail: a trial replay of those touched
+            touched = history.where(F.col("attribute").isin(ordered)).join(grown.select("entity", "attribute").distinct(), ["entity", "attribute"], "left_semi").select(*batch.columns)
+            sequences(touched.unionByName(grown), schema).agg(F.count(F.lit(1))).first()
         path = f"batches/first={first:020d}-{uuid.uuid4().hex}"
         batch.write.parquet(f"{self.path}/{path}")
         marked, entries = str(int(last["marks"]) + int(total)), last["entry_count"] + count
